@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``checkpoint``, as a Parquet table in the shared folder: for small tables in loops.
+
+    A table that is read back starts a plan afresh, where a checkpoint carries
+    on the constraints inferred so far, which grow with every round.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def small_or_shuffled(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows; otherwise the join is left to a shuffle.
 

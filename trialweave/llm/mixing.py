@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_or_shuffled, unit_hash
+from .common import checkpoint, small_or_shuffled, stored, unit_hash
 
 MAX_RATE = 2.0
 _BINS = 4096
@@ -45,8 +45,8 @@ def targets(sizes: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0), s
     # if exactly the sources before this one are at their bound, the level is:
     level = (share * F.sum("source_size").over(everything) - F.coalesce(F.sum("bound").over(before), F.lit(0.0))) / F.sum("w").over(after)
     rows = rows.withColumn("level", level).withColumn("fits", F.col("level") * F.col("w") <= F.col("bound"))
-    least = F.min(F.when(F.col("fits"), F.col("level"))).over(everything)
-    return rows.select("source", "source_size", F.least("bound", F.coalesce(least * F.col("w"), F.col("bound"))).alias("target"))
+    found = F.first(F.when(F.col("fits"), F.col("level")), ignorenulls=True).over(everything)
+    return rows.select("source", "source_size", F.least("bound", F.coalesce(found * F.col("w"), F.col("bound"))).alias("target"))
 
 
 def _rate(multiplier: Column, scaled: Column) -> Column:
@@ -63,8 +63,8 @@ def multipliers(histogram: DataFrame, goal: DataFrame, *, steps: int = 40, toler
     mean = histogram.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
     known = goal.join(mean.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of").where("mean > 0")
     inner = known.where(F.col("target") < (1 - 1e-12) * MAX_RATE * F.col("source_size"))
-    lam = checkpoint(inner.select("source", "target", "mean", F.lit(0.0).alias("multiplier"), F.lit(-1e9).alias("low"), F.lit(1e9).alias("high"), F.lit(None).cast("double").alias("error")))
-    sizes = checkpoint(histogram)
+    lam = stored(inner.select("source", "target", "mean", F.lit(0.0).alias("multiplier"), F.lit(-1e9).alias("low"), F.lit(1e9).alias("high"), F.lit(None).cast("double").alias("error")))
+    sizes = histogram
     for _ in range(steps):
         at = lam.select(F.col("source").alias("of"), "multiplier", "mean")
         tilted = sizes.join(at, F.col("source").eqNullSafe(F.col("of")))
@@ -88,7 +88,7 @@ def multipliers(histogram: DataFrame, goal: DataFrame, *, steps: int = 40, toler
         )
         bold = F.abs(gap / F.greatest("slope", F.lit(1e-300))) <= 8.0
         rows = rows.withColumn("new_low", low).withColumn("new_high", high)
-        lam = checkpoint(
+        lam = stored(
             rows.select(
                 "source", "target", "mean",
                 F.when(F.abs(gap) <= tolerance * F.col("target"), F.col("multiplier")).when(inside & bold, newton).otherwise(half).alias("multiplier"),
@@ -118,10 +118,10 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share:
     gives no rows; other columns are ignored.
     """
     rows = checkpoint(_sized(docs))
-    histogram = checkpoint(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
+    histogram = stored(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     by_source = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    goal = checkpoint(targets(by_source, weights=weights, share=share))
-    solved = checkpoint(
+    goal = stored(targets(by_source, weights=weights, share=share))
+    solved = stored(
         goal.join(multipliers(histogram, goal).withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     ).withColumnRenamed("source", "of")
     near = small_or_shuffled(solved, max_sources)
@@ -132,7 +132,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share:
     fraction = F.col("rate") - whole
     rank = F.when(fraction > 1e-9, unit_hash("doc_id", "size", salt=seed) / fraction)
     rated = rated.select("doc_id", "source", "size", "source_size", "target", whole.alias("whole"), rank.alias("rank"))
-    rated = rated.withColumn("bin", F.least(F.floor(F.col("rank") * (_BINS // 2)), F.lit(_BINS)).cast("int"))
+    rated = checkpoint(rated.withColumn("bin", F.least(F.floor(F.col("rank") * (_BINS // 2)), F.lit(_BINS)).cast("int")))
 
     sums = rated.groupBy("source", "bin").agg(F.sum(F.col("size") * F.col("whole")).alias("sure"), F.sum("size").alias("size"), F.first("target").alias("target"))
     of_source = Window.partitionBy("source")
@@ -140,7 +140,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share:
     running = F.sum(F.when(F.col("bin").isNotNull(), F.col("size")).otherwise(0)).over(of_source.orderBy(F.col("bin").asc_nulls_first()))
     cuts = sums.select("source", "bin", "size", missing.alias("missing"), running.alias("running")).where("bin is not null and running > missing")
     cuts = cuts.groupBy(F.col("source").alias("of")).agg(F.min_by(F.struct("bin", (F.col("missing") - F.col("running") + F.col("size")).alias("room")), "bin").alias("cut"))
-    cuts = small_or_shuffled(checkpoint(cuts), max_sources)
+    cuts = small_or_shuffled(stored(cuts), max_sources)
     rated = rated.join(cuts, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     extra = F.when(F.col("rank").isNull(), 0).when(F.col("cut").isNull() | (F.col("bin") < F.col("cut.bin")), 1).otherwise(0)
     at_cut = F.coalesce(F.col("bin") == F.col("cut.bin"), F.lit(False))
@@ -154,3 +154,15 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share:
     middle = rated.where(at_cut).withColumn("sum", F.sum("size").over(inside))
     more = F.when(F.col("sum") - F.col("size") / 2.0 <= F.col("cut.room"), 1).otherwise(0)
     return result(rated.where(~at_cut), extra).unionByName(result(middle, more))
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with each row as often as ``mix`` takes it; all columns pass through.
+
+    Copies are found by id: rows that share an id, which a deduplicated table
+    does not have, all get the most copies of any of them.
+    """
+    copies = mix(docs, **how).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0").withColumnRenamed("doc_id", "of")
+    rows = docs.select(F.col("doc_id").alias("_id"), F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
+    rows = rows.join(copies, F.col("_id").eqNullSafe(F.col("of")))
+    return rows.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_doc.*")

@@ -212,7 +212,7 @@ def score(docs: DataFrame, model: BinaryModel | None, threshold: float, *keep) -
                 [*batch.columns[:n], pa.array(found), pa.array((found >= threshold).astype(np.int32))], [*batch.schema.names[:n], "score", "predicted"]
             )
 
-    schema = rows.drop("_text").schema.add("score", "double").add("predicted", "int")
+    schema = rows.drop("_text").schema.add("score", "double").add("predicted", "integer")
     return rows.mapInArrow(task, schema)
 
 
