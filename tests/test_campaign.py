@@ -81,10 +81,16 @@ def test_nested_later_sampler_wins(spark):
 
 def test_registry_names():
     assert samplers.SAMPLERS.find("random_sampler") is samplers.SAMPLERS.find("RandomSampler")
+    assert samplers.SAMPLERS.find("trialweave.operators.samplers:GridSampler") is samplers.GridSampler
     with pytest.raises(ValueError):
         samplers.SAMPLERS.find("nothing")
 
 
+def test_nested_counts():
+    s = samplers.NestedSampler({k: samplers.ArraySampler([[0] * n], [k]) for k, n in (("a", 2), ("b", 3), ("c", 4))})
+    assert s.runs_by_depth == [2, 6, 24] and s.total_runs == 32
+
+
 # --- runners ---
 
 
@@ -136,6 +142,15 @@ def test_process_runner(spark):
     assert rows[0]["output"] == 7.0 and rows[1]["success"] is False
 
 
+def test_input_files_are_written_first(spark):
+    def write(params, folder):
+        with open(f"{folder}/in.txt", "w") as file:
+            file.write(str(params["c1"] * 2))
+
+    df = spark.createDataFrame([(0, 3.0)], "sample long, c1 double")
+    assert ProcessRunner(["cat", "in.txt"], write_input=write, name="p").apply(df, ["c1"]).first()["output"] == 6.0
+
+
 def test_datapoint_columns(spark):
     df = spark.createDataFrame([(0, 1.0, 2.0)], "sample long, c1 double, c2 double")
     one = run_sequence(df, [SumRunner(["c1", "c2"], name="r1")])

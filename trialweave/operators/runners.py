@@ -139,10 +139,12 @@ class FunctionRunner(Runner):
     Every row has a scratch folder of its own, local to the task's attempt, of
     which ``keep`` ("all", "custom" with ``keep_files``, or "none") says what is
     moved to ``keep_dir`` before it is removed; rows are all that is returned.
+    ``write_input(params, folder)`` may put input files there first.
     """
 
-    def __init__(self, function: Callable[[str, dict], dict], output_fields: dict[str, str] | None = None, keep: str = "none", keep_files: Sequence[str] = (), keep_dir: str | None = None, name: str = "function_runner", **_: Any):
+    def __init__(self, function: Callable[[str, dict], dict], output_fields: dict[str, str] | None = None, keep: str = "none", keep_files: Sequence[str] = (), keep_dir: str | None = None, write_input: Callable[[dict, str], None] | None = None, name: str = "function_runner", **_: Any):
         super().__init__(name)
+        self.write_input = write_input
         self.function, self.keep, self.keep_files, self.keep_dir = function, keep, set(keep_files), keep_dir
         self.fields = {"output": "double"} | (output_fields or {})
 
@@ -158,6 +160,8 @@ class FunctionRunner(Runner):
     def one(self, row: dict, parameters: Sequence[str]) -> dict:
         start, scratch = time.perf_counter(), tempfile.mkdtemp(prefix="run-")
         try:
+            if self.write_input is not None:
+                self.write_input({p: row[p] for p in parameters}, scratch)
             answer = self.function(scratch, {p: row[p] for p in parameters})
             if not isinstance(answer, dict) or not isinstance(answer.get("success"), bool):
                 raise KeyError("a runner returns a dict with a boolean success")

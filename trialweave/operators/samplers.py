@@ -8,8 +8,11 @@ with the exception of the latin hypercube's ranks in small batches.
 
 from __future__ import annotations
 
+import importlib
+import itertools
 import logging
 import math
+import operator
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -196,6 +199,15 @@ class NestedSampler(Sampler):
         super().__init__([()] * len(names), names, n if budget is None else min(budget, n), n)
         self.max_broadcast = max_broadcast
 
+    @property
+    def runs_by_depth(self) -> list[int]:
+        """Runs at each depth if the samplers were levels: the running product of their batches."""
+        return list(itertools.accumulate(self.sizes, operator.mul))
+
+    @property
+    def total_runs(self) -> int:
+        return sum(self.runs_by_depth)
+
     def batch(self, spark: SparkSession, number: int) -> DataFrame | None:
         if number:
             raise NotImplementedError("a nested sampler has one batch")
@@ -230,9 +242,16 @@ class Registry:
             self.known.pop(self.key(n), None)
 
     def find(self, name: str) -> type:
-        """The class of a snake_case or PascalCase name; a plug-in of that name comes before a built-in."""
+        """The class of a snake_case or PascalCase name; a plug-in of that name comes before a built-in.
+
+        "package.module:Class" is imported as it stands.
+        """
         from importlib.metadata import entry_points
 
+        if ":" in name:
+            module, _, attribute = name.partition(":")
+            return getattr(importlib.import_module(module), attribute)
+
         for point in entry_points(group=self.group):
             if self.key(point.name) == self.key(name):
                 try:

@@ -166,6 +166,19 @@ def nested_sampler(spark, d):
     return s.batch(spark, 0).withColumn("c2", (F.col("sample") % 3 + 10).cast("int"))
 
 
+@query("SELECT s.s_suppkey, CAST(exp(sum(ln(t.s_nationkey + 1)) OVER (ORDER BY s.s_suppkey)) + 0.5 AS BIGINT) AS runs FROM supplier s JOIN supplier t USING (s_suppkey) WHERE s.s_suppkey <= 5")
+def level_run_counts(spark, d):
+    """Level sizes (a few rows) and the running product of them: the runs at each depth."""
+    sizes = [(r.s_suppkey, r.s_nationkey + 1) for r in _t(spark, d, "supplier").where("s_suppkey <= 5").orderBy("s_suppkey").collect()]
+    s = samplers.NestedSampler({str(k): samplers.ArraySampler([list(range(n))], [f"p{k}"]) for k, n in sizes})
+    return spark.createDataFrame([(k, n) for (k, _), n in zip(sizes, s.runs_by_depth, strict=True)], "s_suppkey long, runs long")
+
+
+@query("SELECT c_name AS run_dir, c_custkey::DOUBLE AS input, c_acctbal AS output FROM customer")
+def parser_scan(spark, d):
+    return scans.parsed(_t(spark, d, "customer").select(F.col("c_name").alias("run_dir"), F.col("c_custkey").alias("x"), F.col("c_acctbal").alias("output")))
+
+
 # --- expansion and runners --------------------------------------------------
 
 

@@ -39,6 +39,11 @@ def unseen(history: DataFrame, seen: DataFrame | None, skip: Sequence[str] = ())
     return history if seen is None else history.join(seen.select("run_dir").distinct(), "run_dir", "left_anti")
 
 
+def parsed(results: DataFrame, parameter: str = "x") -> DataFrame:
+    """run_dir, input and output of each run, as a parser hands them on."""
+    return results.select("run_dir", F.col(parameter).cast("double").alias("input"), F.col("output").cast("double").alias("output"))
+
+
 def objective(results: DataFrame, target: float = 2.0, parameter: str = "x") -> DataFrame:
     """inputs, objective = output - target (its distance with the sign turned for maximization), failure 0."""
     return results.select("run_dir", F.array(F.col(parameter).cast("double")).alias("inputs"), (F.col("output") - F.lit(float(target))).alias("objective"), F.lit(0).alias("failure"))
