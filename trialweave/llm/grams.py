@@ -144,43 +144,43 @@ class Sample:
         return slice(self.start[k], self.start[k + 1])
 
 
-def sample_features(rows: DataFrame, grams: Grams, *, max_rows: int, max_entries: int, counts: bool) -> Sample:
+def sample_features(rows: DataFrame, grams: Grams, *, max_rows: int, max_entries: int, counts: bool, useful: np.ndarray | None = None) -> Sample:
     """Features of a bounded sample of ``rows`` (label, order double, text): the least values of ``order``.
 
     At most ``max_rows`` rows, and of those in order as many as have
-    ``max_entries`` features together.
+    ``max_entries`` features together.  ``useful`` marks the buckets that count.
     """
+    shared = rows.sparkSession.sparkContext.broadcast(useful)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, indicate = grams.counts(), grams.indicator()
+    def task(batches: Iterator[pa.RecordBatch], with_features: bool) -> Iterator[pa.RecordBatch]:
+        count, indicate, mask = grams.counts(), grams.indicator(), shared.value
         for batch in batches:
             for k in range(batch.num_rows):
                 text = batch.column(2)[k].as_py() or ""
                 index, value = count(text) if counts else (indicate(text), np.zeros(0, np.int64))
+                if mask is not None:
+                    keep = mask[index]
+                    index, value = index[keep], value[keep] if counts else value
+                made = (index.astype("<i4").tobytes(), np.minimum(value, 65535).astype("<u2").tobytes()) if with_features else (b"", b"")
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0)[k : k + 1],
-                        batch.column(1)[k : k + 1],
-                        pa.array([len(index)], pa.int64()),
-                        pa.array([index.astype("<i4").tobytes()], pa.binary()),
-                        pa.array([np.minimum(value, 65535).astype("<u2").tobytes()], pa.binary()),
-                    ],
+                    [batch.column(0)[k : k + 1], batch.column(1)[k : k + 1], pa.array([len(index)], pa.int64()), pa.array([made[0]], pa.binary()), pa.array([made[1]], pa.binary())],
                     ["label", "order", "n", "index", "value"],
                 )
 
     schema = "label string, order double, n long, index binary, value binary"
     ordered = rows.select(F.col("label").cast("string").alias("label"), "order", "text")
-    # first only the order: texts, which have no bound, never meet in one task
-    last = ordered.select("order", F.octet_length("text").alias("bytes")).orderBy("order").limit(max_rows).collect()
+    # first only how many features each row has, to see how far the sample may go
+    sizes = ordered.mapInArrow(lambda b: task(b, False), schema).select("order", "n").orderBy("order", "n").limit(max_rows).collect()
     chosen, entries = [], 0
-    for order, n_bytes in last:
-        entries += min(grams.size, (len(grams.chars) + len(grams.words)) * (n_bytes or 0))
+    for order, n in sizes:
+        entries += n
         if chosen and entries > max_entries:
             break
         chosen.append(order)
     if not chosen:
         return Sample([], np.zeros(0, np.int32), np.zeros(0), np.zeros(1, np.int64))
-    found = ordered.where(F.col("order") <= chosen[-1]).mapInArrow(task, schema).orderBy("order", "label").limit(max_rows).collect()
+    found = ordered.where(F.col("order") <= chosen[-1]).mapInArrow(lambda b: task(b, True), schema).orderBy("order", "label").limit(len(chosen)).collect()
     index = [np.frombuffer(bytes(r["index"]), "<i4") for r in found]
-    value = [np.frombuffer(bytes(r["value"]), "<u2").astype(np.float64) for r in found] if counts else [np.ones(len(i)) for i in index]
-    return Sample([r["label"] for r in found], np.concatenate(index), np.concatenate(value), np.concatenate([[0], np.cumsum([len(i) for i in index])]))
+    value = [np.frombuffer(bytes(r["value"]), "<u2").astype(np.float32) for r in found] if counts else []
+    start = np.concatenate([[0], np.cumsum([len(i) for i in index])])
+    return Sample([r["label"] for r in found], np.concatenate(index), np.concatenate(value) if counts else np.zeros(0, np.float32), start)

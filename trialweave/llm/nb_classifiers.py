@@ -60,15 +60,14 @@ class Rows:
     def __init__(self, sample: Sample, ratios: np.ndarray, which: np.ndarray, unit: bool):
         self.index = [sample.index[sample.row(k)] for k in which]
         self.index = [i[ratios[i] != 0.0] for i in self.index]
-        self.value = [ratios[i] for i in self.index]
+        self.value = [ratios[i].astype(np.float32) for i in self.index]
         if unit:
             self.value = [v / (np.sqrt(v @ v) or 1.0) for v in self.value]
         self.y = np.array([1.0 if sample.labels[k] == "1" else -1.0 for k in which])
 
     def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        row = np.repeat(np.arange(len(self.index)), [len(i) for i in self.index])
-        empty = np.zeros(0)
-        return row, np.concatenate([empty.astype(int), *self.index]), np.concatenate([empty, *self.value])
+        row = np.repeat(np.arange(len(self.index), dtype=np.int32), [len(i) for i in self.index])
+        return row, np.concatenate([np.zeros(0, np.int32), *self.index]), np.concatenate([np.zeros(0, np.float32), *self.value])
 
     def margins(self, w: np.ndarray, b: float) -> np.ndarray:
         return np.array([v @ w[i] for i, v in zip(self.index, self.value, strict=True)]) + b
@@ -79,7 +78,10 @@ def logistic(rows: Rows, size: int, *, l2: float, steps: int = 60, memory: int =
     row, index, value = rows.flat()
     y, n = rows.y, len(rows.y)
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    used, at = np.unique(index, return_inverse=True)
+    used = np.flatnonzero(np.bincount(index, minlength=size))
+    place = np.zeros(size, np.int32)
+    place[used] = np.arange(len(used))
+    at = place[index]
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         z = y * (np.bincount(row, w[at] * value, n) + w[-1])
@@ -168,21 +170,23 @@ def platt(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (a, b) if a > 0 else (1.0, 0.0)
 
 
-def train(labelled: DataFrame, learner: str, *, grams: Grams, max_rows: int = 4000, max_entries: int = 40_000_000, l2: float = 1e-3, c: float = 1.0, unit: bool = False) -> BinaryModel | None:
+def train(labelled: DataFrame, learner: str, *, grams: Grams, max_rows: int = 6000, max_entries: int = 5_000_000, least_ratio: float = 0.5, l2: float = 1e-3, c: float = 1.0, unit: bool = False) -> BinaryModel | None:
     """Learn from ``labelled`` (text, label 0 or 1); None unless both classes occur.
 
-    ``learner`` is "logistic" or "hinge".  Log-count ratios cover every row.
-    Sample bound: at most ``max_rows`` rows, half of them of either class if
-    there are enough, chosen by a hash of their text.
+    ``learner`` is "logistic" or "hinge".  Log-count ratios cover every row;
+    those below ``least_ratio`` in size tell little and count as zero.  Sample
+    bound: at most ``max_rows`` rows, half of them of either class if there are
+    enough, chosen by a hash of their text, and ``max_entries`` features.
     """
     rows = labelled.where(F.col("label").isin(0, 1)).select(F.col("label").cast("int").cast("string").alias("label"), "text")
     counted = document_counts(rows, grams)
     if set(counted) != {"0", "1"}:
         return None
     ratios = log_ratios(counted["1"], counted["0"])
+    ratios[np.abs(ratios) < least_ratio] = 0.0
     order = unit_hash(F.xxhash64(F.coalesce("text", F.lit(""))), salt=2)
     share = F.when(F.col("label") == "1", min(1.0, max_rows / 2 / counted["1"][0])).otherwise(min(1.0, max_rows / 2 / counted["0"][0]))
-    sample = sample_features(rows.withColumn("order", order / share).where(F.col("order") < 1.0), grams, max_rows=max_rows, max_entries=max_entries, counts=False)
+    sample = sample_features(rows.withColumn("order", order / share).where(F.col("order") < 1.0), grams, max_rows=max_rows, max_entries=max_entries, counts=False, useful=ratios != 0.0)
     return fit(sample, ratios, learner, grams, l2=l2, c=c, unit=unit)
 
 
