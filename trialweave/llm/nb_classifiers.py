@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import checkpoint, stored, unit_hash
 from .grams import Grams, Sample, document_counts, sample_features
 
 
@@ -220,10 +220,15 @@ def score(docs: DataFrame, model: BinaryModel | None, threshold: float, *keep) -
     return rows.mapInArrow(task, schema)
 
 
-def with_labels(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+def with_labels(docs: DataFrame, labels: DataFrame, column: str, max_marks: int = 1_000_000) -> DataFrame:
     """(text, label) of the rows of ``docs`` that ``labels`` (doc_id, ``column``) marks; null ids and labels mark nothing.
 
-    An id marked twice counts once, as its greatest label.
+    An id marked twice counts once, as its greatest label.  Up to ``max_marks``
+    marks, of 12 bytes each, go to the documents; more are joined by a shuffle
+    whose result is stored, so that texts move once and not for every pass.
     """
-    marks = labels.where(F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(column).alias("label"))
-    return docs.select("doc_id", "text").join(marks, "doc_id").select("text", "label")
+    marks = checkpoint(labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).alias("label")))
+    rows = docs.select("doc_id", "text")
+    if marks.count() <= max_marks:
+        return rows.join(F.broadcast(marks), "doc_id").select("text", "label")
+    return stored(rows.join(marks, "doc_id").select("text", "label"))
