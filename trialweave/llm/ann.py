@@ -110,7 +110,7 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims) if len(column) else np.zeros((0, dims))
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 10, lists: int | None = None, probe: float = 0.5, sample_rows: int = 20_000, block_rows: int = 4096, epsilon: float = 2.1, column_block: int = 8, seed: int = 0) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 10, lists: int | None = None, probe: float = 0.7, sample_rows: int = 20_000, block_rows: int = 4096, epsilon: float = 2.1, column_block: int = 8, seed: int = 0) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``queries`` its ``k`` nearest of ``vectors`` by Euclidean distance.
 
     A query never finds its own id.  Ties go to the smaller id.  ``queries``
