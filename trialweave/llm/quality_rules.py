@@ -42,7 +42,10 @@ def _with_counts(docs: DataFrame, names: list[str]) -> DataFrame:
     if "n_repeat_words" in names:
         df = _with_repeats(df)
         out["n_repeat_words"] = F.col("_repeats")
-    return df.select("_doc", *[out[n].alias(n) for n in names])
+    # a predicate on counts that is pushed below the steps that make them repeats those steps in each place that uses
+    # them, and so over and over; a column that changes with the row's place stops it here
+    df = df.select("_doc", F.monotonically_increasing_id().alias("_place"), *[out[n].alias(n) for n in names])
+    return df.select("_doc", *[F.when(F.col("_place") >= 0, F.col(n)).alias(n) for n in names])
 
 
 def _with_repeats(df: DataFrame, width: int = 3) -> DataFrame:
@@ -123,7 +126,4 @@ def quality_rules(docs: DataFrame, *, min_words: int = 50, max_repeat_percent: i
 
 def keep_good(docs: DataFrame, *, min_words: int = 50, max_repeat_percent: int = 50, max_groups: int = 50_000, **how) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
-    rows = _judged(docs, min_words, max_repeat_percent, max_groups, **how)
-    # a predicate on counts, pushed below the steps that make them, would repeat them many times over; ids that change stop it
-    rows = rows.select("_doc", "kept", F.monotonically_increasing_id().alias("_place"))
-    return rows.where(F.col("kept") & (F.col("_place") >= 0)).select("_doc.*")
+    return _judged(docs, min_words, max_repeat_percent, max_groups, **how).where("kept").select("_doc.*")
