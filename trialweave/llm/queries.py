@@ -102,6 +102,58 @@ FROM judged GROUP BY r, doc_id
 """
 
 
+#: Substring dedup for DuckDB: windows by their text, words under a repeated one, and the rest.
+_SUBSTRING_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+repeated AS (SELECT r, i FROM windows JOIN (SELECT k FROM windows GROUP BY k HAVING count(*) > 1) USING (k)),
+gone AS (SELECT DISTINCT r, i + j AS p FROM repeated, range(35) u(j)),
+kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n
+  FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d) words ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+#: Quality rules for DuckDB; quantiles are exact here, as the sketches are on groups below their accuracy.
+_QUALITY_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+),
+grams AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+repeated AS (SELECT r, i FROM grams JOIN (SELECT r, g FROM grams GROUP BY r, g HAVING count(*) > 1) USING (r, g)),
+covered AS (SELECT r, count(DISTINCT i + j) AS n FROM repeated, range(3) u(j) GROUP BY r),
+c AS (
+  SELECT d.r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN covered USING (r)
+),
+q AS (SELECT *, CAST(word_chars::DOUBLE / n_words AS FLOAT) AS m, CAST(n_symbols::DOUBLE / n_words AS FLOAT) AS s, CAST(n_dup_lines::DOUBLE / n_words AS FLOAT) AS l FROM c),
+u AS (SELECT * FROM q WHERE n_words >= 50),
+g AS (
+  SELECT grouping(lang) + grouping(source) AS level, lang, source, count(*) AS n,
+    quantile_disc(m, 0.25)::DOUBLE AS m1, quantile_disc(m, 0.75)::DOUBLE AS m3, quantile_disc(s, 0.25)::DOUBLE AS s1, quantile_disc(s, 0.75)::DOUBLE AS s3,
+    quantile_disc(l, 0.25)::DOUBLE AS l1, quantile_disc(l, 0.75)::DOUBLE AS l3
+  FROM u GROUP BY GROUPING SETS ((lang, source), (lang), ())
+),
+f AS (
+  SELECT level, lang, source, n, m1 - greatest(3 * (m3 - m1), 1.0) AS m_low, m3 + greatest(3 * (m3 - m1), 1.5) AS m_high,
+    s3 + greatest(3 * (s3 - s1), 0.1) AS s_high, l3 + greatest(3 * (l3 - l1), 0.05) AS l_high FROM g
+),
+best AS (
+  SELECT q.*, CASE WHEN a.n >= 30 THEN a ELSE CASE WHEN b.n >= 30 THEN b ELSE e END END AS t
+  FROM q LEFT JOIN f a ON a.level = 0 AND a.lang IS NOT DISTINCT FROM q.lang AND a.source IS NOT DISTINCT FROM q.source
+  LEFT JOIN f b ON b.level = 1 AND b.lang IS NOT DISTINCT FROM q.lang LEFT JOIN f e ON e.level = 2
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+    AND coalesce(m >= t.m_low, true) AND coalesce(m <= t.m_high, true) AND coalesce(s <= t.s_high, true) AND coalesce(l <= t.l_high, true) AS kept
+FROM best
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB text for the queries that SQL can express."""
-    return {"op5_line_dedup": _LINE_SQL}
+    return {"op4_substring_dedup": _SUBSTRING_SQL, "op5_line_dedup": _LINE_SQL, "op10_quality_rules": _QUALITY_SQL}
