@@ -183,6 +183,16 @@ def test_failures_go_on_to_the_next_level(spark, tmp_path):
     assert out.where("not success and output is not null").count() == 0
 
 
+def test_files_of_programs_are_kept_as_configured(spark, tmp_path, monkeypatch):
+    (tmp_path / "scratch").mkdir()
+    levels, s = [{"sampler": "s", "runner": "p"}], {"s": {"type": "array_sampler", "bounds": [[1, 2], [5]], "parameters": ["c1", "c2"]}}
+    program = {"p": {"type": "process_runner", "command": ["sh", "-c", "echo x > other.txt; echo {c2}"]}}
+    c = config(tmp_path / "run", levels, s, program, save_files="custom", save_files_list=["output.txt"], local_storage=str(tmp_path / "scratch"))
+    assert {r.output for r in run_campaign(spark, c).collect()} == {5.0}
+    kept = sorted(str(p.relative_to(tmp_path / "run/runs")) for p in (tmp_path / "run/runs").rglob("*.txt"))
+    assert kept == ["d0_b0_s0_r0/output.txt", "d0_b0_s1_r0/output.txt"] and not list((tmp_path / "scratch").iterdir())
+
+
 def test_resume_after_a_kill(spark, tmp_path):
     s = {"type": "RandomSamplerWithKill", "bounds": [[0, 1], [0, 1]], "parameters": ["c1", "c2"], "budget": 50, "batch_size": 10, "kill_after": 4}
     levels = [{"sampler": "s", "runner": "r"}]

@@ -140,11 +140,13 @@ class FunctionRunner(Runner):
     which ``keep`` ("all", "custom" with ``keep_files``, or "none") says what is
     moved to ``keep_dir`` before it is removed; rows are all that is returned.
     ``write_input(params, folder)`` may put input files there first.
+    ``scratch_dir`` is where scratch folders are made: a path, or the name of
+    an environment variable that holds one on each executor.
     """
 
     def __init__(self, function: Callable[[str, dict], dict], output_fields: dict[str, str] | None = None, keep: str = "none", keep_files: Sequence[str] = (), keep_dir: str | None = None, write_input: Callable[[dict, str], None] | None = None, name: str = "function_runner", **_: Any):
         super().__init__(name)
-        self.write_input = write_input
+        self.write_input, self.scratch_dir = write_input, None
         self.function, self.keep, self.keep_files, self.keep_dir = function, keep, set(keep_files), keep_dir
         self.fields = {"output": "double"} | (output_fields or {})
 
@@ -158,7 +160,7 @@ class FunctionRunner(Runner):
                 shutil.copy2(os.path.join(scratch, file), os.path.join(target, file))
 
     def one(self, row: dict, parameters: Sequence[str]) -> dict:
-        start, scratch = time.perf_counter(), tempfile.mkdtemp(prefix="run-")
+        start, scratch = time.perf_counter(), tempfile.mkdtemp(prefix="run-", dir=os.environ.get(self.scratch_dir or "", self.scratch_dir))
         try:
             if self.write_input is not None:
                 self.write_input({p: row[p] for p in parameters}, scratch)

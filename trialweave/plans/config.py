@@ -9,7 +9,7 @@ from typing import Any
 import yaml
 
 from ..operators import adaptive  # noqa: F401  registers the adaptive samplers
-from ..operators.runners import Runner, make_runner
+from ..operators.runners import FunctionRunner, Runner, make_runner
 from ..operators.samplers import Sampler, make_sampler
 
 RUN_MODES = ("fresh", "resume", "extend")
@@ -49,6 +49,15 @@ def _listed(value: Any) -> list:
     return value if isinstance(value, list) else [value]
 
 
+def _keep_files(runner: FunctionRunner, supervisor: dict[str, Any], base: str) -> None:
+    """``save_files`` (all, custom or none; anything else is all), ``save_files_list`` and ``local_storage`` apply to programs' scratch folders."""
+    if save := supervisor.get("save_files"):
+        runner.keep = save if save in ("custom", "none") else "all"
+        runner.keep_files = set(supervisor.get("save_files_list") or ())
+        runner.keep_dir = f"{base}/runs"
+    runner.scratch_dir = supervisor.get("local_storage") or runner.scratch_dir
+
+
 def parse(config: dict[str, Any]) -> Campaign:
     """``samplers``, ``runners`` and ``supervisor`` (run_order, base_run_dir, ...); ``executors`` are named but Spark's own.
 
@@ -76,7 +85,11 @@ def parse(config: dict[str, Any]) -> Campaign:
             raise ValueError("a level names one executor, or one for each runner")
         if executors and (missing := [e for e in named if e not in executors]):
             raise ValueError(f"unknown executor: {missing}")
-        levels.append(Level(entry["sampler"], make_sampler(samplers[entry["sampler"]]), [make_runner(n, runners[n]) for n in names]))
+        made = [make_runner(n, runners[n]) for n in names]
+        for r in made:
+            if isinstance(r, FunctionRunner):
+                _keep_files(r, supervisor, base)
+        levels.append(Level(entry["sampler"], make_sampler(samplers[entry["sampler"]]), made))
     storage = config.get("storage") or {}
     return Campaign(
         levels, os.path.expandvars(base), mode, bool(supervisor.get("log_failures", False)), supervisor.get("summary_datatype", "csv"),
