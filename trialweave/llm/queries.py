@@ -11,7 +11,7 @@ from . import ann, language_id, line_dedup, mixing, nb_classifiers, packing, qua
 from .common import id_remainder
 from .grams import Grams
 
-TOXIC_GRAMS = Grams(chars=(3, 4, 5, 6), words=(1,), bits=19)
+TOXIC_GRAMS = Grams(chars=(3, 4, 5, 6), bits=19)
 QUALITY_GRAMS = Grams(chars=(1, 2), words=(1, 2, 3), bits=18, lower=False, mark_repeats=True)
 
 
