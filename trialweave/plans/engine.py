@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import run_dir
 from ..operators.adaptive import BayesianOptimizationSampler
-from ..operators.expand import cross_parents, ordered
+from ..operators.expand import cross_parents, ordered, union_batches
 from ..operators.runners import Runner
 from ..operators.samplers import Sampler
 from ..sources import files, sinks
@@ -143,8 +143,6 @@ class Engine:
 
     def progress(self) -> DataFrame:
         frames = [self.store.level(d) for d in range(len(self.campaign.levels))]
-        from ..operators.expand import union_batches
-
         return progress.progress(union_batches([f.select("depth", "batch", "success") for f in frames if f is not None]))
 
 

@@ -6,13 +6,13 @@ crash cannot double it; only batches with a record count.
 
 from __future__ import annotations
 
+import itertools
 import json
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.expand import union_batches
 from . import files
 
 
@@ -55,21 +55,29 @@ class Store:
                 found.append(Commit(**json.loads(files.read_text(self.spark, f"{self.base}/commits/{name}"))))
         return sorted((c for c in found if depth is None or c.depth == depth), key=lambda c: (c.depth, c.batch))
 
-    def batch(self, depth: int, batch: int) -> DataFrame:
-        df = self.spark.read.parquet(self._folder(depth, batch))
-        return df.select(F.lit(depth).alias("depth"), F.lit(batch).alias("batch"), *df.columns)
+    def _rows(self, commits: list[Commit]) -> DataFrame | None:
+        """The batches of ``commits`` as one scan; columns by name, missing ones null."""
+        if not commits:
+            return None
+        reader = self.spark.read.option("mergeSchema", True).option("basePath", f"{self.base}/data")
+        df = reader.parquet(*[self._folder(c.depth, c.batch) for c in commits])
+        return df.select("depth", "batch", *[c for c in df.columns if c not in ("depth", "batch")])
+
+    def batch(self, depth: int, batch: int) -> DataFrame | None:
+        return self._rows([c for c in self.commits(depth) if c.batch == batch])
 
     def level(self, depth: int) -> DataFrame | None:
-        """All committed rows of a level; columns by name, missing ones null."""
-        return union_batches(frames) if (frames := [self.batch(depth, c.batch) for c in self.commits(depth)]) else None
+        """All committed rows of a level."""
+        return self._rows(self.commits(depth))
 
     def parents(self, depth: int) -> DataFrame | None:
         """The level's rows with ``parent``, their place in (batch, sample) order: sizes of batches are in the records."""
-        frames, before = [], 0
-        for c in self.commits(depth):
-            frames.append(self.batch(depth, c.batch).withColumn("parent", F.col("sample") + before))
-            before += c.rows
-        return union_batches(frames) if frames else None
+        commits = self.commits(depth)
+        if not commits:
+            return None
+        starts = [0, *itertools.accumulate(c.rows for c in commits)]
+        offsets = self.spark.createDataFrame([(c.batch, n) for c, n in zip(commits, starts, strict=False)], "batch int, _before long")  # a row per batch
+        return self._rows(commits).join(F.broadcast(offsets), "batch").withColumn("parent", F.col("sample") + F.col("_before")).drop("_before")
 
     def drop_from(self, depth: int) -> None:
         """Forget levels from ``depth`` on."""
