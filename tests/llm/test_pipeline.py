@@ -31,3 +31,24 @@ def test_stages(spark, tmp_path):
     assert packed.select("doc_id").distinct().count() == mix.select("doc_id").distinct().count()
     key = lambda df: sorted(map(tuple, df.select("doc_id", "start", "length", "ids_crc32").collect()))
     assert key(corpus_pipeline.run(spark, SF)) == key(packed)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, blank texts, repeated rows and an empty table go through every stage."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    prose = [" ".join(f"w{k}x{j}{'ab'[j % 2] * (j % 5)}" for j in range(70)) for k in range(12)]
+    rows = [(k, t, "en" if k % 3 else None, "s" if k % 2 else None, len(t)) for k, t in enumerate(prose)]
+    rows += [rows[3], (40, None, None, None, None), (41, "", "en", "s", 0), (None, prose[5], "en", "s", 1), (42, prose[7] + " end", "en", "s", 1)]
+    rows += [(None, p.upper() + " q", None, "s", 1) for p in (prose[0][::-1], prose[1][::-1], prose[1][::-1])]  # two documents without ids
+    for n, table in enumerate([rows, []]):
+        docs = spark.createDataFrame(table, schema)
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, SF).write.parquet(f"{tmp_path}/{n}/{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{n}/{name}")
+            if name == "simhash":
+                ids = [r.doc_id for r in docs.collect()]
+                assert sorted(i for i in ids if i is not None) == (list(range(12)) if table else [])
+                assert ids.count(None) == (2 if table else 0)
+            if k < 4:
+                assert docs.columns == corpus_pipeline.COLUMNS
+        assert (docs.count() > 0) == bool(table)

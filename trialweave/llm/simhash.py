@@ -212,6 +212,17 @@ def links(fps: DataFrame, *, threshold: int = 4, max_homes: int = 20_000, max_ho
     return rows.mapInArrow(lambda b: _compare_task(b, threshold), "a long, b long")
 
 
+def _grouped(docs: DataFrame, width: int, seed: int, threshold: int) -> DataFrame:
+    """(doc_id, fp, root, component_id) for every row of ``docs``; ``root`` names the component by a fingerprint."""
+    rows = checkpoint(fingerprints(docs, width=width, seed=seed))
+    least = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = checkpoint(connected_components(links(least, threshold=threshold)))
+    named = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_fp = named.join(of_root, "root").select("fp", "root", "component_id")
+    return rows.join(of_fp, "fp").select("doc_id", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 4, seed: int = 42, threshold: int = 4) -> DataFrame:
     """(doc_id, fingerprint: 16 hex digits, component_id: the least doc_id reachable over links) for every row of ``docs``.
 
@@ -221,24 +232,33 @@ def near_duplicates(docs: DataFrame, *, width: int = 4, seed: int = 42, threshol
     which links like any other.  A null id never names a component unless it is
     all that the component has.  Repeated rows come back as often as they came.
     """
-    rows = checkpoint(fingerprints(docs, width=width, seed=seed))
-    least = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = checkpoint(connected_components(links(least, threshold=threshold)))
-    named = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(of_root, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = _grouped(docs, width, seed, threshold)
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, *, width: int = 4, seed: int = 42, threshold: int = 4) -> DataFrame:
     """``docs`` without near-duplicates: of each component the document with the least id stays, once.
 
-    Documents of null id are their own component's last choice; where several
-    rows share the kept id, the one with the least text stays.
+    Rows that share the kept id count as one document.  Of a component without
+    any id, one row of the least fingerprint stays.  All columns pass through.
     """
-    found = near_duplicates(docs, width=width, seed=seed, threshold=threshold)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "fingerprint").agg(F.count("*").alias("copies"))
-    one = checkpoint(kept.groupBy("component_id").agg(F.min("fingerprint").alias("fingerprint")))
-    names = docs.columns
-    rows = docs.join(one, docs["doc_id"].eqNullSafe(one["component_id"]), "left_semi")
-    return rows.select(*names).dropDuplicates(["doc_id"])
+    groups = checkpoint(_grouped(docs, width, seed, threshold))
+    ids = groups.where("component_id is not null").select(F.col("component_id").alias("_kept")).distinct()
+    # both steps work on the id, so texts move once
+    named = docs.join(ids, docs["doc_id"] == ids["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    fps = groups.where("component_id is null").groupBy("root").agg(F.min("fp").alias("fp")).select("fp")
+    nameless = docs.where(docs["doc_id"].isNull())
+    return named.unionByName(_one_of_each(nameless, fps, width, seed))
+
+
+def _one_of_each(docs: DataFrame, fps: DataFrame, width: int, seed: int) -> DataFrame:
+    """One row of ``docs`` for each fingerprint of ``fps``."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.col("text").cast("binary").alias("raw"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.fromiter((fingerprint(t.as_py(), width, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["_doc", "fp"])
+
+    marked = rows.mapInArrow(task, rows.drop("raw").schema.add("fp", "long"))
+    return marked.join(fps, "fp", "left_semi").dropDuplicates(["fp"]).select("_doc.*")
