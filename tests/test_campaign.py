@@ -257,6 +257,34 @@ def test_failure_model_keeps_away(spark):
     assert sum(r.x < 0.6 for r in s.propose(spark, seen, 5).collect()) >= 6
 
 
+def test_bayesian_optimization_fits_every_observation(spark, monkeypatch):
+    from trialweave.operators import surrogate
+
+    fitted = []
+    monkeypatch.setattr(surrogate.GaussianProcess, "fit", lambda x, y, *a, **k: fitted.append((x, y)))
+    rows = spark.range(0, 4202, 1, 4).select((F.col("id") / 4202).alias("x"), F.when(F.col("id") % 2 == 1, F.col("id").cast("double")).alias("output"), (F.col("id") % 2 == 1).alias("success"))
+    s = adaptive.BayesianOptimizationSampler([(0, 1)], ["x"], model_failures=True)
+    _, good, bad = s.fitted(rows)
+    x, y = fitted[0]
+    assert len(x) == len(good) == len(bad) == 2101 and y.max() == 4201.0  # the incumbent is in the last row
+    s.fitted(rows.repartition(3))
+    assert (fitted[1][0] == x).all() and (fitted[1][1] == y).all()
+    with pytest.raises(ValueError, match="max_observations"):
+        adaptive.BayesianOptimizationSampler([(0, 1)], ["x"], max_observations=2000).fitted(rows)
+
+
+def test_active_learning_measures_to_every_observation(spark):
+    import numpy as np
+
+    s = adaptive.ActiveLearningSampler([(0, 1)], 20, ["x"], "GSx", n_candidates=200, batch_size=1)
+    # 5,000 rows near 0, and behind them rows that cover all but the surroundings of 0.4
+    x = [k / 50_000 for k in range(5000)] + [v / 1000 for v in range(100, 1001) if abs(v - 400) > 50]
+    seen = spark.createDataFrame([(v, v, True) for v in x], "x double, output double, success boolean").coalesce(1)
+    pool = np.array([r.x for r in s.pool(spark).collect()])
+    best = pool[np.abs(pool[:, None] - np.array(x)[None]).min(1).argmax()]
+    assert [r.x for r in s.propose(spark, seen, 1).collect()] == [best] and abs(best - 0.4) < 0.05
+
+
 # --- models ---
 
 

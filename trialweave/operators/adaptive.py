@@ -1,8 +1,9 @@
 """Samplers that look at results: pool-based active learning and Bayesian optimization.
 
-The observations that a model is fitted on are few by nature (a campaign's
-budget) and bounded here by ``max_observations``; candidate pools stay
-DataFrames and are scored where they lie.
+A model is fitted on the driver on every observation, in an order of their
+values, so that reruns agree.  ``max_observations`` cuts nothing: where it is
+set, more observations raise.  Candidate pools stay DataFrames and are scored
+where they lie.
 """
 
 from __future__ import annotations
@@ -36,6 +37,14 @@ def failures(results: DataFrame, parameters: Sequence[str]) -> DataFrame:
     return results.where(~F.coalesce(F.col("success"), F.lit(False))).select(*parameters)
 
 
+def gathered(rows: DataFrame, most: int | None) -> pd.DataFrame:
+    """All of ``rows`` on the driver, ordered by their values; ValueError if there are more than ``most``."""
+    found = (rows if most is None else rows.limit(most + 1)).toPandas()
+    if most is not None and len(found) > most:
+        raise ValueError(f"more than max_observations={most} rows; a model is fitted on all of them or not at all")
+    return found.sort_values(list(found.columns), ignore_index=True)
+
+
 def reduced_target(columns: Sequence[str], names: Sequence[str]) -> Column:
     """The objective: the sum of the named columns, or ``output`` if there are none; KeyError if neither exists."""
     there = [n for n in names if n in columns]
@@ -74,7 +83,7 @@ class ActiveLearningSampler(Sampler):
     adaptive = True
     truncates = False
 
-    def __init__(self, bounds, budget, parameters, query_strategy: str = "GreedySamplingTarget", n_candidates: int = 1000, batch_size=None, seed: int = 0, max_observations: int = 5000, **_: Any):
+    def __init__(self, bounds, budget, parameters, query_strategy: str = "GreedySamplingTarget", n_candidates: int = 1000, batch_size=None, seed: int = 0, max_observations: int | None = None, **_: Any):
         super().__init__(bounds, parameters, budget, batch_size, seed)
         self.strategy = {"GreedySamplingTarget": "GSi", "GreedySamplingX": "GSx"}.get(query_strategy, query_strategy)
         if self.strategy not in STRATEGIES:
@@ -103,7 +112,7 @@ class ActiveLearningSampler(Sampler):
         if n <= 0:
             return None
         seen = observations(results, self.parameters)
-        known = seen.limit(self.max_observations).toPandas() if seen is not None else None
+        known = gathered(seen, self.max_observations) if seen is not None else None
         if known is None or known.empty:
             return self.batch(spark, number)
         pool = self.remaining(spark, results)
@@ -123,11 +132,12 @@ class ActiveLearningSampler(Sampler):
 
             def score(batches: Iterator[pd.DataFrame], have_x=have_x, have_y=have_y) -> Iterator[pd.DataFrame]:
                 for pdf in batches:
-                    points = pdf[parameters].to_numpy(float)
-                    dx = np.sqrt(((points[:, None] - have_x[None]) ** 2).sum(-1))
-                    dy = np.abs(model.predict(points)[:, None] - have_y[None])
-                    value = {"GSx": dx, "GSy": dy, "GSi": dx * dy}[strategy].min(1)
-                    yield pdf.assign(_score=value)
+                    value = [np.zeros(0)]
+                    for points in surrogate.blocks(pdf[parameters].to_numpy(float), have_x):
+                        dx = np.sqrt(((points[:, None] - have_x[None]) ** 2).sum(-1))
+                        dy = np.abs(model.predict(points)[:, None] - have_y[None])
+                        value.append({"GSx": dx, "GSy": dy, "GSi": dx * dy}[strategy].min(1))
+                    yield pdf.assign(_score=np.concatenate(value))
 
             schema = T.StructType([*pool.schema.fields, T.StructField("_score", T.DoubleType())])
             taken = [r["cand_id"] for r in rows]
@@ -156,7 +166,7 @@ class BayesianOptimizationSampler(Sampler):
     adaptive = True
     truncates = False
 
-    def __init__(self, bounds, parameters, budget: int = 20, initial_samples: int = 50, acquisition_batch_size: int = 20, acquisition_function: str = "qLEI", kernel: str = "matern32", beta: float = 0.2, random_fraction: float = 0.0, asynchronous: bool = False, model_failures: bool = False, observations: Sequence[str] = ("output",), raw_samples: int = 1024, count_warmup: bool = False, fully_bayesian: bool = False, max_observations: int = 2000, seed: int = 0, **ignored: Any):
+    def __init__(self, bounds, parameters, budget: int = 20, initial_samples: int = 50, acquisition_batch_size: int = 20, acquisition_function: str = "qLEI", kernel: str = "matern32", beta: float = 0.2, random_fraction: float = 0.0, asynchronous: bool = False, model_failures: bool = False, observations: Sequence[str] = ("output",), raw_samples: int = 1024, count_warmup: bool = False, fully_bayesian: bool = False, max_observations: int | None = None, seed: int = 0, **ignored: Any):
         super().__init__(bounds, parameters, budget, acquisition_batch_size, seed)
         if fully_bayesian:
             raise NotImplementedError("sampling the posterior of hyperparameters is not supported; the process is fitted by maximum likelihood")
@@ -192,8 +202,9 @@ class BayesianOptimizationSampler(Sampler):
         if results is None:
             return None, none, none
         target = reduced_target(results.columns, self.observed)
-        good = observations(results.withColumn("_target", target), self.parameters, "_target").limit(self.max_observations).toPandas()
-        bad = failures(results, self.parameters).limit(self.max_observations).toPandas() if self.model_failures else None
+        good = observations(results.withColumn("_target", target), self.parameters, "_target")
+        good = gathered(good, self.max_observations)
+        bad = gathered(failures(results, self.parameters), self.max_observations) if self.model_failures else None
         x = good[self.parameters].to_numpy(float)
         gp = surrogate.GaussianProcess.fit(self._unit(x), good["output"].to_numpy(float), self.kernel, seed=self.seed) if len(x) else None
         return gp, x, none if bad is None else bad[self.parameters].to_numpy(float)
@@ -243,4 +254,4 @@ def score_pool(pool: DataFrame, gp: surrogate.GaussianProcess, parameters: Seque
 
 
 SAMPLERS.add(ActiveLearningSampler, BayesianOptimizationSampler)
-__all__ = ["ActiveLearningSampler", "BayesianOptimizationSampler", "failures", "least_distance", "observations", "reduced_target", "score_pool"]
+__all__ = ["ActiveLearningSampler", "BayesianOptimizationSampler", "failures", "gathered", "least_distance", "observations", "reduced_target", "score_pool"]

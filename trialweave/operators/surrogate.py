@@ -1,8 +1,9 @@
-"""Surrogate models on the driver, small by construction, and acquisition functions; scoring of pools is distributed."""
+"""Surrogate models on the driver, over all observations given, and acquisition functions; scoring of pools is distributed."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -129,6 +130,13 @@ def propose(gp: GaussianProcess, candidates: np.ndarray, q: int, name: str = "qL
     return np.array(picked, int)
 
 
+def blocks(points: np.ndarray, known: np.ndarray, numbers: int = 4_000_000) -> Iterator[np.ndarray]:
+    """``points`` in order, as blocks whose differences to all of ``known`` hold about ``numbers`` numbers."""
+    step = max(1, numbers // max(1, known.size))
+    for k in range(0, len(points), step):
+        yield points[k : k + step]
+
+
 @dataclass
 class KernelRegression:
     """Bagged kernel-weighted means: ``members`` bootstrap samples of the observations."""
@@ -143,6 +151,9 @@ class KernelRegression:
         return cls([(x[d], y[d]) for d in draws], gamma or 1.0 / max(1e-12, x.shape[1] * float(x.var()) or 1.0))
 
     def predict(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *[self._predict(part) for part in blocks(x, self.members[0][0])]])
+
+    def _predict(self, x: np.ndarray) -> np.ndarray:
         out = []
         for a, b in self.members:
             d2 = ((x[:, None] - a[None]) ** 2).sum(-1)
