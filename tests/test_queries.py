@@ -49,3 +49,18 @@ def test_cross_product_is_broadcast(spark):
     text = plan(QUERIES["campaign_flagship"](spark, SF))
     assert "BroadcastNestedLoopJoin" in text and "CartesianProduct" not in text
     assert "l_extendedprice" not in text
+
+
+def test_process_queries_learn_from_every_part(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from trialweave.plans.queries import _fitted, _observed
+
+    parts = spark.read.parquet(f"{SF}/part.parquet")
+    _, best, rows = _fitted(spark, SF)
+    assert _observed(rows).agg(F.sum("n")).first()[0] == parts.count()
+    true = parts.select("p_partkey", (F.sin(3 * (F.col("p_size") - 1) / 49) + (F.col("p_retailprice") - 900) / 100).alias("y")).toPandas()
+    found = QUERIES["gp_posterior"](spark, SF).toPandas().merge(true, on="p_partkey")
+    assert best == pytest.approx(true["y"].max()) and len(found) == len(true)
+    assert np.abs(found["mean"] - found["y"]).max() < 0.02

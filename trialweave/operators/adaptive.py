@@ -239,10 +239,13 @@ class BayesianOptimizationSampler(Sampler):
         return spark.createDataFrame([[k, *p] for k, p in enumerate(points)], schema)
 
 
-def score_pool(pool: DataFrame, gp: surrogate.GaussianProcess, parameters: Sequence[str], bounds: Sequence[Sequence[float]], name: str = "qLEI", beta: float = 0.2) -> DataFrame:
-    """``pool`` with posterior mean, sd and acquisition of every row; the fitted process goes to the rows."""
+def score_pool(pool: DataFrame, gp: surrogate.GaussianProcess, parameters: Sequence[str], bounds: Sequence[Sequence[float]], name: str = "qLEI", beta: float = 0.2, best: float | None = None) -> DataFrame:
+    """``pool`` with posterior mean, sd and acquisition of every row; the fitted process goes to the rows.
+
+    ``best`` is the incumbent where the process was fitted on means and does not hold it.
+    """
     low, high = np.array(bounds, float).T
-    best = float(gp.y.max())
+    best = float(gp.y.max()) if best is None else best
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
