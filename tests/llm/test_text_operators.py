@@ -220,6 +220,16 @@ def test_packing(docs, rows):
     assert padding == 0
 
 
+def test_packing_looks_at_every_sequence():
+    """Forty cheaper sequences are too full for the pieces of 33; the five dear ones hold them whole."""
+    import numpy as np
+
+    packer = packing.Packer(0, 100, 1.0, 1.0)
+    lengths = [60] * 5 + [35] * 80 + [33] * 5 + [30] * 40 + [7] * 5
+    left = packer.pack([(k, np.zeros(n, np.uint32), 0, n) for k, n in enumerate(lengths)], last=False)
+    assert not left and sorted((r[0], r[2]) for r in packer.rows) == list(enumerate(lengths))
+
+
 def test_packing_balances_cost():
     import numpy as np
 

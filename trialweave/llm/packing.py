@@ -15,7 +15,6 @@ tokens left over join the next group, so memory does not grow with the input.
 
 from __future__ import annotations
 
-import heapq
 import json
 import zlib
 from collections.abc import Callable, Iterator
@@ -114,25 +113,24 @@ class Packer:
         pieces = sorted(pieces, key=lambda p: -len(p[1]))
         if not rooms:
             return pieces
-        open_, used = [(0.0, self.new_id(), room, 0) for room in rooms], []
-        heapq.heapify(open_)
+        ids = [self.new_id() for _ in rooms]
+        room, cost, offset = np.array(rooms), np.zeros(len(rooms)), [0] * len(rooms)
+        n_open = len(rooms)  # a full sequence costs infinitely much
         left: list[tuple] = []
         for piece in pieces:
             at, n = 0, len(piece[1])
-            while at < n and open_:
-                # the cheapest sequence with room for all of it, among a few; else cut at the cheapest
-                tried = []
-                while open_ and open_[0][2] < n - at and len(tried) < 32:
-                    tried.append(heapq.heappop(open_))
-                chosen = heapq.heappop(open_) if open_ and open_[0][2] >= n - at else tried.pop(0) if tried else heapq.heappop(open_)
-                for x in tried:
-                    heapq.heappush(open_, x)
-                cost, sequence, room, offset = chosen
-                take = min(room, n - at)
-                self._put(piece, at, take, sequence, offset)
-                at += take
-                if take < room:
-                    heapq.heappush(open_, (cost + self.cost(take), sequence, room - take, offset + take))
+            while at < n and n_open:
+                # the cheapest of all sequences with room for the whole of it; if there is none, cut at the cheapest
+                k = int(np.where(room >= n - at, cost, np.inf).argmin())
+                if room[k] < n - at:
+                    k = int(cost.argmin())
+                take = min(int(room[k]), n - at)
+                self._put(piece, at, take, ids[k], offset[k])
+                at, offset[k] = at + take, offset[k] + take
+                room[k] -= take
+                cost[k] += self.cost(take)
+                if not room[k]:
+                    cost[k], n_open = np.inf, n_open - 1
             if at < n:
                 left.append((piece[0], piece[1][at:], piece[2] + at, piece[3]))
         return left
