@@ -83,6 +83,14 @@ def test_keep_one(docs, rows):
     assert sorted(x.doc_id for x in kept.collect()) == sorted(want)
 
 
+def test_keep_one_tells_documents_of_one_id_apart(spark):
+    """Id 1 names two documents that are no near-duplicates; one has a copy under id 2, the other under id 3."""
+    a, b, c = (" ".join(f"{w}{k}" for k in range(60)) for w in ("red", "blue", "green"))
+    df = spark.createDataFrame([(1, a), (2, a), (1, b), (3, b), (4, c), (4, c), (None, c), (None, "lone"), (None, "lone")], "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(df).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (4, c), (None, "lone")], key=str)
+
+
 @pytest.mark.parametrize("max_homes", [3, 20_000])
 def test_links_join_all_close_fingerprints(spark, max_homes):
     """Chains and dense clusters of random fingerprints, with anchors dealt to several tasks."""

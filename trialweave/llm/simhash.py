@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_or_shuffled
+from .common import checkpoint, same, small_or_shuffled
 from .components import connected_components
 
 BITS = 64
@@ -236,23 +236,30 @@ def near_duplicates(docs: DataFrame, *, width: int = 4, seed: int = 42, threshol
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, width: int = 4, seed: int = 42, threshold: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, *, width: int = 4, seed: int = 42, threshold: int = 4, max_shared: int = 100_000) -> DataFrame:
     """``docs`` without near-duplicates: of each component the document with the least id stays, once.
 
-    Rows that share the kept id count as one document.  Of a component without
-    any id, one row of the least fingerprint stays.  All columns pass through.
+    Of rows that share the kept id within a component, one of the least
+    fingerprint stays; in other components they are documents of their own.
+    Of a component without any id, one row of the least fingerprint stays.
+    All columns pass through.
     """
     groups = checkpoint(_grouped(docs, width, seed, threshold))
-    ids = groups.where("component_id is not null").select(F.col("component_id").alias("_kept")).distinct()
-    # both steps work on the id, so texts move once
-    named = docs.join(ids, docs["doc_id"] == ids["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    fps = groups.where("component_id is null").groupBy("root").agg(F.min("fp").alias("fp")).select("fp")
-    nameless = docs.where(docs["doc_id"].isNull())
-    return named.unionByName(_one_of_each(nameless, fps, width, seed))
-
-
-def _one_of_each(docs: DataFrame, fps: DataFrame, width: int, seed: int) -> DataFrame:
-    """One row of ``docs`` for each fingerprint of ``fps``."""
+    mine = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = checkpoint(mine.groupBy("root").agg(F.min("doc_id").alias("kept_id"), F.min("fp").alias("fp")).drop("root"))
+    texts = groups.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
+    shared = small_or_shuffled(checkpoint(texts.where("low < high").select(F.col("doc_id").alias("shared_id"))), max_shared)
+    # an id of one fingerprint is in one component: both steps work on the id, so texts move once
+    ids = chosen.join(shared, F.col("kept_id") == F.col("shared_id"), "left_anti").where("kept_id is not null").select("kept_id")
+    named = docs.join(ids, docs["doc_id"] == ids["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    # only rows whose id does not tell which document is meant are fingerprinted again
+    exact = chosen.join(shared, F.col("kept_id") == F.col("shared_id"), "left_semi").unionByName(chosen.where("kept_id is null"))
+    unsure = docs.join(shared, docs["doc_id"] == shared["shared_id"], "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
+    return named.unionByName(_one_of_each(unsure, exact, width, seed))
+
+
+def _one_of_each(docs: DataFrame, chosen: DataFrame, width: int, seed: int) -> DataFrame:
+    """One row of ``docs`` for each (kept_id, fp) of ``chosen``."""
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.col("text").cast("binary").alias("raw"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,4 +268,5 @@ def _one_of_each(docs: DataFrame, fps: DataFrame, width: int, seed: int) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["_doc", "fp"])
 
     marked = rows.mapInArrow(task, rows.drop("raw").schema.add("fp", "long"))
-    return marked.join(fps, "fp", "left_semi").dropDuplicates(["fp"]).select("_doc.*")
+    marked = marked.withColumn("kept_id", F.col("_doc.doc_id").cast("long"))
+    return marked.join(chosen, same(marked, chosen, ["kept_id", "fp"]), "left_semi").dropDuplicates(["kept_id", "fp"]).select("_doc.*")
