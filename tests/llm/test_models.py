@@ -117,6 +117,18 @@ def test_classifier_edge_cases(spark):
     assert nb_classifiers.score(odd, None, 0.5, "doc_id").where("score <> 0 or predicted <> 0").count() == 0
 
 
+@pytest.mark.parametrize("learner", ["logistic", "hinge"])
+def test_mild_ratios_count(spark, learner):
+    """Classes that differ only by how often they have a few words: in 60 of 100 texts or in 45."""
+    r = np.random.default_rng(4)
+    texts = [(" ".join(f"{'yes' if r.random() < (0.6 if y else 0.45) else 'not'}{k}" for k in range(12)), y) for y in (0, 1) for _ in range(400)]
+    grams = Grams((), (1,), 14)
+    model = nb_classifiers.train(spark.createDataFrame(texts, "text string, label int"), learner, grams=grams)
+    of = model.scorer()
+    pos, neg = ([of(t) for t, y in texts if y == want] for want in (1, 0))
+    assert len({*pos, *neg}) > 100 and np.mean([a > b for a in pos for b in neg]) > 0.7
+
+
 def test_log_ratios():
     r = nb_classifiers.log_ratios((10, np.array([9, 0, 1])), (20, np.array([0, 19, 0])))
     assert r[0] == pytest.approx(math.log((10 / 12) / (1 / 22))) and r[1] < 0 and r[2] == 0

@@ -170,12 +170,11 @@ def platt(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (a, b) if a > 0 else (1.0, 0.0)
 
 
-def train(labelled: DataFrame, learner: str, *, grams: Grams, max_rows: int = 6000, max_entries: int = 5_000_000, least_ratio: float = 0.5, l2: float = 1e-3, c: float = 1.0, unit: bool = False) -> BinaryModel | None:
+def train(labelled: DataFrame, learner: str, *, grams: Grams, max_rows: int = 6000, max_entries: int = 5_000_000, l2: float = 1e-3, c: float = 1.0, unit: bool = False) -> BinaryModel | None:
     """Learn from ``labelled`` (text, label 0 or 1); None unless both classes occur.
 
-    ``learner`` is "logistic" or "hinge".  Log-count ratios cover every row;
-    those below ``least_ratio`` in size tell little and count as zero.  Sample
-    bound: at most ``max_rows`` rows, half of them of either class if there are
+    ``learner`` is "logistic" or "hinge".  Log-count ratios cover every row,
+    and all of them count, however mild.  Sample bound: at most ``max_rows`` rows, half of them of either class if there are
     enough, chosen by a hash of their text, and ``max_entries`` features.
     """
     rows = labelled.where(F.col("label").isin(0, 1)).select(F.col("label").cast("int").cast("string").alias("label"), "text")
@@ -183,7 +182,6 @@ def train(labelled: DataFrame, learner: str, *, grams: Grams, max_rows: int = 60
     if set(counted) != {"0", "1"}:
         return None
     ratios = log_ratios(counted["1"], counted["0"])
-    ratios[np.abs(ratios) < least_ratio] = 0.0
     order = unit_hash(F.xxhash64(F.coalesce("text", F.lit(""))), salt=2)
     share = F.when(F.col("label") == "1", min(1.0, max_rows / 2 / counted["1"][0])).otherwise(min(1.0, max_rows / 2 / counted["0"][0]))
     sample = sample_features(rows.withColumn("order", order / share).where(F.col("order") < 1.0), grams, max_rows=max_rows, max_entries=max_entries, counts=False, useful=ratios != 0.0)
