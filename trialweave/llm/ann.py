@@ -96,49 +96,78 @@ def scan(query: np.ndarray, rotated_query: np.ndarray, vectors: np.ndarray, bloc
     return at, kept
 
 
+def share_to_probe(sample: np.ndarray, centres: np.ndarray, k: int, recall: float, n_queries: int = 256) -> float:
+    """The share of lists that holds ``recall`` of the ``k`` nearest of a sample's vectors, by brute force within the sample.
+
+    Neighbours in a sample are farther away than those in the whole table, and
+    so in lists no nearer: the share errs on the side of visiting more.
+    """
+    queries = sample[:n_queries]
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return 1.0
+    of = nearest(sample, centres, 1)[:, 0]
+    d = (sample * sample).sum(1) - 2.0 * queries @ sample.T
+    d[np.arange(len(queries)), np.arange(len(queries))] = np.inf
+    near = np.argpartition(d, k - 1, axis=1)[:, :k]
+    order = np.argsort((centres * centres).sum(1) - 2.0 * queries @ centres.T, axis=1)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(len(centres)), order.shape), axis=1)
+    needed = np.sort(np.take_along_axis(place, of[near], axis=1).ravel()) + 1
+    return float(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) / len(centres)
+
+
 def _usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(vec_id, vec) without null, zero or non-finite vectors; of several lengths only the most frequent."""
+    """(vec_id, vec) without null ids and null, empty, zero or non-finite vectors."""
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vec", lambda x: x != 0)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vec"))
-    rows = rows.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0)).where(F.coalesce(finite, F.lit(False)))
+    return rows.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0)).where(F.coalesce(finite, F.lit(False)))
+
+
+def _length(rows: DataFrame) -> int:
+    """The most frequent length of ``rows.vec``, of several the greatest; 0 without rows."""
     sizes = rows.groupBy(F.size("vec").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dims")).first()
-    dims = sizes["dims"] if sizes else 0
-    return rows.where(F.size("vec") == dims)
+    return sizes["dims"] if sizes else 0
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims) if len(column) else np.zeros((0, dims))
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 10, lists: int | None = None, probe: float = 0.7, sample_rows: int = 20_000, block_rows: int = 4096, epsilon: float = 2.1, column_block: int = 8, seed: int = 0) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 10, lists: int | None = None, probe: float | None = None, recall: float = 0.97, sample_rows: int = 20_000, block_rows: int = 4096, epsilon: float = 2.1, column_block: int = 8, seed: int = 0) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``queries`` its ``k`` nearest of ``vectors`` by Euclidean distance.
 
     A query never finds its own id.  Ties go to the smaller id.  ``queries``
-    and ``vectors`` have the columns ``vec_id`` and ``embedding``; null, zero
-    and non-finite vectors, null ids, and vectors of another length than most
-    take no part.  With fewer than ``k`` candidates all are returned; empty
-    tables give no rows.  A repeated (id, vector) row counts once.
+    and ``vectors`` have the columns ``vec_id`` and ``embedding``; null, empty,
+    zero and non-finite vectors, null ids, and vectors (queries too) of another
+    length than most of ``vectors`` take no part.  With fewer than ``k``
+    candidates all are returned; empty tables give no rows.  A row (id, vector)
+    that is repeated any number of times is one candidate, and one query; rows
+    of one id and different vectors are different candidates, and so are rows
+    of one vector and different ids.  Other columns are ignored.
 
     ``lists`` defaults to about the square root of the number of distinct
-    vectors, at most 4096; ``probe`` is the share of lists that a query visits.
-    Centroids come from ``sample_rows`` vectors; every vector is indexed.
+    vectors, at most 4096; ``probe`` is the share of lists that a query visits,
+    by default the share that holds ``recall`` of the neighbours within the
+    sample (``share_to_probe``).  Centroids come from ``sample_rows`` vectors;
+    every vector is indexed.
     """
     spark = vectors.sparkSession
     rows = _usable(vectors, vec_id, embedding)
-    # equal vectors: the k + 1 smallest ids are all that any query can need
+    dims = _length(rows)
+    if not dims:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # equal rows are one; of equal vectors the k + 1 smallest ids are all that any query can need
     few = Window.partitionBy("vec").orderBy("vec_id")
-    distinct = rows.withColumn("_place", F.row_number().over(few)).where(F.col("_place") <= k + 1)
-    classes = checkpoint(distinct.groupBy("vec").agg(F.array_sort(F.array_distinct(F.collect_list("vec_id"))).alias("ids")))
-    asked = checkpoint(_usable(queries, vec_id, embedding).distinct())
+    distinct = rows.where(F.size("vec") == dims).distinct().withColumn("_place", F.row_number().over(few)).where(F.col("_place") <= k + 1)
+    classes = checkpoint(distinct.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
+    asked = checkpoint(_usable(queries, vec_id, embedding).where(F.size("vec") == dims).distinct())
     n = classes.count()
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dims = len(classes.select("vec").first()[0])
-    asked = asked.where(F.size("vec") == dims)
     order = unit_hash("vec", salt=seed)
     share = min(1.0, 1.2 * sample_rows / n)
     sample = np.array([r[0] for r in classes.where(order <= share).orderBy(order).limit(sample_rows).select("vec").collect()] or [r[0] for r in classes.select("vec").limit(1).collect()])
     centres = kmeans(sample, lists or min(4096, max(1, int(np.sqrt(n)))), seed=seed + 1)
+    probe = share_to_probe(sample, centres, k, recall) if probe is None else probe
     n_probe = max(1, min(len(centres), int(np.ceil(probe * len(centres)))))
     shared = spark.sparkContext.broadcast((centres, rotation(dims, seed)))
 
