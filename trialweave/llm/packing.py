@@ -16,12 +16,13 @@ tokens left over join the next group, so memory does not grow with the input.
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +43,9 @@ def encoder(tokenizer_path: str) -> Callable[[str], np.ndarray]:
     """text -> uint32 ids, equal to those of ``tokenizers`` for a byte-level BPE file without special tokens added.
 
     A byte-level BPE vocabulary whose ids follow its merges runs on the faster
-    of the two public libraries; anything else, and any text on which that
-    library fails, goes through ``tokenizers`` itself.
+    of the two public libraries; anything else, texts of over a million
+    characters, texts that hold a special token's string, and any text on which
+    that library fails, go through ``tokenizers`` itself.  The ids are the same.
     """
     if tokenizer_path in _ENCODERS:
         return _ENCODERS[tokenizer_path]
@@ -137,7 +139,7 @@ class Packer:
 
 
 def _pack_task(batches: Iterator[pa.RecordBatch], path: str, eos_id: int, capacity: int, linear: float, quadratic: float, group_tokens: int) -> Iterator[pa.RecordBatch]:
-    encode = encoder(path)
+    encode = encoder(SparkFiles.get(path))
     packer = Packer(TaskContext.get().partitionId() << 40, capacity, linear, quadratic)
     names = [f.split()[0] for f in _SCHEMA.split(", ")]
 
@@ -173,7 +175,10 @@ def pack(docs: DataFrame, tokenizer_path: str, *, eos_id: int = 1, capacity: int
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     A null text is packed as an empty one: its single token is ``eos_id``.
     Repeated rows and ids are packed once each; an empty table gives no rows.
+    The tokenizer's file is read on the driver's side and sent to executors.
     """
+    docs.sparkSession.sparkContext.addFile(tokenizer_path)
+    name = os.path.basename(tokenizer_path)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        lambda batches: _pack_task(batches, tokenizer_path, eos_id, capacity, linear, quadratic, group_tokens), _SCHEMA
+        lambda batches: _pack_task(batches, name, eos_id, capacity, linear, quadratic, group_tokens), _SCHEMA
     )
