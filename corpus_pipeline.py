@@ -1,14 +1,16 @@
-"""A corpus pipeline: quality rules, line dedup, near-dedup, mixing and packing, each stage over what its predecessor kept."""
+"""A corpus pipeline: quality rules, line dedup, near-dedup, mixing and packing, each stage over what its predecessor kept.
 
-from __future__ import annotations
+Stages take and return the columns of ``documents``; further columns, whatever
+their names, end with the first stage.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialweave.llm import line_dedup, mixing, packing, quality_rules, simhash
-from trialweave.llm.common import ensure_checkpoint_dir
+from trialweave.llm.common import discard, stored
 from trialweave.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -47,11 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each stage's result written to the shared folder and read again."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
+    """All stages over ``documents``, each stage's result written to the shared folder and read again.
+
+    A stage's table is deleted once the next one is written; the last, which
+    the packed rows are made from, goes when the application ends.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
