@@ -14,17 +14,28 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point the context at ``spark.checkpoint.dir``; local sessions without one get a folder of their own."""
+def _path(spark: SparkSession, path: str):
+    """(file system, path) for Hadoop's calls."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Point the context at ``spark.checkpoint.dir`` and return its folder there, which goes when the application ends.
+
+    Local sessions without that setting get a folder of their own.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-    sc.setCheckpointDir(folder)
+    if not sc.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(folder)
+        fs, p = _path(spark, sc.getCheckpointDir())  # a folder of this application alone
+        fs.deleteOnExit(p)
+    return sc.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -33,24 +44,38 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like ``checkpoint``, as a Parquet table in the shared folder: for small tables in loops.
+def stored(df: DataFrame, **options: str) -> DataFrame:
+    """Like ``checkpoint``, as a Parquet table in the shared folder: for loops, and for tables that are read in part.
 
     A table that is read back starts a plan afresh, where a checkpoint carries
     on the constraints inferred so far, which grow with every round.
+    ``discard`` deletes it after its last reader; the rest goes when the
+    application ends.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4()}"
+    df.write.options(**options).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(table: DataFrame | None) -> None:
+    """Delete a table made by ``stored`` that nothing reads any more."""
+    if table is not None and (path := getattr(table, "_stored_at", None)):
+        fs, p = _path(table.sparkSession, path)
+        fs.delete(p, True)
 
 
-def small_or_shuffled(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows; otherwise the join is left to a shuffle.
+def small_or_shuffled(df: DataFrame, max_rows: int, weight: Column | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it is small; otherwise the join is left to a shuffle.
 
-    ``df`` must be cheap to count (a checkpoint or a written table) and its rows of bounded width.
+    Small means at most ``max_rows`` rows, or a sum of ``weight`` (how many
+    values a row holds) of at most ``max_rows`` where rows vary in width.
+    ``df`` must be cheap to count: a checkpoint or a written table.
     """
+    if weight is not None:
+        return F.broadcast(df) if (df.agg(F.sum(weight)).first()[0] or 0) <= max_rows else df
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 

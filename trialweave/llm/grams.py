@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .substring import word_hashes
+from .common import checkpoint
+from .hashing import word_hashes
 
 _AGAIN = np.uint32(0x5EAFCA11)
 _PIECE = 1 << 18  # characters of a text taken at a time
@@ -46,8 +47,7 @@ class Grams:
                     out.append(self._bucket(rolled[:_PIECE], n))
             yield np.concatenate(out)
         if self.words:
-            flat = b" ".join(text.encode("utf-8", "surrogatepass").split())
-            hashes = (word_hashes(flat) >> np.uint64(32)).astype(np.uint32)
+            hashes = (word_hashes(text.encode("utf-8", "surrogatepass")) >> np.uint64(32)).astype(np.uint32)
             if self.mark_repeats and len(hashes) > 1:
                 hashes[1:][hashes[1:] == hashes[:-1]] = _AGAIN
             rolled = hashes
@@ -96,7 +96,8 @@ def document_counts(rows: DataFrame, grams: Grams) -> dict[str | None, tuple[int
 
     Every task counts its rows in one vector per label, and the vectors are
     summed in blocks, so what is shuffled and what reaches the driver is bounded
-    by the number of labels and buckets.  Null texts count as empty.
+    by the number of labels and buckets: for a few labels.  Null texts count as
+    empty, repeated rows as often as they come.
     """
     block = 1 << 12
     width = max(1, grams.size // block)
@@ -144,43 +145,52 @@ class Sample:
         return slice(self.start[k], self.start[k + 1])
 
 
-def sample_features(rows: DataFrame, grams: Grams, *, max_rows: int, max_entries: int, counts: bool, useful: np.ndarray | None = None) -> Sample:
-    """Features of a bounded sample of ``rows`` (label, order double, text): the least values of ``order``.
+def sample_features(rows: DataFrame, grams: Grams, *, per_label: int, max_entries: int, counts: bool, useful: np.ndarray | None = None, salt: int = 0) -> Sample:
+    """Features of a bounded sample of the distinct texts of ``rows`` (label, text).
 
-    At most ``max_rows`` rows, and of those in order as many as have
-    ``max_entries`` features together.  ``useful`` marks the buckets that count.
+    Of each label the ``per_label`` distinct texts of the least hashes are
+    taken, each once, however often it is repeated; of those, label by label in
+    turns, as many as have ``max_entries`` features together.  ``useful`` marks
+    the buckets that count.  Texts are hashed where they lie; only hashes are
+    shuffled, and only the chosen texts are taken apart.  Null texts are empty.
     """
     shared = rows.sparkSession.sparkContext.broadcast(useful)
+    keyed = rows.select(F.col("label").cast("string").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = keyed.withColumn("key", F.xxhash64("text"))
+    least = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(salt), "key"), "key")
+    places = keyed.select("label", "key").distinct().withColumn("place", F.row_number().over(least)).where(F.col("place") <= per_label)
+    chosen = checkpoint(places)  # per_label rows of each label
 
-    def task(batches: Iterator[pa.RecordBatch], with_features: bool) -> Iterator[pa.RecordBatch]:
-        count, indicate, mask = grams.counts(), grams.indicator(), shared.value
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, indicate, mask, seen = grams.counts(), grams.indicator(), shared.value, set()
         for batch in batches:
-            for k in range(batch.num_rows):
-                text = batch.column(2)[k].as_py() or ""
+            for k, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if key in seen:
+                    continue
+                seen.add(key)
+                text = batch.column(3)[k].as_py()
                 index, value = count(text) if counts else (indicate(text), np.zeros(0, np.int64))
                 if mask is not None:
                     keep = mask[index]
                     index, value = index[keep], value[keep] if counts else value
-                made = (index.astype("<i4").tobytes(), np.minimum(value, 65535).astype("<u2").tobytes()) if with_features else (b"", b"")
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[k : k + 1], batch.column(1)[k : k + 1], pa.array([len(index)], pa.int64()), pa.array([made[0]], pa.binary()), pa.array([made[1]], pa.binary())],
-                    ["label", "order", "n", "index", "value"],
-                )
-
-    schema = "label string, order double, n long, index binary, value binary"
-    ordered = rows.select(F.col("label").cast("string").alias("label"), "order", "text")
-    # first only how many features each row has, to see how far the sample may go
-    sizes = ordered.mapInArrow(lambda b: task(b, False), schema).select("order", "n").orderBy("order", "n").limit(max_rows).collect()
-    chosen, entries = [], 0
-    for order, n in sizes:
-        entries += n
-        if chosen and entries > max_entries:
+                made = [pa.array([len(index)], pa.int64()), pa.array([index.astype("<i4").tobytes()], pa.binary()), pa.array([value.astype("<u4").tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(c[k : k + 1] for c in batch.columns[:3]), *made], ["label", "key", "place", "n", "index", "value"])
+
+    picked = keyed.join(F.broadcast(chosen), ["label", "key"]).select("label", "key", "place", "text")
+    made = picked.mapInArrow(task, "label string, key long, place int, n long, index binary, value binary")
+    # copies of a text in other tasks are the same features
+    made = checkpoint(made.dropDuplicates(["label", "key"]))
+    entries, last = 0, None
+    for row in made.select("place", "label", "n").orderBy("place", "label").collect():
+        entries += row["n"]
+        if last is not None and entries > max_entries:
             break
-        chosen.append(order)
-    if not chosen:
+        last = (row["place"], row["label"])
+    if last is None:
         return Sample([], np.zeros(0, np.int32), np.zeros(0), np.zeros(1, np.int64))
-    found = ordered.where(F.col("order") <= chosen[-1]).mapInArrow(lambda b: task(b, True), schema).orderBy("order", "label").limit(len(chosen)).collect()
+    within = (F.col("place") < last[0]) | ((F.col("place") == last[0]) & (F.col("label") <= last[1]))
+    found = made.where(within).orderBy("place", "label").select("label", "index", "value").collect()
     index = [np.frombuffer(bytes(r["index"]), "<i4") for r in found]
-    value = [np.frombuffer(bytes(r["value"]), "<u2").astype(np.float32) for r in found] if counts else []
+    value = [np.frombuffer(bytes(r["value"]), "<u4").astype(np.float32) for r in found] if counts else []
     start = np.concatenate([[0], np.cumsum([len(i) for i in index])])
     return Sample([r["label"] for r in found], np.concatenate(index), np.concatenate(value) if counts else np.zeros(0, np.float32), start)

@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit_hash
 from .grams import Grams, Sample, document_counts, sample_features
 
 UNKNOWN = "und"
@@ -93,24 +92,25 @@ def best_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def train(docs: DataFrame, *, grams: Grams = Grams((1, 2, 3), (), 16), per_language: int = 1000, max_rows: int = 8000, max_entries: int = 60_000_000, epochs: int = 2, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> LanguageModel | None:
+def train(docs: DataFrame, *, grams: Grams = Grams((1, 2, 3), (), 16), per_language: int = 1000, max_rows: int = 8000, max_entries: int = 60_000_000, max_languages: int = 100, epochs: int = 2, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> LanguageModel | None:
     """Learn from the rows of ``docs`` (text, lang) whose lang is not null and whose text has a letter; None if there are none.
 
-    Sample bound: about ``per_language`` rows of each language, ``max_rows`` in
-    all.  Document frequencies cover every row.
+    Bounds of the fit: the ``max_languages`` values of lang with most rows (the
+    model has a weight for each bucket and language, and goes to every task);
+    of each ``per_language`` distinct texts, chosen by their hash and each
+    taken once however often it is repeated, but ``max_rows`` in all at most,
+    the same number of each language; and ``max_entries`` different n-grams of
+    those texts together.  Document frequencies cover every row.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").alias("label"), "text")
-    counted = document_counts(rows, grams)
-    if not counted:
+    most = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(max_languages).collect()
+    if not most:
         return None
-    languages = sorted(counted)
-    n_docs = sum(n for n, _ in counted.values())
-    idf = np.log((1.0 + n_docs) / (1.0 + sum(v for _, v in counted.values()))) + 1.0
-    share = F.lit(0.0)
-    for name in languages:
-        share = F.when(F.col("label") == name, F.lit(min(1.0, per_language / counted[name][0]))).otherwise(share)
-    order = unit_hash(F.xxhash64("text"), salt=1)
-    sample = sample_features(rows.withColumn("order", order / share).where(F.col("order") < 1.0), grams, max_rows=max_rows, max_entries=max_entries, counts=True)
+    languages = sorted(r["label"] for r in most)
+    ((n_docs, found),) = document_counts(rows.select(F.lit("").alias("label"), "text"), grams).values()
+    idf = np.log((1.0 + n_docs) / (1.0 + found)) + 1.0
+    per_language = max(1, min(per_language, max_rows // len(languages)))
+    sample = sample_features(rows.where(F.col("label").isin(languages)), grams, per_label=per_language, max_entries=max_entries, counts=True, salt=1)
     return _fit(sample, grams, languages, idf, epochs=epochs, alpha=alpha, beta=beta, l1=l1, l2=l2)
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, stored, unit_hash
+from .common import checkpoint, stored
 from .grams import Grams, Sample, document_counts, sample_features
 
 
@@ -174,17 +174,17 @@ def train(labelled: DataFrame, learner: str, *, grams: Grams, max_rows: int = 60
     """Learn from ``labelled`` (text, label 0 or 1); None unless both classes occur.
 
     ``learner`` is "logistic" or "hinge".  Log-count ratios cover every row,
-    and all of them count, however mild.  Sample bound: at most ``max_rows`` rows, half of them of either class if there are
-    enough, chosen by a hash of their text, and ``max_entries`` features.
+    and all of them count, however mild.  Other labels, and null, teach nothing.
+    Sample bound: of either class ``max_rows`` / 2 distinct texts, chosen by
+    their hash and each taken once however often it is repeated, and in all
+    ``max_entries`` features.
     """
     rows = labelled.where(F.col("label").isin(0, 1)).select(F.col("label").cast("int").cast("string").alias("label"), "text")
     counted = document_counts(rows, grams)
     if set(counted) != {"0", "1"}:
         return None
     ratios = log_ratios(counted["1"], counted["0"])
-    order = unit_hash(F.xxhash64(F.coalesce("text", F.lit(""))), salt=2)
-    share = F.when(F.col("label") == "1", min(1.0, max_rows / 2 / counted["1"][0])).otherwise(min(1.0, max_rows / 2 / counted["0"][0]))
-    sample = sample_features(rows.withColumn("order", order / share).where(F.col("order") < 1.0), grams, max_rows=max_rows, max_entries=max_entries, counts=False, useful=ratios != 0.0)
+    sample = sample_features(rows, grams, per_label=max(1, max_rows // 2), max_entries=max_entries, counts=False, useful=ratios != 0.0, salt=2)
     return fit(sample, ratios, learner, grams, l2=l2, c=c, unit=unit)
 
 
