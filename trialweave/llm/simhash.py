@@ -1,12 +1,16 @@
 """SimHash near-duplicates by anchor-point covering.
 
-Two fingerprints at most t bits apart are at most one bit apart in one of
-t // 2 + 1 segments.  On a segment the anchors are the words of the covering
-code Hamming(15, 11) x {0,1}^f, whose covering radius is 1: the nearest anchor
-of x is at most 1 away, and so at most 2 (radius plus the segment's threshold)
-from every y that is at most 1 from x.  Each distinct fingerprint is copied to
-all anchors within 2 bits, once as "home" (its nearest anchor) and otherwise as
-visitor, and homes meet visitors anchor by anchor.
+A view is the bits of p out of m segments of the fingerprint, and there is one
+for each choice of p.  Fingerprints at most t bits apart differ in at most one
+bit in some view, if m and p are chosen for that (``best_views``).  On a view
+the anchors are the words of the covering code Hamming x {0,1}^f, whose
+covering radius is 1: the nearest anchor of x is at most 1 away, and so at most
+2 (radius plus the view's threshold) from every y that is at most 1 from x.
+Each distinct fingerprint is copied to all anchors within 2 bits, once as
+"home" (its nearest anchor) and otherwise as visitor, and homes meet visitors
+anchor by anchor.  Wider views have more anchors and cost more copies: the more
+fingerprints there are, the wider the views, so that an anchor's group, and the
+comparisons of a fingerprint, do not grow with their number.
 
 An anchor's group gives a spanning forest, never its pairs; the forests' edges
 are then joined into components by distributed star contraction.
@@ -14,6 +18,7 @@ are then joined into components by distributed star contraction.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +31,6 @@ from .common import checkpoint, same, small_or_shuffled
 from .components import connected_components
 
 BITS = 64
-_HAMMING = 15
 
 
 # --- fingerprints -----------------------------------------------------------
@@ -62,23 +66,52 @@ def fingerprints(docs: DataFrame, *, width: int = 4, seed: int = 42) -> DataFram
 # --- anchors ----------------------------------------------------------------
 
 
-def _segments(threshold: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of each segment: threshold // 2 + 1 of them, so that one differs in at most one bit."""
-    m = threshold // 2 + 1
-    cuts = [BITS * k // m for k in range(m + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+View = list[tuple[int, int]]  # (first bit, bits) of each of its segments
 
 
-def anchors_of(fps: np.ndarray, first: int, bits: int, segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index into fps, anchor, is home) for one segment: all anchors within 2 bits of each fingerprint."""
-    value = (fps >> np.uint64(first)) & np.uint64((1 << bits) - 1)
-    code_bits = min(_HAMMING, bits)
+def _views(threshold: int, m: int, p: int) -> list[View] | None:
+    """All choices of ``p`` of ``m`` segments; None if fingerprints ``threshold`` bits apart may differ in two bits in each of them."""
+    each, rest = divmod(threshold, m)
+    if p * each + max(0, p - (m - rest)) > 1:
+        return None
+    cuts = [BITS * k // m for k in range(m + 1)]
+    segments = [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [list(choice) for choice in itertools.combinations(segments, p)]
+
+
+def _code_bits(bits: int) -> int:
+    """The length of the longest Hamming code of 3, 7, 15 or 31 bits that fits."""
+    return (1 << min(5, (bits + 1).bit_length() - 1)) - 1
+
+
+def best_views(threshold: int, n: int) -> list[View]:
+    """The views that make the least work of ``n`` fingerprints: copies to shuffle, and homes to compare each copy with."""
+    found = []
+    for m in range(threshold // 2 + 1, 9):
+        for p in range(1, m):
+            if views := _views(threshold, m, p):
+                bits = sum(w for _, w in views[0])
+                code = _code_bits(bits)
+                free = bits - code
+                copies = len(views) * (1 + free + free * (free - 1) / 2 / (code + 1) + (code - 1) / 2)
+                found.append((copies * (300 + n * (code + 1) / 2.0**bits), m, views))  # moving a copy costs about 300 comparisons
+    return min(found, key=lambda f: f[:2])[2] if found else [[(0, BITS)]]
+
+
+def anchors_of(fps: np.ndarray, view: View, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index into fps, anchor, is home) for one view: all anchors within 2 bits of each fingerprint."""
+    value, bits = np.zeros(len(fps), np.uint64), 0
+    for first, width in view:
+        value |= ((fps >> np.uint64(first)) & np.uint64((1 << width) - 1)) << np.uint64(bits)
+        bits += width
+    code_bits = _code_bits(bits)
+    free_bits = bits - code_bits
     low, free = (value & np.uint64((1 << code_bits) - 1)).astype(np.int64), (value >> np.uint64(code_bits)).astype(np.int64)
     syndrome = np.zeros(len(fps), np.int64)
     for k in range(code_bits):
         syndrome ^= np.where(low >> k & 1, k + 1, 0)
     off = syndrome != 0
-    nearest = np.where(off, low ^ (1 << np.maximum(syndrome - 1, 0)), low)
+    nearest = np.where(off, low ^ (np.int64(1) << np.maximum(syndrome - 1, 0)), low)
     at, codes, frees, homes = [], [], [], []
     everyone = np.arange(len(fps))
 
@@ -86,25 +119,25 @@ def anchors_of(fps: np.ndarray, first: int, bits: int, segment: int) -> tuple[np
         at.append(index), codes.append(code), frees.append(free_), homes.append(np.full(len(index), home))
 
     add(everyone, nearest, free, True)
-    for i in range(bits - code_bits):
+    exact = np.flatnonzero(~off)  # two more bits of room only where the code part fits exactly
+    for i in range(free_bits):
         add(everyone, nearest, free ^ (1 << i))
         for j in range(i):
-            exact = np.flatnonzero(~off)  # two more bits of room only where the code part fits exactly
             add(exact, nearest[exact], free[exact] ^ (1 << i) ^ (1 << j))
-    for i in range(1, _HAMMING + 1):  # the code words two bits away: flip i and j with i ^ j = syndrome
+    for i in range(1, code_bits + 1):  # the code words two bits away: flip i and j with i ^ j = syndrome
         two = np.flatnonzero(off & ((syndrome ^ i) > i))
-        add(two, low[two] ^ (1 << (i - 1)) ^ (1 << ((syndrome[two] ^ i) - 1)), free[two])
-    anchor = (np.int64(segment) << np.int64(58)) | (np.concatenate(frees) << np.int64(code_bits)) | np.concatenate(codes)
+        add(two, low[two] ^ (1 << (i - 1)) ^ (np.int64(1) << ((syndrome[two] ^ i) - 1)), free[two])
+    anchor = (np.int64(number) << np.int64(56)) | (np.concatenate(frees) << np.int64(code_bits)) | np.concatenate(codes)
     return np.concatenate(at), anchor, np.concatenate(homes)
 
 
-def _anchor_task(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+def _anchor_task(batches: Iterator[pa.RecordBatch], views: list[View]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         everything = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
         for start in range(0, len(everything), 4096):
             fps = everything[start : start + 4096]
-            for k, (first, bits) in enumerate(_segments(threshold)):
-                at, anchor, home = anchors_of(fps, first, bits, k)
+            for k, view in enumerate(views):
+                at, anchor, home = anchors_of(fps, view, k)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fps[at].view(np.int64)), pa.array(home)], ["anchor", "fp", "home"])
 
 
@@ -188,26 +221,27 @@ def _compare_task(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator
         yield forest(*map(np.concatenate, zip(*held, strict=True)))
 
 
-def links(fps: DataFrame, *, threshold: int = 4, max_homes: int = 20_000, max_hot_rows: int = 10_000) -> DataFrame:
+def links(fps: DataFrame, *, threshold: int = 4, views: list[View] | None = None, max_homes: int = 20_000, max_members: int = 200_000, max_hot_rows: int = 10_000) -> DataFrame:
     """Edges (a, b) that connect all distinct values of ``fps.fp`` at most ``threshold`` bits apart, directly or in steps.
 
-    An anchor with over ``max_homes`` homes is dealt to several tasks: its homes
-    are split by hash and its visitors copied to each part.
+    An anchor with over ``max_homes`` homes or ``max_members`` fingerprints is
+    dealt to a grid of tasks: its homes are split by hash into the rows, its
+    members into the columns, and each cell compares its own.
     """
-    anchors = fps.select("fp").mapInArrow(lambda b: _anchor_task(b, threshold), "anchor long, fp long, home boolean")
-    hot = checkpoint(
-        anchors.where("home").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > max_homes)
-        .select(F.col("anchor").alias("hot_anchor"), F.ceil(F.col("n") / max_homes).cast("long").alias("parts"))
-    )
-    hot = small_or_shuffled(hot, max_hot_rows)
+    views = views or best_views(threshold, fps.count())
+    anchors = fps.select("fp").mapInArrow(lambda b: _anchor_task(b, views), "anchor long, fp long, home boolean")
+    sizes = anchors.groupBy(F.col("anchor").alias("hot_anchor")).agg(F.count(F.when(F.col("home"), 1)).alias("homes"), F.count("*").alias("members"))
+    cells = sizes.where((F.col("homes") > max_homes) | (F.col("members") > max_members) & (F.col("homes") > 0))
+    cells = cells.select("hot_anchor", F.ceil(F.col("homes") / max_homes).cast("long").alias("rows"), F.ceil(F.col("members") / max_members).cast("long").alias("columns"))
+    hot = small_or_shuffled(checkpoint(cells), max_hot_rows)
     parted = anchors.join(hot, F.col("anchor") == F.col("hot_anchor"), "left")
-    mine = F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1)))
-    dealt = parted.select(
-        "anchor", "fp", "home",
-        F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("part"),
-        mine.alias("mine"),
-    )
-    rows = dealt.select("anchor", "part", "fp", (F.col("home") & (F.col("mine") == F.col("part"))).alias("home"))
+    cell = lambda part, home: F.struct(part.cast("long").alias("part"), home.alias("home"))
+    up_to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    my_row, my_column = F.pmod(F.xxhash64("fp"), F.col("rows")), F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("columns"))
+    as_member = F.transform(up_to(F.col("rows")), lambda r: cell(r * F.col("columns") + my_column, F.lit(False)))
+    as_home = F.transform(up_to(F.col("columns")), lambda c: cell(my_row * F.col("columns") + c, F.lit(True)))
+    dealt = F.when(F.col("rows").isNull(), F.array(cell(F.lit(0), F.col("home")))).when(F.col("home"), F.concat(as_member, as_home)).otherwise(as_member)
+    rows = parted.select("anchor", "fp", F.explode(dealt).alias("c")).select("anchor", "c.part", "fp", "c.home")
     rows = rows.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     return rows.mapInArrow(lambda b: _compare_task(b, threshold), "a long, b long")
 
@@ -236,25 +270,27 @@ def near_duplicates(docs: DataFrame, *, width: int = 4, seed: int = 42, threshol
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, width: int = 4, seed: int = 42, threshold: int = 4, max_shared: int = 100_000) -> DataFrame:
+def keep_one(docs: DataFrame, *, width: int = 4, seed: int = 42, threshold: int = 4, max_ids: int = 1_000_000) -> DataFrame:
     """``docs`` without near-duplicates: of each component the document with the least id stays, once.
 
     Of rows that share the kept id within a component, one of the least
     fingerprint stays; in other components they are documents of their own.
     Of a component without any id, one row of the least fingerprint stays.
-    All columns pass through.
+    All columns pass through, whatever their names.
+
+    Texts do not move where at most ``max_ids`` ids go (8 bytes each, broadcast);
+    beyond, they are shuffled by id once.  Rows that share an id or have none
+    are fingerprinted again, since their ids do not tell them apart.
     """
     groups = checkpoint(_grouped(docs, width, seed, threshold))
+    ids = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    ids = checkpoint(ids.where("n > 1 or not stays").select(F.col("doc_id").alias("of"), F.col("n")))
+    named = docs.join(small_or_shuffled(ids.select("of"), max_ids), docs["doc_id"] == F.col("of"), "left_anti").where(docs["doc_id"].isNotNull())
+    shared = small_or_shuffled(ids.where("n > 1").select("of"), max_ids)
     mine = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = checkpoint(mine.groupBy("root").agg(F.min("doc_id").alias("kept_id"), F.min("fp").alias("fp")).drop("root"))
-    texts = groups.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
-    shared = small_or_shuffled(checkpoint(texts.where("low < high").select(F.col("doc_id").alias("shared_id"))), max_shared)
-    # an id of one fingerprint is in one component: both steps work on the id, so texts move once
-    ids = chosen.join(shared, F.col("kept_id") == F.col("shared_id"), "left_anti").where("kept_id is not null").select("kept_id")
-    named = docs.join(ids, docs["doc_id"] == ids["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    # only rows whose id does not tell which document is meant are fingerprinted again
-    exact = chosen.join(shared, F.col("kept_id") == F.col("shared_id"), "left_semi").unionByName(chosen.where("kept_id is null"))
-    unsure = docs.join(shared, docs["doc_id"] == shared["shared_id"], "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
+    chosen = mine.groupBy("root").agg(F.min("doc_id").alias("kept_id"), F.min("fp").alias("fp")).drop("root")
+    exact = chosen.join(shared, F.col("kept_id") == F.col("of"), "left_semi").unionByName(chosen.where("kept_id is null"))
+    unsure = docs.join(shared, docs["doc_id"] == F.col("of"), "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
     return named.unionByName(_one_of_each(unsure, exact, width, seed))
 
 
