@@ -19,9 +19,9 @@ from .common import SPACE, checkpoint, small_or_shuffled
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: ratio -> (expression over the counts, slack below or None, slack above or None)
 RATIOS = {
-    "mean_word": ("word_chars / n_words", 1.0, 1.5),
-    "symbols": ("n_symbols / n_words", None, 0.1),
-    "dup_lines": ("n_dup_lines / n_words", None, 0.05),
+    "mean_word": ("try_divide(word_chars, n_words)", 1.0, 1.5),
+    "symbols": ("try_divide(n_symbols, n_words)", None, 0.1),
+    "dup_lines": ("try_divide(n_dup_lines, n_words)", None, 0.05),
 }
 
 
@@ -78,30 +78,28 @@ def _fences(rows: DataFrame, keys: list[str], spread: float, accuracy: int) -> D
     return found.select(*keys, "n", F.struct(*out).alias("fences"))
 
 
-def fences(docs: DataFrame, *, min_words: int = 50, min_group: int = 30, spread: float = 3.0, accuracy: int = 2000) -> DataFrame:
-    """(lang, source, fences) for each pair of them in ``docs``; nulls are groups of their own."""
-    cheap = ["n_words", "word_chars", "n_symbols", "n_dup_lines"]
-    counted = _with_counts(docs.select("lang", "source", "text"), cheap)
+def _ratios(counted: DataFrame, lang: str, source: str, min_words: int) -> DataFrame:
+    """lang, source and the ratios of the rows that fences are made from: a small table of numbers, kept for the sketches of all levels."""
     usable = counted.where(F.col("n_words") >= min_words)
-    # a small table of numbers: the sketches of all three levels are made from it
-    rows = usable.select(
-        F.col("_doc.lang").alias("lang"), F.col("_doc.source").alias("source"), *[F.expr(e).cast("float").alias(r) for r, (e, _, _) in RATIOS.items()]
-    )
-    rows = checkpoint(rows)
+    return checkpoint(usable.select(F.col(lang).alias("lang"), F.col(source).alias("source"), *[F.expr(e).cast("float").alias(r) for r, (e, _, _) in RATIOS.items()]))
+
+
+def fences(rows: DataFrame, *, min_group: int = 30, spread: float = 3.0, accuracy: int = 2000) -> DataFrame:
+    """(lang, source, fences) for each pair of them in ``rows`` (lang, source and the ratios); nulls are groups of their own."""
     pairs = _fences(rows, ["lang", "source"], spread, accuracy)
     langs = _fences(rows, ["lang"], spread, accuracy).where(F.col("n") >= min_group).select(F.col("lang").alias("of_lang"), F.col("fences").alias("lang_fences"))
     everything = _fences(rows, [], spread, accuracy).select(F.col("fences").alias("all_fences"))
-    joined = pairs.join(langs, pairs["lang"].eqNullSafe(langs["of_lang"]), "left").join(F.broadcast(everything), how="left")
+    joined = pairs.join(langs, pairs["lang"].eqNullSafe(langs["of_lang"]), "left").join(F.broadcast(everything), how="left")  # one row
     chosen = F.when(F.col("n") >= min_group, F.col("fences")).otherwise(F.coalesce("lang_fences", "all_fences"))
     return joined.select("lang", "source", chosen.alias("fences"))
 
 
-def _judged(docs: DataFrame, min_words: int, max_repeat_percent: int, max_groups: int, **how) -> DataFrame:
-    limits = small_or_shuffled(checkpoint(fences(docs, min_words=min_words, **how)), max_groups).select(
-        F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "fences"
-    )
-    rows = _with_counts(docs, COUNTS)
-    rows = rows.join(limits, F.col("_doc.lang").eqNullSafe(F.col("of_lang")) & F.col("_doc.source").eqNullSafe(F.col("of_source")), "left")
+def _judged(counted: DataFrame, ratios: DataFrame, lang: str, source: str, min_words: int, max_repeat_percent: int, max_bytes: int, **how) -> DataFrame:
+    """``counted`` (the five counts, and columns named ``lang`` and ``source``) with base_failed and kept; fences of up to ``max_bytes`` are broadcast."""
+    limits = checkpoint(fences(ratios, **how).select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "fences"))
+    width = F.coalesce(F.octet_length("of_lang"), F.lit(0)) + F.coalesce(F.octet_length("of_source"), F.lit(0)) + 96
+    limits = small_or_shuffled(limits, max_bytes, width)
+    rows = counted.join(limits, F.col(lang).eqNullSafe(F.col("of_lang")) & F.col(source).eqNullSafe(F.col("of_source")), "left")
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     within = F.lit(True)
     for r, (e, below, above) in RATIOS.items():
@@ -113,17 +111,28 @@ def _judged(docs: DataFrame, min_words: int, max_repeat_percent: int, max_groups
     return rows.withColumn("base_failed", base).withColumn("kept", ~base & within)
 
 
-def quality_rules(docs: DataFrame, *, min_words: int = 50, max_repeat_percent: int = 50, max_groups: int = 50_000, **how) -> DataFrame:
+def quality_rules(docs: DataFrame, *, min_words: int = 50, max_repeat_percent: int = 50, max_bytes: int = 32 << 20, **how) -> DataFrame:
     """doc_id, the five counts, base_failed and kept for every row of ``docs`` (doc_id, text, lang, source).
 
     Null and blank texts have zero counts and fail the base rule; null language
     or source is a group of its own; repeated rows are judged alike; an empty
-    table gives no rows; further columns are ignored.
+    table gives no rows; further columns are ignored.  Texts are read once: the
+    counts are kept, and the fences made from them.
     """
-    rows = _judged(docs.select("doc_id", "text", "lang", "source"), min_words, max_repeat_percent, max_groups, **how)
-    return rows.select(F.col("_doc.doc_id").alias("doc_id"), *COUNTS, "base_failed", "kept")
+    counted = _with_counts(docs.select("doc_id", "text", "lang", "source"), COUNTS)
+    counted = checkpoint(counted.select(*[F.col(f"_doc.{c}").alias(c) for c in ("doc_id", "lang", "source")], *COUNTS))
+    rows = _judged(counted, _ratios(counted, "lang", "source", min_words), "lang", "source", min_words, max_repeat_percent, max_bytes, **how)
+    return rows.select("doc_id", *COUNTS, "base_failed", "kept")
 
 
-def keep_good(docs: DataFrame, *, min_words: int = 50, max_repeat_percent: int = 50, max_groups: int = 50_000, **how) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns."""
-    return _judged(docs, min_words, max_repeat_percent, max_groups, **how).where("kept").select("_doc.*")
+def keep_good(docs: DataFrame, *, min_words: int = 50, max_repeat_percent: int = 50, max_bytes: int = 32 << 20, **how) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns, whatever their names.
+
+    Texts are read twice, for the fences (without counting repeats) and for the
+    verdict, and never moved.  Nulls, blank texts, repeated rows and empty
+    tables are treated as by ``quality_rules``.
+    """
+    cheap = _with_counts(docs.select("lang", "source", "text"), [n for n in COUNTS if n != "n_repeat_words"])
+    ratios = _ratios(cheap, "_doc.lang", "_doc.source", min_words)
+    rows = _judged(_with_counts(docs, COUNTS), ratios, "_doc.lang", "_doc.source", min_words, max_repeat_percent, max_bytes, **how)
+    return rows.where("kept").select("_doc.*")
