@@ -5,8 +5,9 @@ above ``max_ratio`` go.  A page counts once for a line, however often it has
 it.  Counting pre-aggregates before the shuffle, so a line on a third of all
 pages costs one row per task.  A host has fewer than (lines per page /
 max_ratio) boilerplate lines, so the rows joined back to the pages, one per
-host, stay small; they are broadcast if there are few hosts and shuffled
-otherwise.
+host, stay small; they are broadcast if there are few lines in all and
+shuffled otherwise.  A page's lines are looked up in its host's by hashing
+both, in one pass.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from .common import checkpoint, small_or_shuffled
 
 
 def _line_key(line: Column) -> Column:
-    """128 bits that stand for a line."""
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
+    """128 bits that stand for a line, as text: arrays of texts are intersected by hashing."""
+    return F.md5(line.cast("binary"))
 
 
 def boilerplate(docs: DataFrame, host: str = "source", *, max_ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
@@ -33,22 +34,27 @@ def boilerplate(docs: DataFrame, host: str = "source", *, max_ratio: float = 0.0
     return frequent.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("keys"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", *, max_ratio: float = 0.05, min_pages: int = 5, max_hosts: int = 10_000) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", *, max_ratio: float = 0.05, min_pages: int = 5, max_keys: int = 500_000) -> DataFrame:
     """``docs`` with the boilerplate lines cut from ``text``, and the columns n_lines and n_dropped added.
 
     Lines are split at line feeds and compared as they are; blank lines and
     lines on fewer than ``min_pages`` pages of the host stay.  Pages of null
     host form a site of their own.  A null text stays null with no lines; a
     text of boilerplate alone becomes empty.  Repeated rows are pages of their
-    own.  Other columns pass through, whatever their names.
+    own.  An empty table gives no rows.  Other columns pass through, whatever
+    their names, except ``n_lines`` and ``n_dropped``: the new ones replace
+    them.  Up to ``max_keys`` boilerplate lines in all are broadcast.
     """
-    found = small_or_shuffled(checkpoint(boilerplate(docs, host, max_ratio=max_ratio, min_pages=min_pages)), max_hosts)
+    found = checkpoint(boilerplate(docs, host, max_ratio=max_ratio, min_pages=min_pages))
+    found = small_or_shuffled(found, max_keys, F.size("keys"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
     rows = rows.join(found, F.col(f"_doc.`{host}`").eqNullSafe(F.col("host")), "left")
     rows = rows.withColumn("_lines", F.split(F.col("_doc.text"), "\n", -1))
-    kept = F.filter("_lines", lambda x: ~F.array_contains(F.col("keys"), _line_key(x)))
-    rows = rows.withColumn("_kept", F.when(F.col("keys").isNull(), F.col("_lines")).otherwise(kept))
-    columns = [F.array_join("_kept", "\n").alias(c) if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns]
+    hit = F.array_intersect(F.transform("_lines", _line_key), F.col("keys"))
+    rows = rows.withColumn("_hit", F.when(F.col("keys").isNotNull(), hit))
+    kept = F.filter("_lines", lambda x: ~F.array_contains(F.col("_hit"), _line_key(x)))
+    rows = rows.withColumn("_kept", F.when(F.coalesce(F.size("_hit"), F.lit(0)) <= 0, F.col("_lines")).otherwise(kept))
+    columns = [F.array_join("_kept", "\n").alias(c) if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
     n_lines = F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long")
     n_kept = F.when(F.col("_kept").isNull(), 0).otherwise(F.size("_kept")).cast("long")
     return rows.select(*columns, n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped"))
