@@ -1,7 +1,9 @@
 """Exact removal of repeated passages, with a count-min prefilter.
 
 A window is ``width`` consecutive words of a document.  Documents are dealt at
-random into chunks of a few MB, and three passes go over the chunks:
+random into chunks of a few MB; the deal is written down once, in the shared
+folder, since three passes over the chunks have to agree on it, on any input
+and after the loss of any executor:
 
 1. Each chunk's count-min sketch: the cells that its windows' hashes hit, in
    ``depth`` rows, saturating at two.  A chunk hits few of a row's cells, so a
@@ -17,6 +19,11 @@ The sketch has ``cells_per_byte`` cells for each byte of text and row, so its
 error does not grow with the input, and a shard of it is of fixed size: no task
 holds, and nothing broadcasts, the whole.  A window that repeats in many chunks
 costs one cell and one fingerprint per chunk, however frequent it is.
+
+Grouping is exact on fingerprints: two windows count as equal if two 64-bit
+polynomials over independent halves of their words' XXH3-128 both agree.
+Windows themselves are not shipped and compared, which would move each text
+``width`` times over.
 """
 
 from __future__ import annotations
@@ -27,13 +34,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_BYTE, _WORD_A, _WORD_B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))  # odd multipliers
-_SEGMENT = 1 << 19
-_SHARD_BITS = 22
+from .common import stored
+from .hashing import Vocabulary, pieces
+
+_WORD_A, _WORD_B = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))  # odd multipliers
+#: Cells of a shard, as a power of two.  A chunk sends each shard one row, so that shards have to be large enough for
+#: a chunk to have many cells in each: a chunk of 6 MB has a million windows.
+_SHARD_BITS = 25
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -56,35 +66,12 @@ def _scramble(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(28))
 
 
-def word_hashes(flat: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of ``flat``, whose words are joined by single spaces."""
-    if not flat:
-        return np.zeros(0, np.uint64)
-    out, start = [], 0
-    while start < len(flat):
-        stop = len(flat) if start + _SEGMENT >= len(flat) else flat.rfind(b" ", start, start + _SEGMENT)
-        if stop <= start:  # one word longer than a segment
-            stop = flat.find(b" ", start)
-            stop = len(flat) if stop < 0 else stop
-            out.append(np.array([xxhash.xxh64_intdigest(flat[start:stop], 1)], np.uint64))
-        else:
-            letters = np.frombuffer(flat, np.uint8, stop - start, start)
-            up, down = _powers(_BYTE, len(letters) + 1)
-            sums = np.zeros(len(letters) + 1, np.uint64)
-            np.cumsum((letters + np.uint64(1)) * up[:-1], out=sums[1:])
-            gaps = np.flatnonzero(letters == 32)
-            first, end = np.concatenate([[0], gaps + 1]), np.append(gaps, len(letters))
-            out.append(_scramble((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64) * _WORD_A))
-        start = stop + 1
-    return np.concatenate(out)
-
-
 def window_hashes(words: np.ndarray, width: int, base: np.uint64, salt: int) -> np.ndarray:
-    """A 64-bit hash of each run of ``width`` words."""
+    """A 64-bit hash of each run of ``width`` of the hashed ``words``."""
     up, down = _powers(base, len(words) + 1)
     sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(_scramble(words, salt) * up[:-1], out=sums[1:])
-    return _scramble((sums[width:] - sums[:-width]) * down[: len(words) + 1 - width], salt + 1)
+    np.cumsum(words * up[:-1], out=sums[1:])
+    return _scramble((sums[width:] - sums[:-width]) * down[: len(words) + 1 - width], salt)
 
 
 # --- sorted numbers as bytes ------------------------------------------------
@@ -120,7 +107,6 @@ def bits_out(blob: bytes, n: int) -> np.ndarray:
 class Chunk:
     """The windows of a chunk's documents, and where they start."""
 
-    flats: list[bytes]
     n_words: np.ndarray
     hash_a: np.ndarray
     hash_b: np.ndarray
@@ -128,18 +114,19 @@ class Chunk:
 
     @classmethod
     def of(cls, texts: pa.ChunkedArray, width: int, both: bool) -> Chunk:
-        flats = [b" ".join((t.as_py() or b"").split()) for t in texts]
-        hashes = [word_hashes(f) for f in flats]
-        n_words = np.array([len(h) for h in hashes], np.int64)
-        words = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        vocabulary = Vocabulary()
+        numbers = [vocabulary.numbers(t.as_py() or b"") for t in texts]
+        n_words = np.array([len(n) for n in numbers], np.int64)
+        words = np.concatenate([np.zeros(0, np.int32), *numbers])
         starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(n_words)])[:-1]
         n_windows = np.maximum(n_words - width + 1, 0)
         place = np.repeat(starts - np.concatenate([[0], np.cumsum(n_windows)])[:-1], n_windows) + np.arange(n_windows.sum())
         if not len(place):
-            return cls(flats, n_words, np.zeros(0, np.uint64), np.zeros(0, np.uint64), place)
-        a = window_hashes(words, width, _WORD_A, 11)[place]
-        b = window_hashes(words, width, _WORD_B, 23)[place] if both else a
-        return cls(flats, n_words, a, b, place)
+            return cls(n_words, np.zeros(0, np.uint64), np.zeros(0, np.uint64), place)
+        one, two = vocabulary.digests()
+        a = window_hashes(one[words], width, _WORD_A, 12)[place]
+        b = window_hashes(two[words], width, _WORD_B, 24)[place] if both else a
+        return cls(n_words, a, b, place)
 
 
 def _cells(hash_a: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -259,19 +246,29 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_remove
 _RESULT_SQL = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
 
 
+def kept_words(raw: bytes, gone: np.ndarray) -> bytes:
+    """The words of ``raw`` that are not ``gone``, joined by one space."""
+    out, at = [], 0
+    for words in pieces(raw):
+        here = gone[at : at + len(words)]
+        at += len(words)
+        if here.any():
+            words = [words[k] for k in np.flatnonzero(~here)]
+        if words:
+            out.append(b" ".join(words))
+    return b" ".join(out)
+
+
 def _result(docs: pa.Table, flags: pa.Table, width: int, depth: int, bits: int, with_text: bool) -> pa.Table:
     if not docs.num_rows:
         return _table([], _RESULT)
     windows, covered = _cut(docs, flags, width, depth, bits)
     rows, start = [], 0
-    for doc_id, flat, n in zip(docs["doc_id"].to_pylist(), windows.flats, windows.n_words.tolist(), strict=True):
+    for doc_id, raw, n in zip(docs["doc_id"].to_pylist(), docs["raw"], windows.n_words.tolist(), strict=True):
         gone = covered[start : start + n]
         start += n
-        removed = int(gone.sum())
-        if removed:
-            words = flat.split()
-            flat = b" ".join([words[k] for k in np.flatnonzero(~gone)])
-        rows.append((doc_id, n, removed, flat.decode("utf-8", "replace") if with_text else None, hashlib.sha256(flat).hexdigest()))
+        flat = kept_words(raw.as_py() or b"", gone)
+        rows.append((doc_id, n, int(gone.sum()), flat.decode("utf-8", "replace") if with_text else None, hashlib.sha256(flat).hexdigest()))
     return _table(rows, _RESULT)
 
 
@@ -286,16 +283,14 @@ def remove_repeats(docs: DataFrame, *, width: int = 35, depth: int = 2, cells_pe
     shorter than a window is kept whole; a repeated row repeats its windows; an
     empty table gives no rows; other columns are ignored.
     """
-    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    # rows are dealt by place, not by value, so that equal rows spread as well; a place is only good once it is written
+    # down, since rows of a shuffled input may come in another order when they are made again
+    spread = F.xxhash64(F.monotonically_increasing_id())
+    rows = docs.select(spread.alias("spread"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"), F.octet_length("text").alias("bytes"))
+    rows = stored(rows, compression="zstd")
+    n_bytes = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     bits = max(_SHARD_BITS, int(n_bytes * cells_per_byte).bit_length())
-    chunks = 1 + n_bytes // chunk_bytes
-    # rows are dealt by place, not by value, so that equal rows spread as well
-    dealt = docs.select(
-        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).alias("chunk"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("binary").alias("raw"),
-    )
-    by_chunk = dealt.groupBy("chunk")
+    by_chunk = rows.select(F.pmod("spread", F.lit(1 + n_bytes // chunk_bytes)).alias("chunk"), "doc_id", "raw").groupBy("chunk")
     sketches = by_chunk.applyInArrow(lambda t: _sketch(t, width, depth, bits), _BLOBS_SQL)
     reached = sketches.groupBy("row", "shard").applyInArrow(_merge_sketches, _FLAGS_SQL)
     found = by_chunk.cogroup(reached.groupBy("chunk")).applyInArrow(lambda d, f: _candidates(d, f, width, depth, bits), _BLOBS_SQL)
