@@ -9,6 +9,37 @@ import xxhash
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+class Int(int):
+    """A number that the engine holds in four bytes."""
+
+
+def spark_hash(*values):
+    """The engine's xxhash64 of texts and whole numbers, nulls left out, as a signed number."""
+    h = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else int(v).to_bytes(4 if isinstance(v, Int) else 8, "little", signed=True)
+            h = xxhash.xxh64_intdigest(raw, h % (1 << 64))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def water(sizes, weights=(3, 1, 2), share=1.5):
+    """Targets by repeated sharing of the excess."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    w = {s: weights[k % 3] for k, s in enumerate(names)}
+    target, left, free = {}, share * sum(sizes.values()), set(names)
+    while free:
+        level = left / sum(w[s] for s in free)
+        full = {s for s in free if level * w[s] > 2 * sizes[s]}
+        if not full:
+            return target | {s: level * w[s] for s in free}
+        for s in full:
+            target[s] = 2.0 * sizes[s]
+            left -= target[s]
+        free -= full
+    return target
+
+
 def words(text):
     return WORD.findall(text or "")
 

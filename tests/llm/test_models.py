@@ -5,11 +5,12 @@ import zlib
 
 import numpy as np
 import pytest
+from brute import Int, spark_hash
 from pyspark.sql import functions as F
 
 from trialweave.llm import ann, language_id, nb_classifiers, queries
 from trialweave.llm.common import id_remainder
-from trialweave.llm.grams import Grams, document_counts
+from trialweave.llm.grams import Grams, document_counts, sample_features
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, score string, held_out int"
@@ -129,6 +130,46 @@ def test_mild_ratios_count(spark, learner):
     assert len({*pos, *neg}) > 100 and np.mean([a > b for a in pos for b in neg]) > 0.7
 
 
+@pytest.mark.parametrize("learner", ["logistic", "hinge"])
+def test_a_copied_text_does_not_fill_the_sample(spark, learner):
+    """Seven thousand copies of each text in turn that would come first, against the same table without the copies."""
+    r = np.random.default_rng(6)
+    prose = lambda y: " ".join(r.choice(["bad", "vile", "sun"] if y else ["good", "calm", "sun"]) if r.random() < 0.3 else f"w{r.integers(60)}" for _ in range(12))
+    rows = [(prose(y), y) for y in (0, 1) for _ in range(400)]
+    test = [(prose(y), y) for y in (0, 1) for _ in range(200)]
+    first = min((t for t, y in rows if y), key=lambda t: (spark_hash(Int(2), spark_hash(t)), spark_hash(t)))
+    grams, found = Grams((), (1,), 16), []
+    for copies in (0, 7000):
+        df = spark.createDataFrame(rows + [(first, 1)] * copies, "text string, label int")
+        of = nb_classifiers.train(df, learner, grams=grams, max_rows=600, unit=learner == "hinge").scorer()
+        found.append(np.mean([(of(t) >= 0.5) == y for t, y in test]))
+    assert found[0] > 0.85 and abs(found[0] - found[1]) <= 0.02
+
+
+def test_a_copied_text_does_not_fill_a_language(spark):
+    rows = [(" ".join(f"{'xyz'[k % 3]}{j * k % 17}" for j in range(9)), ["la", "lb", "lc"][k % 3]) for k in range(300)] + [("x1 x2 x3 lone", "la")] * 3000
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string"), grams=Grams((1, 2), (), 14), per_language=30)
+    of = model.predictor()
+    assert np.mean([of(t)[0] == la for t, la in rows[:300]]) > 0.98
+    two = language_id.train(spark.createDataFrame(rows, "text string, lang string"), grams=Grams((1, 2), (), 14), max_languages=2)
+    assert two.languages == ["la", "lb"]
+
+
+def test_counts_of_long_texts_are_not_cut(spark):
+    rows = spark.createDataFrame([("a", "x" * 200_000 + "y"), ("a", None), ("b", "y")], "label string, text string")
+    sample = sample_features(rows, Grams((1,), (), 12), per_label=9, max_entries=100, counts=True)
+    assert sorted(sample.value.tolist()) == [1, 1, 200_000] and sorted(sample.labels) == ["a", "a", "b"]
+    assert sample_features(rows.where("false"), Grams((1,), (), 12), per_label=9, max_entries=100, counts=True).labels == []
+    assert len(sample_features(rows, Grams((1,), (), 12), per_label=9, max_entries=1, counts=True).index) <= 2
+
+
+@pytest.mark.parametrize("query", [queries.op1_language_id, queries.op2_toxicity, queries.op6_quality])
+def test_queries_of_models_on_empty_tables(spark, tmp_path, query):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert query(spark, str(tmp_path)).count() == 0
+
+
 def test_log_ratios():
     r = nb_classifiers.log_ratios((10, np.array([9, 0, 1])), (20, np.array([0, 19, 0])))
     assert r[0] == pytest.approx(math.log((10 / 12) / (1 / 22))) and r[1] < 0 and r[2] == 0
@@ -197,6 +238,38 @@ def test_search_edge_cases(spark):
     assert ann.search(df.where("false"), df, k=3).count() == 0
 
 
+def test_search_counts_repeated_rows_once(spark):
+    """An id repeated more often than there are places, repeated queries, one id with two vectors, and vectors of other lengths."""
+    rows = [(50, [1.0, 0.0])] * 20 + [(70, [1.0, 0.0]), (1, [1.01, 0.0]), (1, [1.01, 0.0]), (2, [2.0, 0.0]), (3, [2.4, 0.0]), (4, [9.0, 9.0]), (4, [0.5, 0.0])]
+    rows += [(80 + k, [0.1 * k + 1, 5.0, 5.0, 5.0]) for k in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    found = found_by(ann.search(df, df.where("vec_id = 1"), k=3, probe=1.0))
+    assert {q: [v for v, _ in hits] for q, hits in found.items()} == {1: [50, 70, 4]}
+    assert [round(s, 9) for _, s in found[1]] == [0.01, 0.01, 0.51]
+    everything = found_by(ann.search(df, df.where("vec_id = 1"), k=10, probe=1.0))
+    assert [v for v, _ in everything[1]] == [50, 70, 4, 2, 3, 4]
+    # the length that counts is the vectors', not the queries'
+    long = spark.createDataFrame([(k, [float(k), 1.0, 2.0, 3.0]) for k in range(30)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(100, [5.0, 1.0, 2.0, 3.0]), (101, [1.0, 2.0]), (102, [1.0, 3.0])], "vec_id long, embedding array<double>")
+    assert {q: [v for v, _ in hits] for q, hits in found_by(ann.search(long, asked, k=3, probe=1.0)).items()} == {100: [5, 4, 6]}
+    assert ann.search(long, asked.where("false"), k=3).count() == 0
+
+
+def test_search_visits_fewer_lists_where_lists_tell_more(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((20, 16)) * 6
+    rows = [(k, (centres[k % 20] + rng.standard_normal(16)).tolist()) for k in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    want, found = brute(rows, set(range(0, 4000, 100)), 10), found_by(ann.search(df, df.where("vec_id % 100 = 0"), k=10))
+    assert np.mean([len({v for v, _ in found[q]} & {v for v, _ in want[q]}) / 10 for q in want]) >= 0.9
+    x = np.array([v for _, v in rows])
+    lists = ann.kmeans(x, 63)
+    assert ann.share_to_probe(x, lists, 10, 0.97) < 0.25
+    flat = rng.standard_normal((4000, 64))
+    assert ann.share_to_probe(flat, ann.kmeans(flat, 63), 10, 0.97) > 0.5
+    assert ann.share_to_probe(x[:1], lists, 10, 0.97) == 1.0
+
+
 def test_scan_abandons_only_what_is_far():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((3000, 32))

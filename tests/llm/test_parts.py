@@ -1,12 +1,13 @@
 """Round trips and invariants of the operators' parts."""
 
 import random
+import re
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from trialweave.llm import packing, simhash, substring
+from trialweave.llm import hashing, packing, simhash, substring
 
 
 @given(st.sets(st.integers(0, 2**32 - 1)))
@@ -22,7 +23,7 @@ def test_flags_come_back(flags):
 
 @given(st.lists(st.text("abé", min_size=1, max_size=4), max_size=30))
 def test_equal_words_have_equal_hashes_wherever_they_stand(words):
-    found = substring.word_hashes(" ".join(words).encode())
+    found = hashing.word_hashes(" ".join(words).encode())
     by_word = {}
     assert len(found) == len(words)
     for w, h in zip(words, found.tolist(), strict=True):
@@ -30,11 +31,20 @@ def test_equal_words_have_equal_hashes_wherever_they_stand(words):
     assert len(set(by_word.values())) == len(by_word)
 
 
-def test_long_words_and_segments(monkeypatch):
-    words = ["a" * 50, "b", "c" * 9, "b", "a" * 50]
-    monkeypatch.setattr(substring, "_SEGMENT", 16)
-    found = substring.word_hashes(" ".join(words).encode()).tolist()
-    assert found[0] == found[4] and found[1] == found[3] and len(set(found)) == 3
+@given(st.text("ab \n\t\x0b\x85é", max_size=60), st.integers(1, 9))
+def test_words_do_not_depend_on_pieces(text, size):
+    raw, whole = text.encode(), re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
+    kept, hashing._PIECE = hashing._PIECE, size
+    try:
+        assert [w for words in hashing.pieces(raw) for w in words] == whole
+        vocabulary = hashing.Vocabulary()
+        numbers = vocabulary.numbers(raw)
+        assert [list(vocabulary)[n] for n in numbers] == whole
+        one, two = vocabulary.digests()
+        assert len(set(zip(one.tolist(), two.tolist(), strict=True))) == len(vocabulary)
+        assert substring.kept_words(raw, np.arange(len(whole)) % 2 > 0) == b" ".join(whole[::2])
+    finally:
+        hashing._PIECE = kept
 
 
 @settings(max_examples=50)
@@ -43,13 +53,19 @@ def test_near_fingerprints_share_an_anchor_as_home(x, distance, r):
     y = x
     for b in r.sample(range(64), distance):
         y ^= 1 << b
-    homes, visits = set(), set()
-    for k, (first, bits) in enumerate(simhash._segments(4)):
-        at, anchor, home = simhash.anchors_of(np.array([x, y], np.uint64), first, bits, k)
-        homes |= set(anchor[home & (at == 0)].tolist())
-        visits |= set(anchor[at == 1].tolist())
-        assert len(set(zip(at.tolist(), anchor.tolist(), strict=True))) == len(at)  # no anchor twice
-    assert homes & visits
+    for m, p in ((4, 1), (3, 1), (5, 2), (6, 3), (8, 5)):
+        homes, visits = set(), set()
+        for k, view in enumerate(simhash._views(4, m, p)):
+            at, anchor, home = simhash.anchors_of(np.array([x, y], np.uint64), view, k)
+            homes |= set(anchor[home & (at == 0)].tolist())
+            visits |= set(anchor[at == 1].tolist())
+            assert len(set(zip(at.tolist(), anchor.tolist(), strict=True))) == len(at)  # no anchor twice
+        assert homes & visits
+
+
+def test_views_widen_with_the_number_of_fingerprints():
+    sizes = [(len(v), sum(w for _, w in v[0])) for v in (simhash.best_views(4, n) for n in (10, 10**7, 10**9, 10**12))]
+    assert sizes == [(4, 16), (3, 21), (20, 32), (56, 40)] and simhash._views(4, 2, 1) is None
 
 
 @settings(max_examples=60)

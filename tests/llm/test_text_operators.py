@@ -59,6 +59,29 @@ def test_remove_repeats(docs, rows, width, chunk_bytes):
     assert found.where(F.sha2(F.col("kept_text").cast("binary"), 256) != F.col("kept_sha256")).count() == 0
 
 
+def thue_morse(n):
+    """A word of 2 ** n letters and its complement: equal under any polynomial modulo 2 ** 64 from n = 10 on."""
+    bits = [bin(k).count("1") % 2 for k in range(1 << n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_collide_under_polynomials_are_told_apart(spark):
+    rows = []
+    for n in (10, 11, 12):
+        one, two = thue_morse(n)
+        rest = [f"r{n}x{k}" for k in range(34)]
+        rows += [(10 * n, " ".join([one, *rest])), (10 * n + 1, " ".join([two, *rest]))]
+    found = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 6 and all(x.n_removed == 0 for x in found)
+
+
+def test_remove_repeats_of_a_shuffled_input(spark, docs, rows):
+    """The passes agree on the deal even where rows come out of a shuffle, in no order."""
+    mixed_up = docs.repartition(7, F.rand()).groupBy("doc_id", "text").agg(F.count("*").alias("n")).select("doc_id", "text", F.explode(F.array_repeat("n", F.col("n").cast("int"))))
+    found = substring.remove_repeats(mixed_up, width=5, chunk_bytes=2000)
+    assert plain(found.select("doc_id", "n_words", "n_removed", "kept_sha256")) == brute.remove_repeats(pairs(rows), 5)
+
+
 def test_remove_repeats_survives_a_full_sketch(docs, rows):
     """A sketch too small to tell anything only costs time."""
     tiny = substring._SHARD_BITS
@@ -91,9 +114,9 @@ def test_keep_one_tells_documents_of_one_id_apart(spark):
     assert kept == sorted([(1, a), (1, b), (4, c), (None, "lone")], key=str)
 
 
-@pytest.mark.parametrize("max_homes", [3, 20_000])
-def test_links_join_all_close_fingerprints(spark, max_homes):
-    """Chains and dense clusters of random fingerprints, with anchors dealt to several tasks."""
+@pytest.mark.parametrize("how", [{}, {"max_homes": 3, "max_members": 5}, {"max_members": 2, "max_hot_rows": 0}, {"views": simhash._views(4, 5, 2)}, {"views": simhash._views(4, 6, 3), "max_homes": 2}])
+def test_links_join_all_close_fingerprints(spark, how):
+    """Chains and dense clusters of random fingerprints, with anchors dealt to grids of tasks and views of all widths."""
     r = random.Random(1)
     fps = set()
     for _ in range(30):
@@ -107,7 +130,7 @@ def test_links_join_all_close_fingerprints(spark, max_homes):
     df = spark.createDataFrame([(f,) for f in signed], "fp long").repartition(3)
     from trialweave.llm.components import connected_components
 
-    found = {x.node: x.root for x in connected_components(simhash.links(df, max_homes=max_homes)).collect()}
+    found = {x.node: x.root for x in connected_components(simhash.links(df, **how)).collect()}
     group = {f: {f} for f in fps}
     for a in fps:
         for b in fps:
@@ -152,21 +175,47 @@ def test_line_dedup(spark):
     assert line_dedup.drop_boilerplate(table(spark, rows)).columns[:7] == table(spark, rows).columns
 
 
-def water(sizes, weights=(3, 1, 2), share=1.5):
-    """Targets by repeated sharing of the excess."""
-    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
-    w = {s: weights[k % 3] for k, s in enumerate(names)}
-    target, left, free = {}, share * sum(sizes.values()), set(names)
-    while free:
-        level = left / sum(w[s] for s in free)
-        full = {s for s in free if level * w[s] > 2 * sizes[s]}
-        if not full:
-            return target | {s: level * w[s] for s in free}
-        for s in full:
-            target[s] = 2.0 * sizes[s]
-            left -= target[s]
-        free -= full
-    return target
+@pytest.mark.parametrize("max_keys", [0, 500_000])
+def test_line_dedup_equals_plain_version(spark, max_keys):
+    """Many hosts and lines, a hot host, long pages of boilerplate, and columns that clash with the new ones."""
+    r = random.Random(5)
+    menus = {h: [f"{h} menu {k}" for k in range(r.choice([1, 40]))] for h in "abcdefgh"}
+    rows = []
+    for k in range(500):
+        host = r.choice("aaaabcdefgh")
+        lines = [f"line {k} {j}" for j in range(r.randint(0, 6))] + r.sample(menus[host], r.randint(0, len(menus[host])))
+        r.shuffle(lines)
+        rows.append((k, "\n".join(lines), host))
+    rows += [(900, "\n".join(menus["b"] * 200), "b"), (901, None, "b"), (902, "a menu 0", None)]
+    df = spark.createDataFrame([(d, t, h, "old", -1, "x") for d, t, h in rows], "doc_id long, text string, source string, n_lines string, n_dropped int, `keys` string").repartition(5)
+    found = line_dedup.drop_boilerplate(df, max_keys=max_keys)
+    assert found.columns == ["doc_id", "text", "source", "keys", "n_lines", "n_dropped"]
+    pages, having = defaultdict(int), defaultdict(int)
+    for _, t, h in rows:
+        pages[h] += 1
+        for line in set((t or "").split("\n")):
+            having[h, line] += 1
+    gone = {(h, x) for (h, x), n in having.items() if n >= 5 and n > 0.05 * pages[h] and x.strip()}
+    want = []
+    for d, t, h in rows:
+        lines = [] if t is None else t.split("\n")
+        kept = [x for x in lines if (h, x) not in gone]
+        want.append((d, None if t is None else "\n".join(kept), len(lines), len(lines) - len(kept)))
+    assert plain(found.select("doc_id", "text", "n_lines", "n_dropped")) == sorted(want, key=repr)
+
+
+def test_quality_fences_by_sketches(spark):
+    """A group of 200,000 rows: the sketch's quartiles lie within its rank error, and fences that are not broadcast judge alike."""
+    rows = spark.range(200_000).select(F.lit("en").alias("lang"), F.lit("a").alias("source"), *[((F.col("id") * 7919 % 200_000) / 1000.0).cast("float").alias(x) for x in quality_rules.RATIOS])
+    found = quality_rules.fences(rows, spread=3.0).first()["fences"]
+    # quartiles of 0..200 are 50 and 150; a rank error of 1 / 2000 moves each by 0.1, the fences by 0.7
+    assert found["symbols_high"] == pytest.approx(150 + 300, abs=0.7) and found["mean_word_low"] == pytest.approx(50 - 300, abs=0.7)
+
+
+def test_quality_rules_beyond_the_broadcast_bound(spark, docs):
+    assert plain(quality_rules.quality_rules(docs, max_bytes=0)) == plain(quality_rules.quality_rules(docs))
+    clash = docs.withColumn("n_words", F.lit("x")).withColumn("kept", F.lit(0)).withColumn("fences", F.lit(1))
+    assert quality_rules.keep_good(clash).columns == clash.columns and plain(quality_rules.keep_good(clash).select("doc_id")) == plain(quality_rules.keep_good(docs).select("doc_id"))
 
 
 def test_mixing(spark, docs, rows):
@@ -175,7 +224,7 @@ def test_mixing(spark, docs, rows):
     sizes = defaultdict(int)
     for _, t, _, s in rows:
         sizes[s] += len(brute.words(t))
-    want = water(sizes)
+    want = brute.water(sizes)
     source = {(d, len(brute.words(t))): s for d, t, _, s in rows}
     taken, largest = defaultdict(int), defaultdict(int)
     for x in found:
@@ -195,7 +244,7 @@ def test_targets_share_the_excess(spark):
     for sizes in ({"a": 10, "b": 1000, "c": 20, "d": 5, None: 7}, {"a": 1}, {"a": 0, "b": 3}, {"a": 0}):
         df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
         found = {x.source: x.target for x in mixing.targets(df).collect()}
-        assert found == pytest.approx(water(sizes))
+        assert found == pytest.approx(brute.water(sizes))
 
 
 def test_packing(docs, rows):
