@@ -7,6 +7,7 @@ hashes with xxhash64 and is the one to use where no other engine has to agree.
 from __future__ import annotations
 
 import math
+import random
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,21 +44,29 @@ def normal(u: Column, v: Column, low: float, high: float) -> Column:
     return F.lit((low + high) / 2.0) + z * F.lit((high - low) / 6.0)
 
 
-def permuted(index: Column, n: int, seed: int, name: str, rounds: int = 4) -> Column:
-    """A pseudo-random permutation of 0..n-1, row by row: a Feistel network over the next even power of two.
+_PRIME = (1 << 31) - 1
 
-    Values outside the range are mapped on until they fall inside it, which
-    for a permutation always happens; under four steps are expected.
+
+def permutation_keys(seed: int, name: str, rounds: int = 48) -> list[tuple[int, int, int, int]]:
+    """Whole numbers (k, c, a, b) of each round of ``permuted``."""
+    r = random.Random(f"{seed}:{name}")
+    return [(r.randrange(1 << 61), *(r.randrange(1, _PRIME) for _ in range(3))) for _ in range(rounds)]
+
+
+def permuted(index: Column, n: Column, seed: int, name: str, batch: Column) -> Column:
+    """A pseudo-random permutation of 0..n-1 for each ``batch``, row by row: a swap-or-not shuffle.
+
+    In each round every number has a partner, (key - number) modulo n, and a bit
+    drawn for the two together says whether they change places: a permutation
+    of any n, with nothing to search for.  Keys are linear in the batch, bits in
+    the larger partner, modulo the prime 2 ** 31 - 1, so that any SQL engine can
+    repeat them.
     """
-    half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
-    mask = (1 << half) - 1
-
-    def once(x: Column) -> Column:
-        left, right = F.shiftright(x, half), x.bitwiseAND(mask)
-        for k in range(rounds):
-            mixed = F.xxhash64(F.lit(seed), F.lit(f"{name}/{k}"), right).bitwiseAND(F.lit(mask))
-            left, right = right, left.bitwiseXOR(mixed)
-        return F.shiftleft(left, half).bitwiseOR(right)
-
-    step = lambda x, _: F.when(x >= n, once(x)).otherwise(x)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), once(index.cast("long")), step)
+    keys = F.array(*[F.struct(*[F.lit(v).cast("long").alias(f) for f, v in zip("kcab", key, strict=True)]) for key in permutation_keys(seed, name)])
+
+    def once(x: Column, key: Column) -> Column:
+        partner = F.pmod((key["k"] + (batch % _PRIME) * key["c"] % _PRIME) % n - x, n)
+        bit = F.shiftright(((F.greatest(x, partner) % _PRIME) * key["a"] + key["b"]) % _PRIME, 12).bitwiseAND(F.lit(1).cast("long"))
+        return F.when(bit == 1, partner).otherwise(x)
+
+    return F.aggregate(keys, index.cast("long"), once)

@@ -2,8 +2,7 @@
 
 A sampler is a pure function of its configuration and an index range, so a
 batch can be made again anywhere, and skipping batches is free.  Points are
-expressions over ``spark.range``: nothing is collected and nothing shuffled,
-with the exception of the latin hypercube's ranks in small batches.
+expressions over ``spark.range``: nothing is collected and nothing shuffled.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import random as rnd
@@ -25,8 +24,6 @@ from ..functions import space
 
 log = logging.getLogger(__name__)
 MAX_POINTS = 100_000
-#: Below this a latin hypercube ranks hashes in a window per dimension; above, it permutes row by row.
-MAX_RANKED = 1_000_000
 
 
 class Sampler:
@@ -144,31 +141,28 @@ class RandomSamplerWithKill(RandomSampler):
 
 
 class LatinHypercubeSampler(Sampler):
-    """Each batch has one point in each of its n strata of every dimension; the last batch is cut to the budget."""
+    """Each batch has one point in each of its n strata of every dimension; the last batch is cut to the budget.
 
-    def __init__(self, bounds, budget, parameters, batch_size=None, seed: int = 0, max_ranked: int = MAX_RANKED, **_: Any):
+    Strata are dealt by a permutation that is evaluated row by row, of any
+    number of points: nothing is ranked, and a batch is the same whether it is
+    made alone or with others.
+    """
+
+    def __init__(self, bounds, budget, parameters, batch_size=None, seed: int = 0, **_: Any):
         super().__init__(bounds, parameters, budget, batch_size, seed)
-        self.max_ranked = max_ranked
 
     def frame(self, spark: SparkSession, start: int, n: int) -> DataFrame:
         """Points of the batches from ``start`` on; ``start`` must be a batch's first index."""
         if start % self.batch_size:
             raise ValueError("a latin hypercube is made by whole batches")
-        size = self.batch_size
+        size = F.lit(self.batch_size).cast("long")
         rows = spark.range(start, start + n).select(F.col("id").alias("sample"), F.floor(F.col("id") / size).cast("long").alias("_batch"))
-        count = F.least(F.lit(size), F.lit(start + n) - F.col("_batch") * size)
-        for k, p in enumerate(self.parameters):
-            if min(size, n) <= self.max_ranked:
-                order = Window.partitionBy("_batch").orderBy(rnd.unit(self.seed, f"{p}/rank", F.col("sample")), "sample")
-                stratum = F.row_number().over(order) - 1
-            else:
-                last = n % size or size  # a shorter last batch has a permutation of its own size
-                inside, is_last = F.col("sample") % size, F.col("_batch") == (start + n - 1) // size
-                by_batch = lambda m, p=p, inside=inside: rnd.permuted(inside, m, self.seed, f"{p}/{start}")
-                stratum = F.when(is_last, by_batch(last)).otherwise(by_batch(size)) if last != size else by_batch(size)
-            u = (stratum + rnd.unit(self.seed, p, F.col("sample"))) / count
-            rows = rows.withColumn(p, rnd.uniform(u, *self.bounds[k]))
-        return rows.drop("_batch")
+        rows = rows.withColumn("_n", F.least(size, F.lit(start + n) - F.col("_batch") * size))
+        values = []
+        for p, bounds in zip(self.parameters, self.bounds, strict=True):
+            stratum = rnd.permuted(F.col("sample") % size, F.col("_n"), self.seed, p, F.col("_batch"))
+            values.append(rnd.uniform((stratum + rnd.unit(self.seed, p, F.col("sample"))) / F.col("_n"), *bounds).alias(p))
+        return rows.select("sample", *values)
 
 
 class SobolSequenceSampler(Sampler):
