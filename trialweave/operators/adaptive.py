@@ -8,8 +8,9 @@ where they lie.
 
 from __future__ import annotations
 
+import importlib
 import logging
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import random as rnd
+from ..sources import scans
 from . import surrogate
 from .samplers import SAMPLERS, Sampler, SobolSequenceSampler
 
@@ -68,7 +70,19 @@ def least_distance(vector: Column, known: Column) -> Column:
     return F.sqrt(F.array_min(F.transform(known, lambda o: squared_distance(vector, o))))
 
 
-STRATEGIES = ("GSx", "GSy", "GSi", "RandomSampling")
+#: name -> score of candidates from their distances (candidates x known) in inputs and in predicted outputs
+STRATEGIES: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray] | None] = {"GSx": lambda dx, dy: dx, "GSy": lambda dx, dy: dy, "GSi": lambda dx, dy: dx * dy, "RandomSampling": None}
+
+
+def strategy(name: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray] | None:
+    """A query strategy by name, or one of one's own as "package.module:function"; None draws at random."""
+    if ":" in name:
+        module, _, attribute = name.partition(":")
+        return getattr(importlib.import_module(module), attribute)
+    name = {"GreedySamplingTarget": "GSi", "GreedySamplingX": "GSx"}.get(name, name)
+    if name not in STRATEGIES:
+        raise ValueError(f"unknown query strategy {name!r}; known: {sorted(STRATEGIES)}")
+    return STRATEGIES[name]
 
 
 class ActiveLearningSampler(Sampler):
@@ -77,7 +91,10 @@ class ActiveLearningSampler(Sampler):
     Without observations a batch is uniform points outside the pool.  Later,
     each pick has the greatest distance to what is known: in inputs (GSx), in
     predicted output (GSy), or the product of both (GSi, which
-    "GreedySamplingTarget" stands for).  Chosen candidates leave the pool.
+    "GreedySamplingTarget" stands for).  A strategy of one's own is a function
+    "module:name" of the distances in inputs and in outputs (candidates x
+    known); the least of its values over what is known is a candidate's score.
+    Chosen candidates leave the pool.
     """
 
     adaptive = True
@@ -85,9 +102,7 @@ class ActiveLearningSampler(Sampler):
 
     def __init__(self, bounds, budget, parameters, query_strategy: str = "GreedySamplingTarget", n_candidates: int = 1000, batch_size=None, seed: int = 0, max_observations: int | None = None, **_: Any):
         super().__init__(bounds, parameters, budget, batch_size, seed)
-        self.strategy = {"GreedySamplingTarget": "GSi", "GreedySamplingX": "GSx"}.get(query_strategy, query_strategy)
-        if self.strategy not in STRATEGIES:
-            raise ValueError(f"unknown query strategy {query_strategy!r}; known: {STRATEGIES}")
+        self.strategy = strategy(query_strategy)
         self.n_candidates, self.max_observations = n_candidates, max_observations
 
     def _points(self, spark: SparkSession, start: int, n: int, tag: str) -> DataFrame:
@@ -116,40 +131,54 @@ class ActiveLearningSampler(Sampler):
         if known is None or known.empty:
             return self.batch(spark, number)
         pool = self.remaining(spark, results)
-        if self.strategy == "RandomSampling":
+        if self.strategy is None:
             chosen = pool.orderBy(rnd.unit(self.seed, f"pick/{number}", F.col("cand_id"))).limit(n)
         else:
             chosen = self._greedy(spark, pool, known, n)
         return chosen.select((F.row_number().over(Window.orderBy("cand_id")) - 1).cast("long").alias("sample"), *self.parameters)
 
     def _greedy(self, spark: SparkSession, pool: DataFrame, known: pd.DataFrame, n: int) -> DataFrame:
-        """Picks one after the other, each by one pass over the pool that keeps the top row."""
+        """Picks one after the other.
+
+        A score is a least value over what is known, so that it only falls as
+        points are picked.  One pass over the pool brings its best rows; while
+        the best of them, scored anew, is above the last of them as it was, no
+        other row can be better, and no further pass is needed.
+        """
         x, y = known[self.parameters].to_numpy(float), known["output"].to_numpy(float)
-        model = surrogate.KernelRegression.fit(x, y, seed=self.seed)
-        rows, parameters, strategy = [], self.parameters, self.strategy
-        for _ in range(n):
-            have_x, have_y = x.copy(), y.copy()
+        model, parameters, values = surrogate.KernelRegression.fit(x, y, seed=self.seed), self.parameters, self.strategy
+
+        def scores(points: np.ndarray, have_x: np.ndarray, have_y: np.ndarray) -> np.ndarray:
+            out = [np.zeros(0)]
+            for part in surrogate.blocks(points, have_x):
+                dx = np.sqrt(((part[:, None] - have_x[None]) ** 2).sum(-1))
+                out.append(values(dx, np.abs(model.predict(part)[:, None] - have_y[None])).min(1))
+            return np.concatenate(out)
 
-            def score(batches: Iterator[pd.DataFrame], have_x=have_x, have_y=have_y) -> Iterator[pd.DataFrame]:
+        schema = T.StructType([*pool.schema.fields, T.StructField("_score", T.DoubleType())])
+        picks: list[list] = []
+        while len(picks) < n:
+            have = x.copy(), y.copy()
+
+            def score(batches: Iterator[pd.DataFrame], have=have) -> Iterator[pd.DataFrame]:
                 for pdf in batches:
-                    value = [np.zeros(0)]
-                    for points in surrogate.blocks(pdf[parameters].to_numpy(float), have_x):
-                        dx = np.sqrt(((points[:, None] - have_x[None]) ** 2).sum(-1))
-                        dy = np.abs(model.predict(points)[:, None] - have_y[None])
-                        value.append({"GSx": dx, "GSy": dy, "GSi": dx * dy}[strategy].min(1))
-                    yield pdf.assign(_score=np.concatenate(value))
-
-            schema = T.StructType([*pool.schema.fields, T.StructField("_score", T.DoubleType())])
-            taken = [r["cand_id"] for r in rows]
-            left = pool.where(~F.col("cand_id").isin(taken)) if taken else pool
-            best = left.mapInPandas(score, schema).orderBy(F.desc("_score"), "cand_id").limit(1).collect()
-            if not best:
+                    yield pdf.assign(_score=scores(pdf[parameters].to_numpy(float), *have))
+
+            left = pool.where(~F.col("cand_id").isin([p[0] for p in picks])) if picks else pool
+            held = 16 * (n - len(picks))
+            best = left.mapInPandas(score, schema).orderBy(F.desc("_score"), "cand_id").limit(held + 1).toPandas()
+            if best.empty:
                 break
-            rows.append(best[0].asDict())
-            point = np.array([[best[0][p] for p in parameters]])
-            x, y = np.vstack([x, point]), np.append(y, model.predict(point))
-        values = [[r["cand_id"], *[float(r[p]) for p in parameters]] for r in rows]
-        return spark.createDataFrame(values, "cand_id long, " + ", ".join(f"`{p}` double" for p in parameters))
+            bound = best["_score"].iloc[-1] if len(best) > held else -np.inf
+            first = True
+            while len(picks) < n and len(best):
+                best = best.assign(_score=scores(best[parameters].to_numpy(float), x, y)).sort_values(["_score", "cand_id"], ascending=[False, True], ignore_index=True)
+                if not first and best["_score"].iloc[0] <= bound:
+                    break
+                point = best.loc[[0], parameters].to_numpy(float)
+                picks.append([int(best["cand_id"].iloc[0]), *point[0].tolist()])
+                x, y, best, first = np.vstack([x, point]), np.append(y, model.predict(point)), best.iloc[1:], False
+        return spark.createDataFrame(picks, "cand_id long, " + ", ".join(f"`{p}` double" for p in parameters))
 
 
 class BayesianOptimizationSampler(Sampler):
@@ -160,13 +189,18 @@ class BayesianOptimizationSampler(Sampler):
     random points and max(int((1 - random_fraction) * B), 1) of the model;
     asynchronous ones a single point.  ``model_failures`` adds a second process
     on failed runs: a candidate passes with the probability of not failing, and
-    a shortfall is filled with unfiltered ones.
+    a shortfall is filled with unfiltered ones.  Points of the model are the
+    best of ``restarts`` local searches from the best of ``raw_samples`` Sobol
+    points; with a failure model they are those that pass, as they are.
+    ``history`` is a folder of run directories with a datapoint.csv each, whose
+    runs count as observations, but for those with a string of ``history_skip``
+    in their names.
     """
 
     adaptive = True
     truncates = False
 
-    def __init__(self, bounds, parameters, budget: int = 20, initial_samples: int = 50, acquisition_batch_size: int = 20, acquisition_function: str = "qLEI", kernel: str = "matern32", beta: float = 0.2, random_fraction: float = 0.0, asynchronous: bool = False, model_failures: bool = False, observations: Sequence[str] = ("output",), raw_samples: int = 1024, count_warmup: bool = False, fully_bayesian: bool = False, max_observations: int | None = None, seed: int = 0, **ignored: Any):
+    def __init__(self, bounds, parameters, budget: int = 20, initial_samples: int = 50, acquisition_batch_size: int = 20, acquisition_function: str = "qLEI", kernel: str = "matern32", beta: float = 0.2, random_fraction: float = 0.0, asynchronous: bool = False, model_failures: bool = False, observations: Sequence[str] = ("output",), raw_samples: int = 1024, count_warmup: bool = False, fully_bayesian: bool = False, max_observations: int | None = None, restarts: int = 10, history: str | None = None, history_skip: Sequence[str] = (), seed: int = 0, **ignored: Any):
         super().__init__(bounds, parameters, budget, acquisition_batch_size, seed)
         if fully_bayesian:
             raise NotImplementedError("sampling the posterior of hyperparameters is not supported; the process is fitted by maximum likelihood")
@@ -177,9 +211,19 @@ class BayesianOptimizationSampler(Sampler):
         self.initial, self.acquisition, self.kernel, self.beta = initial_samples, acquisition_function, kernel, beta
         self.random_fraction, self.asynchronous, self.model_failures = random_fraction, asynchronous, model_failures
         self.observed, self.raw_samples, self.count_warmup, self.max_observations = list(observations), raw_samples, count_warmup, max_observations
+        self.restarts, self.history, self.history_skip = restarts, history, list(history_skip)
         if ignored:
             log.debug("ignored options: %s", sorted(ignored))
 
+    def with_history(self, spark: SparkSession, results: DataFrame | None) -> DataFrame | None:
+        """``results`` and the runs of ``history`` that are not among them."""
+        if not self.history:
+            return results
+        columns = dict.fromkeys([*self.parameters, *self.observed], "double") | {"success": "boolean"}
+        found = scans.datapoints(spark, self.history, ", ".join(f"`{c}` {kind}" for c, kind in columns.items()))
+        found = scans.unseen(found, results if results is not None and "run_dir" in results.columns else None, self.history_skip)
+        return found if results is None else results.unionByName(found, allowMissingColumns=True)
+
     def frame(self, spark: SparkSession, start: int, n: int) -> DataFrame:
         values = [rnd.uniform(rnd.unit(self.seed, p, F.col("id")), *b).alias(p) for p, b in zip(self.parameters, self.bounds, strict=True)]
         return spark.range(start, start + n).select(F.col("id").alias("sample"), *values)
@@ -213,7 +257,8 @@ class BayesianOptimizationSampler(Sampler):
         """The next batch; ``spent`` is how much of the budget earlier batches have used."""
         if spent >= self.budget:
             return None
-        n_seen = observations(results, self.parameters).count() if results is not None else 0
+        results = self.with_history(spark, results)
+        n_seen = observations(results.withColumn("_target", reduced_target(results.columns, self.observed)), self.parameters, "_target").count() if results is not None else 0
         start = number * self.batch_size
         if n_seen < self.initial:
             return self.frame(spark, start, self.batch_size).withColumn("sample", F.col("sample") - start)
@@ -234,7 +279,8 @@ class BayesianOptimizationSampler(Sampler):
                 keep = np.concatenate([passed, np.setdiff1d(keep, passed)]) if len(passed) < n_model else passed
             raw = raw[keep]
             low, high = np.array(self.bounds, float).T
-            points += (low + raw[surrogate.propose(gp, raw, n_model, self.acquisition, self.beta)] * (high - low)).tolist()
+            best = raw[surrogate.propose(gp, raw, n_model, self.acquisition, self.beta)] if len(bad) else surrogate.optimized(gp, raw, n_model, self.acquisition, self.beta, self.restarts)
+            points += (low + best * (high - low)).tolist()
         schema = "sample long, " + ", ".join(f"`{p}` double" for p in self.parameters)
         return spark.createDataFrame([[k, *p] for k, p in enumerate(points)], schema)
 

@@ -130,6 +130,34 @@ def propose(gp: GaussianProcess, candidates: np.ndarray, q: int, name: str = "qL
     return np.array(picked, int)
 
 
+def refined(gp: GaussianProcess, starts: np.ndarray, name: str, beta: float, step: float = 0.1, least: float = 1e-4) -> np.ndarray:
+    """The best point of the unit cube that a compass search finds from any of ``starts``: all of them side by side."""
+    value = lambda x: acquisition(name, *gp.posterior(x), float(gp.y.max()), beta)
+    at, found = starts.copy(), value(starts)
+    compass = np.concatenate([np.eye(starts.shape[1]), -np.eye(starts.shape[1])])
+    for _ in range(200):
+        if step < least:
+            break
+        moves = np.clip(at[:, None] + step * compass[None], 0.0, 1.0)
+        tried = value(moves.reshape(-1, starts.shape[1])).reshape(len(at), -1)
+        k = tried.argmax(1)
+        better = tried[np.arange(len(at)), k] > found
+        at[better], found[better] = moves[better, k[better]], tried[better, k[better]]
+        step = step if better.any() else step / 2
+    return at[int(found.argmax())]
+
+
+def optimized(gp: GaussianProcess, candidates: np.ndarray, q: int, name: str = "qLEI", beta: float = 0.2, restarts: int = 10) -> np.ndarray:
+    """``q`` points, one after the other: the best of searches from the ``restarts`` best candidates, believed to come out at its mean before the next."""
+    out = []
+    for _ in range(q):
+        order = np.argsort(-acquisition(name, *gp.posterior(candidates), float(gp.y.max()), beta), kind="stable")
+        point = refined(gp, candidates[order[:restarts]], name, beta)
+        out.append(point)
+        gp = gp.with_point(point[None], float(gp.posterior(point[None])[0][0]))
+    return np.array(out)
+
+
 def blocks(points: np.ndarray, known: np.ndarray, numbers: int = 4_000_000) -> Iterator[np.ndarray]:
     """``points`` in order, as blocks whose differences to all of ``known`` hold about ``numbers`` numbers."""
     step = max(1, numbers // max(1, known.size))
