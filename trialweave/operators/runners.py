@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import logging
 import os
+import random
 import re
 import shutil
 import subprocess
@@ -107,11 +108,17 @@ def checked_sleep(sleep_sec: Any) -> tuple[float, float]:
     return float(low), float(high)
 
 
+def unlucky(fail_prob: float) -> str:
+    return f"RuntimeError: the run failed because it was unlucky, fail_prob:{fail_prob}"
+
+
 class ExampleRunner(ExpressionRunner):
     """c1 + c2 (the two largest-numbered c columns), failing at random with ``fail_prob``.
 
-    A value that is no number fails its row.  ``sleep_sec`` is validated; the
-    expression does not sleep.  ``ProcessRunner`` runs the same sum as a program.
+    A value that is no number fails its row.  With ``raise_failures`` a run that
+    is unlucky has failed with an error, which stands in ``error_<name>``.
+    ``sleep_sec`` is validated; the expression does not sleep.
+    ``ExampleProcessRunner`` does, and runs the sum as a program.
     """
 
     def __init__(self, fail_prob: float = 0.0, raise_failures: bool = False, sleep_sec: Any = 0.01, name: str = "example_runner", **_: Any):
@@ -128,7 +135,8 @@ class ExampleRunner(ExpressionRunner):
             return out
         key = F.concat_ws("/", *[F.col(c).cast("string") for c in ("depth", "batch", "sample") if c in df.columns])
         fails = rnd.unit(seed, f"{self.name}/fail", key) < self.fail_prob
-        return out.withColumn("success", F.col("success") & ~fails).withColumn("output", F.when(~fails, F.col("output")))
+        out = out.withColumn("success", F.col("success") & ~fails).withColumn("output", F.when(~fails, F.col("output")))
+        return out.withColumn(f"error_{self.name}", F.when(fails, F.lit(unlucky(self.fail_prob)))) if self.raise_failures else out
 
 
 class FunctionRunner(Runner):
@@ -215,8 +223,33 @@ class ProcessRunner(FunctionRunner):
         return {"output": float(done.stdout.strip().splitlines()[-1]), "success": True}
 
 
+class ExampleProcessRunner(ProcessRunner):
+    """The example as a program: sleeps ``sleep_sec`` (seconds, or [low, high] of a uniform draw), then prints the sum of c1 and c2.
+
+    With ``fail_prob`` a run fails at random, the same runs each time, with an
+    error if ``raise_failures``.
+    """
+
+    def __init__(self, fail_prob: float = 0.0, raise_failures: bool = True, sleep_sec: Any = 0.01, seed: int = 0, name: str = "example_process_runner", **more: Any):
+        super().__init__(name=name, **more)
+        self.sleep, self.fail_prob, self.raise_failures, self.seed = checked_sleep(sleep_sec), float(fail_prob), raise_failures, seed
+        if not 0 <= self.fail_prob <= 1:
+            raise ValueError("fail_prob must be between 0 and 1")
+
+    def _run(self, scratch: str, params: dict) -> dict:
+        one, two = last_two(list(params))
+        draw = random.Random(f"{self.seed}:{sorted(params.items())}")
+        self.command = [sys.executable, "-S", "-c", f"import time; time.sleep({draw.uniform(*self.sleep)}); print({float(params[one])} + {float(params[two])})"]
+        answer = super()._run(scratch, params)
+        if draw.random() < self.fail_prob:
+            if self.raise_failures:
+                raise RuntimeError(unlucky(self.fail_prob).removeprefix("RuntimeError: "))
+            return {"output": None, "success": False}
+        return answer
+
+
 RUNNERS = Registry("trialweave.runners")
-RUNNERS.add(SumRunner, SyntheticDoubleGaussianRunner, ExampleRunner, FunctionRunner, ProcessRunner)
+RUNNERS.add(SumRunner, SyntheticDoubleGaussianRunner, ExampleRunner, FunctionRunner, ProcessRunner, ExampleProcessRunner)
 
 
 def make_runner(name: str, config: dict[str, Any]) -> Runner:
