@@ -88,13 +88,13 @@ class Engine:
             self._report(commit)
             number += 1
 
-    def _report(self, c: Commit) -> None:
-        base = f"{self.campaign.base_run_dir}"
+    def _line(self, c: Commit) -> str:
         rate = 100.0 * c.successes / c.rows if c.rows else 0.0
-        line = f"depth {c.depth}, batch {c.batch}: {c.rows} runs, {c.successes} ok, {c.failures} failed, {rate:.1f} %"
-        log.info(line)
-        files.write_text(self.spark, f"{base}/current_progress.txt", line + "\n")
-        files.write_text(self.spark, f"{base}/all_progress.txt", (files.read_text(self.spark, f"{base}/all_progress.txt") or "") + line + "\n")
+        return f"depth {c.depth}, batch {c.batch}: {c.rows} runs, {c.successes} ok, {c.failures} failed, {rate:.1f} %\n"
+
+    def _report(self, c: Commit) -> None:
+        log.info(self._line(c).rstrip())
+        files.write_text(self.spark, f"{self.campaign.base_run_dir}/current_progress.txt", self._line(c))
         if self.campaign.log_failures and c.failures:
             for row in self.store.batch(c.depth, c.batch).where(~F.col("success")).limit(100).toJSON().collect():
                 log.warning("failed: %s", row)
@@ -117,7 +117,10 @@ class Engine:
         files.write_text(self.spark, f"{c.base_run_dir}/config/config.json", json.dumps(c.raw, default=str, indent=1))
         for depth, level in enumerate(c.levels):
             before = len(self.store.commits(depth))
-            self.run_level(depth, level)
+            try:
+                self.run_level(depth, level)
+            finally:  # once for a level, from the records
+                files.write_text(self.spark, f"{c.base_run_dir}/all_progress.txt", "".join(map(self._line, self.store.commits())))
             if len(self.store.commits(depth)) > before and depth + 1 < len(c.levels) and self.store.commits(depth + 1):
                 self.store.drop_from(depth + 1)  # children of an incomplete parent level
         return self.store.level(len(c.levels) - 1)

@@ -29,18 +29,24 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Replace the file: written beside it first, then renamed."""
-    _, fs, p = _at(spark, path)
+    """Replace the file: written beside it first, then renamed over it, so that one of the two is always whole."""
+    jvm, fs, p = _at(spark, path)
     _, _, temporary = _at(spark, path + ".tmp")
     stream = fs.create(temporary, True)
     try:
         stream.write(bytearray(text.encode("utf-8")))
     finally:
         stream.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(temporary, p):
-        raise OSError(f"{path} cannot be written")
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(temporary), fs.makeQualified(p), overwrite)
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Delete the folder when the application ends."""
+    _, fs, p = _at(spark, path)
+    fs.deleteOnExit(p)
 
 
 def names(spark: SparkSession, path: str) -> list[str]:

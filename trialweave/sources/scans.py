@@ -10,19 +10,29 @@ from pyspark.sql import types as T
 
 from . import files
 
+#: A comma that is not between quotes.
+_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
 
 def datapoints(spark: SparkSession, folder: str, schema: T.StructType | str, pattern: str = "*/datapoint.csv", name_filter: str | None = None) -> DataFrame:
-    """One-row CSV files under ``folder``, each with its directory's name as ``run_dir``; missing and empty files give nothing.
+    """CSV files of a header and one row under ``folder``, each with its directory's name as ``run_dir``; missing and empty files give nothing.
 
-    Columns are taken by the files' headers, malformed fields are null.
+    Columns are taken by each file's own header, in any order: what a file does
+    not have, and malformed fields, are null.
     """
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    fields = [f for f in schema if f.name != "run_dir"]
     if not files.names(spark, folder):
-        return spark.createDataFrame([], T.StructType([f for f in schema if f.name != "run_dir"]).add("run_dir", "string"))
-    path = F.input_file_name()
-    rows = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False).schema(T.StructType([f for f in schema if f.name != "run_dir"]))
-    out = rows.csv(f"{folder}/{pattern}").withColumn("run_dir", F.element_at(F.split(path, "/"), -2))
-    return out.where(F.col("run_dir").contains(name_filter)) if name_filter else out
+        return spark.createDataFrame([], T.StructType(fields).add("run_dir", "string"))
+    run_dir = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    lines = F.filter(F.split("value", r"\r?\n", -1), lambda x: F.trim(x) != "")
+    files_ = spark.read.text(f"{folder}/{pattern}", wholetext=True).select(run_dir.alias("run_dir"), lines.alias("lines"))
+    if name_filter:
+        files_ = files_.where(F.col("run_dir").contains(name_filter))
+    cells = lambda line: F.transform(F.split(line, _COMMA, -1), lambda x: F.replace(F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+    rows = files_.select("run_dir", cells(F.get("lines", F.lit(0))).alias("header"), F.explode(F.slice("lines", 2, 1 << 30)).alias("line")).withColumn("cells", cells(F.col("line")))
+    value = lambda f: F.get("cells", (F.array_position("header", f.name) - 1).cast("int")).try_cast(f.dataType)
+    return rows.select(*[value(f).alias(f.name) for f in fields], "run_dir")
 
 
 def summary(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

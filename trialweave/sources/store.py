@@ -32,28 +32,38 @@ class Commit:
 
 
 class Store:
+    """One writer's view of a campaign's folder: records are read once and then kept."""
+
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
+        self._known: dict[tuple[int, int], Commit] | None = None
 
     def _folder(self, depth: int, batch: int) -> str:
         return f"{self.base}/data/depth={depth}/batch={batch}"
 
-    def write(self, df: DataFrame, depth: int, batch: int, submitted: int) -> Commit:
-        """Write a batch, then its record."""
+    def write(self, df: DataFrame, depth: int, batch: int, submitted: int | None = None) -> Commit:
+        """Write a batch, then its record; ``submitted`` is how much of a budget it uses, by default its rows."""
         folder = self._folder(depth, batch)
         df.drop("depth", "batch").write.mode("overwrite").parquet(folder)
         found = self.spark.read.parquet(folder).agg(F.count("*"), F.coalesce(F.sum(F.col("success").cast("long")), F.lit(0))).first()
-        commit = Commit(depth, batch, submitted, found[0], found[1])
+        commit = Commit(depth, batch, found[0] if submitted is None else submitted, found[0], found[1])
         files.write_text(self.spark, f"{self.base}/commits/d{depth}_b{batch}.json", json.dumps(asdict(commit)))
+        self._records()[depth, batch] = commit
         return commit
 
+    def _records(self) -> dict[tuple[int, int], Commit]:
+        if self._known is None:
+            texts = [files.read_text(self.spark, f"{self.base}/commits/{name}") for name in files.names(self.spark, f"{self.base}/commits") if name.endswith(".json")]
+            self._known = {(c.depth, c.batch): c for c in (Commit(**json.loads(t)) for t in texts)}
+        return self._known
+
     def commits(self, depth: int | None = None) -> list[Commit]:
         """Records in order of level and batch."""
-        found = []
-        for name in files.names(self.spark, f"{self.base}/commits"):
-            if name.endswith(".json"):
-                found.append(Commit(**json.loads(files.read_text(self.spark, f"{self.base}/commits/{name}"))))
-        return sorted((c for c in found if depth is None or c.depth == depth), key=lambda c: (c.depth, c.batch))
+        return [c for k, c in sorted(self._records().items()) if depth is None or k[0] == depth]
+
+    def commit_table(self) -> DataFrame:
+        """The records as rows (depth, batch, submitted, rows, successes)."""
+        return self.spark.createDataFrame([tuple(asdict(c).values()) for c in self.commits()], "depth long, batch long, submitted long, rows long, successes long")
 
     def _rows(self, commits: list[Commit]) -> DataFrame | None:
         """The batches of ``commits`` as one scan; columns by name, missing ones null."""
@@ -85,6 +95,7 @@ class Store:
             if c.depth >= depth:
                 files.delete(self.spark, f"{self.base}/commits/d{c.depth}_b{c.batch}.json")
                 files.delete(self.spark, self._folder(c.depth, c.batch))
+                del self._records()[c.depth, c.batch]
 
     def clear(self) -> None:
         self.drop_from(0)

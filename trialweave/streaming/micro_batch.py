@@ -27,7 +27,7 @@ def commit_stream(points: DataFrame, runners: Sequence[Runner], store: Store, ch
 
     def one(batch: DataFrame, number: int) -> None:
         rows = run_sequence(batch, runners, depth, number, seed)
-        store.write(rows, depth, number, batch.count())
+        store.write(rows, depth, number)
         if feedback is not None:
             feedback(store.batch(depth, number), number)
 
