@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,20 @@ def normalize(x: Column, low: float, high: float) -> Column:
     return (x - F.lit(float(low))) / F.lit(float(high) - float(low))
 
 
+def standardized(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``column`` less its mean, in sample standard deviations (1 where they are zero or there is one row)."""
+    value = F.col(column).cast("double")
+    moments = df.agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"))  # one row
+    sd = F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(F.lit(1.0))
+    return df.crossJoin(F.broadcast(moments)).withColumn(column, (value - F.col("_mean")) / sd).drop("_mean", "_sd")
+
+
+def best_of(value: Column, at: Column) -> Column:
+    """An aggregate: the greatest ``value`` (as ``best``) and the least ``at`` that has it."""
+    found = F.max(F.struct(value.alias("best"), (-at).alias("at")))
+    return F.struct(found["best"].alias("best"), (-found["at"]).alias("at"))
+
+
 def unnormalize(x: Column, low: float, high: float) -> Column:
     return F.lit(float(low)) + x * F.lit(float(high) - float(low))
 

@@ -17,10 +17,17 @@ def is_run_dir(name: Column) -> Column:
 
 
 def progress_bar(done: Column, total: Column, width: int = 40) -> Column:
-    """[####----], the ratio clamped to [0, 1]; null where there is nothing to do."""
-    ratio = F.greatest(F.lit(0.0), F.least(F.lit(1.0), done / total))
+    """[####----]  50.0%, the ratio clamped to [0, 1]; an error where the total is not positive."""
+    ratio = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(done.cast("double"), total.cast("double"))))
     n = F.floor(ratio * width).cast("int")
-    return F.when(total > 0, F.concat(F.lit("["), F.repeat(F.lit("#"), n), F.repeat(F.lit("-"), F.lit(width) - n), F.lit("]")))
+    bar = F.concat(F.lit("["), F.repeat(F.lit("#"), n), F.repeat(F.lit("-"), F.lit(width) - n), F.lit("] "), F.format_string("%5.1f%%", F.bround(ratio * 100, 1)))
+    return F.when(total > 0, bar).otherwise(F.raise_error(F.lit("total must be positive")))
+
+
+def report_field(lines: Column, entry: str) -> Column:
+    """What follows ``entry`` on the first of ``lines`` that starts with it; empty if there is none."""
+    found = F.get(F.filter(lines, lambda x: x.startswith(entry)), F.lit(0))
+    return F.coalesce(F.trim(F.replace(found, F.lit(entry), F.lit(""))), F.lit(""))
 
 
 def clock_seconds(text: Column) -> Column:
