@@ -49,13 +49,30 @@ def test_random_batches_are_full_and_repeatable(spark):
         samplers.RandomSampler([(0, 1)], 1, ["x"], distribution="other")
 
 
-@pytest.mark.parametrize("max_ranked", [10, 10_000])
-def test_latin_hypercube_has_one_point_per_stratum(spark, max_ranked):
-    s = samplers.LatinHypercubeSampler([(0, 1), (0, 1)], 130, ["x", "y"], batch_size=50, max_ranked=max_ranked)
+def test_latin_hypercube_has_one_point_per_stratum(spark):
+    s = samplers.LatinHypercubeSampler([(0, 1), (0, 1)], 130, ["x", "y"], batch_size=50)
+    together = {r["sample"]: (r.x, r.y) for r in s.frame(spark, 0, 130).collect()}
     for k, n in enumerate([50, 50, 30]):
         rows = s.batch(spark, k).collect()
         for p in "xy":
             assert sorted(math.floor(r[p] * n) for r in rows) == list(range(n))
+        # a batch is the same alone as with others
+        assert all(together[50 * k + r["sample"]] == (r.x, r.y) for r in rows)
+    one = samplers.LatinHypercubeSampler([(0, 1)], 1, ["x"]).batch(spark, 0).first()
+    assert 0 <= one["x"] < 1
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 1000, (1 << 20) + 3])
+def test_permutations_are_whole_at_any_size(spark, n):
+    """At every size all numbers come once; neighbours and batches part ways."""
+    from trialweave.functions.random import permuted
+
+    many = F.lit(n).cast("long")
+    rows = spark.range(n).select("id", *[permuted(F.col("id"), many, 5, "x", F.lit(b).cast("long")).alias(f"p{b}") for b in (0, 1)])
+    found = rows.agg(F.min("p0"), F.max("p0"), F.sum("p0"), F.count_distinct("p0"), F.corr("id", "p0"), F.corr("p0", "p1")).first()
+    assert found[:4] == (0, n - 1, n * (n - 1) // 2, n)
+    if n >= 1000:
+        assert abs(found[4]) < 0.15 and abs(found[5]) < 0.15
 
 
 def test_sobol_rounds_down_and_shifts(spark):
@@ -285,6 +302,63 @@ def test_active_learning_measures_to_every_observation(spark):
     assert [r.x for r in s.propose(spark, seen, 1).collect()] == [best] and abs(best - 0.4) < 0.05
 
 
+def test_query_strategies_of_ones_own(spark):
+    s = adaptive.ActiveLearningSampler([(0, 1)], 20, ["x"], "numpy:add", n_candidates=50, batch_size=2)  # the sum of both distances
+    seen = spark.createDataFrame([(0.5, 1.0, True), (0.6, 2.0, True)], "x double, output double, success boolean")
+    assert s.propose(spark, seen, 1).count() == 2
+    with pytest.raises(ValueError, match="query strategy"):
+        adaptive.ActiveLearningSampler([(0, 1)], 20, ["x"], "other")
+
+
+@pytest.mark.parametrize("strategy", ["GSx", "GSy", "GSi"])
+def test_greedy_picks_are_those_of_one_pass_each(spark, strategy):
+    """Picking from the best rows of one pass gives what picking from the whole pool gives."""
+    import numpy as np
+
+    s = adaptive.ActiveLearningSampler([(0, 1), (0, 1)], 60, ["x", "y"], strategy, n_candidates=300, batch_size=40, seed=3)
+    seen = SyntheticDoubleGaussianRunner(2).apply(s.batch(spark, 0), ["x", "y"])
+    known = adaptive.gathered(adaptive.observations(seen, ["x", "y"]), None)
+    pool = np.array([(r.cand_id, r.x, r.y) for r in s.pool(spark).orderBy("cand_id").collect()])
+    x, out, model, want = known[["x", "y"]].to_numpy(float), known["output"].to_numpy(float), None, []
+    model = KernelRegression.fit(x, out, seed=3)
+    for _ in range(40):
+        dx = np.sqrt(((pool[:, None, 1:] - x[None]) ** 2).sum(-1))
+        dy = np.abs(model.predict(pool[:, 1:])[:, None] - out[None])
+        value = {"GSx": dx, "GSy": dy, "GSi": dx * dy}[strategy].min(1)
+        value[[int(k) for k in want]] = -1
+        want.append(int(value.argmax()))
+        x, out = np.vstack([x, pool[want[-1], 1:]]), np.append(out, model.predict(pool[want[-1], 1:][None]))
+    found = s.propose(spark, seen, 1).collect()
+    assert sorted((r.x, r.y) for r in found) == sorted(map(tuple, pool[want, 1:].tolist()))
+
+
+def test_searches_refine_the_best_candidates():
+    import numpy as np
+
+    from trialweave.operators.surrogate import optimized
+
+    x = np.linspace(0, 1, 15)[:, None]
+    gp = GaussianProcess.fit(x, -((x[:, 0] - 0.437) ** 2), "rbf")
+    raw = np.linspace(0, 1, 9)[:, None]
+    best = lambda p: acquisition("qUCB", *gp.posterior(p), float(gp.y.max())).max()
+    point = optimized(gp, raw, 1, "qUCB")
+    assert best(point) >= best(raw) and abs(point[0, 0] - 0.437) < 0.05
+    assert optimized(gp, raw, 3).shape == (3, 1)
+
+
+def test_unlucky_programs(spark):
+    from trialweave.operators.runners import ExampleProcessRunner
+
+    df = spark.createDataFrame([(k, float(k), 1.0) for k in range(12)], "sample long, c1 double, c2 double")
+    for raises in (True, False):
+        rows = ExampleProcessRunner(fail_prob=0.5, raise_failures=raises, sleep_sec=0, name="e").apply(df, ["c1", "c2"]).collect()
+        bad = [r for r in rows if not r["success"]]
+        assert 0 < len(bad) < 12 and all((r["error_e"] is not None) == raises and r["output"] is None for r in bad)
+        assert all(r["output"] == r["c1"] + 1 for r in rows if r["success"])
+    with pytest.raises(ValueError):
+        ExampleProcessRunner(fail_prob=2)
+
+
 # --- models ---
 
 
@@ -315,11 +389,12 @@ def test_kernel_regression():
 
 
 def test_scans(spark, tmp_path):
-    for name, text in (("d0_b0_s0_r0", "output,success,x\n1.5,True,2\n"), ("d0_b0_s1_r0", ""), ("d0_b0_s2_r0", "output,success,x\n")):
+    for name, text in (("d0_b0_s0_r0", "output,success,x\n1.5,True,2\n"), ("d0_b0_s1_r0", ""), ("d0_b0_s2_r0", "output,success,x\n"), ("d0_b0_s3_r0", 'x,note,success\r\noops,"a, b",false')):
         (tmp_path / name).mkdir()
         (tmp_path / name / "datapoint.csv").write_text(text)
     rows = scans.datapoints(spark, str(tmp_path), "output double, success boolean, x double").collect()
-    assert [(r.output, r.success, r.x, r.run_dir) for r in rows] == [(1.5, True, 2.0, "d0_b0_s0_r0")]
+    assert sorted(((r.output, r.success, r.x, r.run_dir) for r in rows), key=str) == [(1.5, True, 2.0, "d0_b0_s0_r0"), (None, False, None, "d0_b0_s3_r0")]
+    assert [r.note for r in scans.datapoints(spark, str(tmp_path), "note string", name_filter="s3").collect()] == ["a, b"]
     assert scans.datapoints(spark, str(tmp_path / "none"), "output double").count() == 0
     assert scans.summary(spark, str(tmp_path / "none.csv"), "a int").count() == 0
     assert all_done(spark.createDataFrame([(True,)], "success boolean")) and not all_done(spark.createDataFrame([(None,)], "success boolean"))

@@ -5,15 +5,17 @@ Standard tables stand in for parent datasets, candidate pools and run logs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import model, space, text
+from ..functions import random as rnd
 from ..operators import adaptive, expand, samplers, surrogate
-from ..operators.runners import ExampleRunner, FunctionRunner, SumRunner, SyntheticDoubleGaussianRunner
+from ..operators.runners import ExampleRunner, SumRunner, SyntheticDoubleGaussianRunner
 from ..sources import scans, sinks
 from ..streaming.micro_batch import windowed_progress
 from .engine import run_sequence
@@ -33,11 +35,11 @@ def query(sql: str | None = None):
     return add
 
 
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _u(seed: int, name: str, index: str) -> str:
+def unit_sql(seed: int, name: str, index: str) -> str:
     """DuckDB's reading of ``functions.random.unit``."""
     return f"(('0x' || substr(md5('{seed}:{name}:' || CAST({index} AS VARCHAR)), 1, 13))::BIGINT::DOUBLE / 4503599627370496)"
 
@@ -82,22 +84,22 @@ def _random(spark, distribution: str, bounds) -> DataFrame:
     return out if distribution == "int_uniform" else out.select("sample", F.round("x", 9).alias("x"))
 
 
-@query(f"SELECT i AS sample, round(-5.0::DOUBLE + {_u(3, 'x', 'i')} * 10.0::DOUBLE, 9) AS x FROM range(5000) t(i)")
+@query(f"SELECT i AS sample, round(-5.0::DOUBLE + {unit_sql(3, 'x', 'i')} * 10.0::DOUBLE, 9) AS x FROM range(5000) t(i)")
 def random_uniform(spark, d):
     return _random(spark, "uniform", (-5, 5))
 
 
-@query(f"SELECT i AS sample, round(exp(ln(1.0::DOUBLE) + {_u(3, 'x', 'i')} * (ln(10.0::DOUBLE) - ln(1.0::DOUBLE))), 9) AS x FROM range(5000) t(i)")
+@query(f"SELECT i AS sample, round(exp(ln(1.0::DOUBLE) + {unit_sql(3, 'x', 'i')} * (ln(10.0::DOUBLE) - ln(1.0::DOUBLE))), 9) AS x FROM range(5000) t(i)")
 def random_loguniform(spark, d):
     return _random(spark, "loguniform", (1, 10))
 
 
-@query(f"SELECT i AS sample, CAST(floor(1.0::DOUBLE + {_u(3, 'x', 'i')} * 5.0::DOUBLE) AS BIGINT) AS x FROM range(5000) t(i)")
+@query(f"SELECT i AS sample, CAST(floor(1.0::DOUBLE + {unit_sql(3, 'x', 'i')} * 5.0::DOUBLE) AS BIGINT) AS x FROM range(5000) t(i)")
 def random_int(spark, d):
     return _random(spark, "int_uniform", (1, 5))
 
 
-@query(f"""SELECT i AS sample, round(3.0::DOUBLE + sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {_u(3, 'x', 'i')})) * cos(6.283185307179586::DOUBLE * {_u(3, "x''", 'i')}) * 1.0::DOUBLE, 9) AS x FROM range(5000) t(i)""")
+@query(f"""SELECT i AS sample, round(3.0::DOUBLE + sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {unit_sql(3, 'x', 'i')})) * cos(6.283185307179586::DOUBLE * {unit_sql(3, "x''", 'i')}) * 1.0::DOUBLE, 9) AS x FROM range(5000) t(i)""")
 def random_normal(spark, d):
     return _random(spark, "normal", (0, 6))
 
@@ -105,11 +107,18 @@ def random_normal(spark, d):
 _LHS = samplers.LatinHypercubeSampler([(0, 1), (-2, 2)], 2500, ["c1", "c2"], batch_size=1000, seed=5)
 
 
+def _permuted_sql(x: str, n: str, seed: int, name: str, batch: str) -> str:
+    """DuckDB's reading of ``functions.random.permuted``."""
+    k, c, a, b = (f"({list(v)}::BIGINT[])[r + 1]" for v in zip(*rnd.permutation_keys(seed, name), strict=True))
+    partner = f"((({k} + ({batch}) * {c} % 2147483647) % ({n}) - x + ({n})) % ({n}))"
+    bit = f"((((greatest(x, {partner}) % 2147483647) * {a} + {b}) % 2147483647) >> 12) & 1"
+    return f"list_reduce(list_concat([({x})::BIGINT], range(48)), lambda x, r: CASE WHEN {bit} = 1 THEN {partner} ELSE x END)"
+
+
 def _lhs_sql() -> str:
-    dims = []
+    dims, n = [], "least(1000, 2500 - (i // 1000) * 1000)"
     for p, low, span in (("c1", "0.0", "1.0"), ("c2", "-2.0", "4.0")):
-        rank = f"row_number() OVER (PARTITION BY i // 1000 ORDER BY {_u(5, p + '/rank', 'i')}, i) - 1"
-        dims.append(f"round({low}::DOUBLE + (({rank} + {_u(5, p, 'i')}) / least(1000, 2500 - (i // 1000) * 1000)) * {span}::DOUBLE, 9) AS {p}")
+        dims.append(f"round({low}::DOUBLE + (({_permuted_sql('i % 1000', n, 5, p, 'i // 1000')} + {unit_sql(5, p, 'i')}) / {n}) * {span}::DOUBLE, 9) AS {p}")
     return f"SELECT i // 1000 AS batch, i % 1000 AS sample, {', '.join(dims)} FROM range(2500) t(i)"
 
 
@@ -155,28 +164,37 @@ def sobol_8d(spark, d):
 
 
 @query("""
-SELECT i * 3 + j AS sample, CASE WHEN i = 3 THEN 2.0::DOUBLE ELSE i * (2.0::DOUBLE / 3) END AS c1, CAST(j + 10 AS INTEGER) AS c2, CASE j WHEN 0 THEN 'u' WHEN 1 THEN 'v' ELSE 'w' END AS c3
-FROM range(4) t(i), range(3) u(j)
-""")
+SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, b AS bits, CAST(1 AS BIGINT) AS points
+FROM range(13) u(b), LATERAL (SELECT unnest(range(1 << b)) AS x), LATERAL (SELECT unnest(range(1 << (12 - b))) AS y)""")
+def sobol_net(spark, d):
+    """4,096 points in two dimensions: each box of every dyadic partition into 4,096 boxes holds one, as is known of this sequence."""
+    points = samplers.SobolSequenceSampler([(0, 1)] * 2, 4096, ["p0", "p1"], scramble=False).batch(spark, 0)
+    boxes = points.select(F.explode(F.sequence(F.lit(0), F.lit(12))).alias("b"), "p0", "p1")
+    place = lambda p, b: F.floor(F.col(p) * F.pow(F.lit(2.0), b)).cast("long")
+    boxes = boxes.select(place("p0", F.col("b")).alias("x"), place("p1", 12 - F.col("b")).alias("y"), F.col("b").cast("long").alias("bits"))
+    return boxes.groupBy("x", "y", "bits").agg(F.count("*").alias("points"))
+
+
+@query("SELECT i * 3 + j AS sample, CASE WHEN i = 3 THEN 2.0::DOUBLE ELSE i * (2.0::DOUBLE / 3) END AS c1, CAST(j + 10 AS INTEGER) AS c2 FROM range(4) t(i), range(3) u(j)")
 def nested_sampler(spark, d):
+    """Both samplers have c2: the later one's counts."""
     first = samplers.GridSampler([(0, 2), (0, 1)], [4, 1], ["c1", "c2"])
-    middle = samplers.ArraySampler([["u", "v", "w"]], ["c3"])
-    s = samplers.NestedSampler({"a": first, "b": middle})
-    # the later sampler's c2 replaces the earlier one
-    return s.batch(spark, 0).withColumn("c2", (F.col("sample") % 3 + 10).cast("int"))
+    return samplers.NestedSampler({"a": first, "b": samplers.ArraySampler([[10, 11, 12]], ["c2"])}).batch(spark, 0)
 
 
-@query("SELECT s.s_suppkey, CAST(exp(sum(ln(t.s_nationkey + 1)) OVER (ORDER BY s.s_suppkey)) + 0.5 AS BIGINT) AS runs FROM supplier s JOIN supplier t USING (s_suppkey) WHERE s.s_suppkey <= 5")
+@query("SELECT s_nationkey, round(sum(log10(n)) OVER (ORDER BY s_nationkey), 6) AS log10_runs FROM (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1)")
 def level_run_counts(spark, d):
-    """Level sizes (a few rows) and the running product of them: the runs at each depth."""
-    sizes = [(r.s_suppkey, r.s_nationkey + 1) for r in _t(spark, d, "supplier").where("s_suppkey <= 5").orderBy("s_suppkey").collect()]
-    s = samplers.NestedSampler({str(k): samplers.ArraySampler([list(range(n))], [f"p{k}"]) for k, n in sizes})
-    return spark.createDataFrame([(k, n) for (k, _), n in zip(sizes, s.runs_by_depth, strict=True)], "s_suppkey long, runs long")
+    """The suppliers of each nation as the size of a level: the runs at each depth, as logarithms, since the product of all is too large to hold."""
+    found = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"))
+    sizes = [tuple(r) for r in found.orderBy("s_nationkey").collect()]  # a row per nation
+    s = samplers.NestedSampler({str(k): samplers.ArraySampler([range(n)], [f"p{k}"]) for k, n in sizes})
+    rows = [(k, round(math.log10(n), 6)) for (k, _), n in zip(sizes, s.runs_by_depth, strict=True)]
+    return spark.createDataFrame(rows, found.select("s_nationkey").schema.add("log10_runs", "double"))
 
 
 @query("SELECT c_name AS run_dir, c_custkey::DOUBLE AS input, c_acctbal AS output FROM customer")
 def parser_scan(spark, d):
-    return scans.parsed(_t(spark, d, "customer").select(F.col("c_name").alias("run_dir"), F.col("c_custkey").alias("x"), F.col("c_acctbal").alias("output")))
+    return scans.parsed(table(spark, d, "customer").select(F.col("c_name").alias("run_dir"), F.col("c_custkey").alias("x"), F.col("c_acctbal").alias("output")))
 
 
 # --- expansion and runners --------------------------------------------------
@@ -188,7 +206,7 @@ FROM (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS parent, n_nationkey
 """)
 def nested_cross_parent(spark, d):
     """Parents x samples; c1 exists on both sides and the sample's value wins."""
-    parents = _t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("parent"), "n_nationkey", "n_name", F.lit(-1.0).alias("c1"))
+    parents = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("parent"), "n_nationkey", "n_name", F.lit(-1.0).alias("c1"))
     points = samplers.GridSampler([(0, 1), (1, 2)], [2, 1], ["c1", "c2"]).batch(spark, 0)
     return expand.cross_parents(parents, points, 2)
 
@@ -198,7 +216,7 @@ SELECT (r.r_regionkey * 4 + a.i) * 4 + b.j AS sample, r.r_regionkey, (a.i // 2):
 FROM region r, range(4) a(i), range(4) b(j)
 """)
 def three_level_nested(spark, d):
-    regions = _t(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("parent"), "r_regionkey")
+    regions = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("parent"), "r_regionkey")
     grid = lambda *names: samplers.GridSampler([(0, 1)] * 2, 2, names).batch(spark, 0)
     second = expand.cross_parents(regions, grid("c1", "c2"), 4)
     return expand.cross_parents(second.withColumnRenamed("sample", "parent"), grid("c3", "c4"), 4)
@@ -206,14 +224,14 @@ def three_level_nested(spark, d):
 
 @query("SELECT p_partkey, round(p_size + p_retailprice, 6) AS output FROM part")
 def sum_runner(spark, d):
-    rows = _t(spark, d, "part").select(F.col("p_partkey").alias("sample"), "p_size", "p_retailprice")
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("sample"), "p_size", "p_retailprice")
     out = SumRunner(["p_size", "p_retailprice", "absent"], name="r1").apply(rows, ["p_size", "p_retailprice"])
     return out.select(F.col("sample").alias("p_partkey"), F.round("output", 6).alias("output"))
 
 
 @query("SELECT p_partkey, NOT abs(p_size::DOUBLE - 7.0) < 0.25 AS success, CASE WHEN abs(p_size::DOUBLE - 7.0) < 0.25 THEN NULL ELSE p_size::DOUBLE END AS output FROM part")
 def sum_runner_fail_if(spark, d):
-    rows = _t(spark, d, "part").select("p_partkey", "p_size")
+    rows = table(spark, d, "part").select("p_partkey", "p_size")
     return SumRunner(["p_size"], fail_if=7, name="r1").apply(rows, ["p_size"]).select("p_partkey", "success", "output")
 
 
@@ -237,45 +255,34 @@ def failure_accounting_nested(spark, d):
 
 @query(f"WITH p AS ({_XY}) SELECT l_orderkey, l_linenumber, round({_1D.format(x='x')}, 9) AS output FROM p")
 def double_gaussian_1d(spark, d):
-    out = SyntheticDoubleGaussianRunner(1).apply(_xy(_t(spark, d, "lineitem")), ["x"])
+    out = SyntheticDoubleGaussianRunner(1).apply(_xy(table(spark, d, "lineitem")), ["x"])
     return out.select("l_orderkey", "l_linenumber", F.round("output", 9).alias("output"))
 
 
 @query(f"WITH p AS ({_XY}) SELECT l_orderkey, l_linenumber, round({_2D.format(x='x', y='y')}, 9) AS output FROM p")
 def double_gaussian_2d(spark, d):
-    out = SyntheticDoubleGaussianRunner(2).apply(_xy(_t(spark, d, "lineitem")), ["x", "y"])
+    out = SyntheticDoubleGaussianRunner(2).apply(_xy(table(spark, d, "lineitem")), ["x", "y"])
     return out.select("l_orderkey", "l_linenumber", F.round("output", 9).alias("output"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_tax + l_discount AS output, true AS success FROM lineitem")
 def example_runner_sum(spark, d):
-    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.lit(0.0).alias("c1"), F.col("l_tax").alias("c10"), F.col("l_discount").alias("c9"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.lit(0.0).alias("c1"), F.col("l_tax").alias("c10"), F.col("l_discount").alias("c9"))
     return ExampleRunner().apply(rows, ["c1", "c9", "c10"]).select("l_orderkey", "l_linenumber", "output", "success")
 
 
-@query(f"SELECT o_orderkey, NOT {_u(1, 'example_runner/fail', 'o_orderkey')} < 0.3 AS success FROM orders")
+@query(f"SELECT o_orderkey, NOT {unit_sql(1, 'example_runner/fail', 'o_orderkey')} < 0.3 AS success FROM orders")
 def soft_failure_rate(spark, d):
-    rows = _t(spark, d, "orders").select(F.col("o_orderkey").alias("sample"), F.lit(1.0).alias("c1"), F.lit(2.0).alias("c2"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("sample"), F.lit(1.0).alias("c1"), F.lit(2.0).alias("c2"))
     return ExampleRunner(fail_prob=0.3).apply(rows, ["c1", "c2"], seed=1).select(F.col("sample").alias("o_orderkey"), "success")
 
 
-@query("SELECT i AS sample, CASE WHEN i % 10 = 3 THEN NULL ELSE 2.0::DOUBLE * i END AS output, i % 10 <> 3 AS success FROM range(200) t(i)")
-def process_runner(spark, d):
-    def double(run_dir: str, params: dict) -> dict:
-        if params["c1"] % 10 == 3:
-            raise RuntimeError("three")
-        return {"output": 2.0 * params["c1"], "success": True}
-
-    rows = spark.range(200).select(F.col("id").alias("sample"), F.col("id").cast("double").alias("c1"))
-    return FunctionRunner(double, name="f").apply(rows, ["c1"]).select("sample", "output", "success")
-
-
 # --- projections, unions, accounts ------------------------------------------
 
 
 def _runs(spark, d) -> DataFrame:
     """Orders as runs: open ones failed."""
-    return _t(spark, d, "orders").select("o_orderkey", (F.col("o_orderstatus") != "P").alias("success"), F.col("o_totalprice").alias("output"), F.col("o_custkey").alias("c1"))
+    return table(spark, d, "orders").select("o_orderkey", (F.col("o_orderstatus") != "P").alias("success"), F.col("o_totalprice").alias("output"), F.col("o_custkey").alias("c1"))
 
 
 @query("SELECT o_custkey AS c1, o_totalprice AS output FROM orders WHERE o_orderstatus <> 'P'")
@@ -292,12 +299,12 @@ def observation_matrix(spark, d):
 
 @query("SELECT p_partkey, p_size, p_retailprice FROM part")
 def numeric_projection(spark, d):
-    return sinks.numeric(_t(spark, d, "part"))
+    return sinks.numeric(table(spark, d, "part"))
 
 
 @query("SELECT p_name AS run, 'p_size' AS \"column\", p_size::DOUBLE AS value FROM part UNION ALL SELECT p_name, 'p_retailprice', p_retailprice FROM part UNION ALL SELECT p_name, 'p_partkey', p_partkey::DOUBLE FROM part")
 def hdf5_long_layout(spark, d):
-    return sinks.long_layout(_t(spark, d, "part"), "p_name")
+    return sinks.long_layout(table(spark, d, "part"), "p_name")
 
 
 _PROGRESS = """
@@ -308,86 +315,69 @@ FROM events WHERE event_type IS NOT NULL GROUP BY 1"""
 
 @query(_PROGRESS)
 def progress_by_batch(spark, d):
-    runs = _t(spark, d, "events").where("event_type is not null").select((F.col("event_id") % 7).alias("batch"), (F.col("event_type") != "error").alias("success"))
+    runs = table(spark, d, "events").where("event_type is not null").select((F.col("event_id") % 7).alias("batch"), (F.col("event_type") != "error").alias("success"))
     return progress(runs, ("batch",)).select("batch", "total", "completed", "successes", "failures", F.round("success_rate", 6).alias("success_rate"))
 
 
-@query("SELECT s_suppkey, '[' || repeat('#', CAST(floor(least(1.0::DOUBLE, s_suppkey::DOUBLE / 80) * 40) AS INTEGER)) || repeat('-', 40 - CAST(floor(least(1.0::DOUBLE, s_suppkey::DOUBLE / 80) * 40) AS INTEGER)) || ']' AS bar FROM supplier")
+@query("SELECT s_suppkey, '[' || repeat('#', CAST(floor(least(1.0::DOUBLE, s_suppkey::DOUBLE / 80) * 40) AS INTEGER)) || repeat('-', 40 - CAST(floor(least(1.0::DOUBLE, s_suppkey::DOUBLE / 80) * 40) AS INTEGER)) || '] ' || printf('%5.1f%%', least(1.0::DOUBLE, s_suppkey::DOUBLE / 80) * 100) AS bar FROM supplier")
 def progress_bar_text(spark, d):
-    return _t(spark, d, "supplier").select("s_suppkey", text.progress_bar(F.col("s_suppkey"), F.lit(80)).alias("bar"))
-
-
-@query("SELECT b AS batch, (b + 1) * 4 AS submitted, (b + 1) * 4 <= 10 AS runs FROM range(3) t(b)")
-def budget_guard(spark, d):
-    """Budget 10 in full batches of 4: the batch that would pass it is not run."""
-    s = samplers.RandomSampler([(0, 1)], 10, ["c1"], batch_size=4)
-    sizes = expand.union_batches([s.batch(spark, k).groupBy(F.lit(k).cast("long").alias("batch")).agg(F.count("*").alias("n")) for k in range(s.n_batches)])
-    submitted = F.sum("n").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0))
-    return sizes.select("batch", submitted.alias("submitted")).withColumn("runs", F.col("submitted") <= s.budget)
+    return table(spark, d, "supplier").select("s_suppkey", text.progress_bar(F.col("s_suppkey"), F.lit(80)).alias("bar"))
 
 
 @query("SELECT 'd' || (l_linenumber % 3) || '_b' || (l_orderkey % 10) || '_s' || l_orderkey || '_r' || l_linenumber AS run_dir, true AS ok FROM lineitem")
 def run_dir_names(spark, d):
     name = text.run_dir(F.col("l_linenumber") % 3, F.col("l_orderkey") % 10, F.col("l_orderkey"), F.col("l_linenumber"))
-    return _t(spark, d, "lineitem").select(name.alias("run_dir")).withColumn("ok", text.is_run_dir(F.col("run_dir")))
+    return table(spark, d, "lineitem").select(name.alias("run_dir")).withColumn("ok", text.is_run_dir(F.col("run_dir")))
 
 
 @query("SELECT c_custkey AS id, c_acctbal AS output, c_mktsegment AS segment, NULL::VARCHAR AS name FROM customer UNION ALL SELECT s_suppkey, s_acctbal, NULL, s_name FROM supplier")
 def batch_union_missing_cols(spark, d):
-    one = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("output"), F.col("c_mktsegment").alias("segment"))
-    two = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("output"), F.col("s_name").alias("name"))
+    one = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("output"), F.col("c_mktsegment").alias("segment"))
+    two = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("output"), F.col("s_name").alias("name"))
     return expand.union_batches([one, two])
 
 
-@query("SELECT l_linenumber AS depth, max(l_orderkey) AS batch, arg_max(l_partkey, (l_orderkey, l_partkey)) AS submitted FROM lineitem GROUP BY 1")
-def resume_last_batch(spark, d):
-    """Per level the latest committed batch, by a pre-aggregated maximum."""
-    rows = _t(spark, d, "lineitem").select(F.col("l_linenumber").alias("depth"), F.col("l_orderkey").alias("batch"), F.col("l_partkey").alias("submitted"))
-    return rows.groupBy("depth").agg(F.max(F.struct("batch", "submitted")).alias("last")).select("depth", "last.batch", "last.submitted")
-
-
 @query("SELECT c_name AS run_dir, c_custkey::DOUBLE AS x, c_acctbal - 2.0::DOUBLE AS objective, 0 AS failure FROM customer")
 def objective_projection(spark, d):
-    rows = _t(spark, d, "customer").select(F.col("c_name").alias("run_dir"), F.col("c_custkey").alias("x"), F.col("c_acctbal").alias("output"))
+    rows = table(spark, d, "customer").select(F.col("c_name").alias("run_dir"), F.col("c_custkey").alias("x"), F.col("c_acctbal").alias("output"))
     return scans.objective(rows).select("run_dir", F.get("inputs", F.lit(0)).alias("x"), "objective", "failure")
 
 
 @query("SELECT c_nationkey, max(c_acctbal) AS best, arg_max(c_custkey, (c_acctbal, -c_custkey)) AS at FROM customer GROUP BY 1")
 def best_observation(spark, d):
-    best = F.max(F.struct(F.col("c_acctbal").alias("y"), (-F.col("c_custkey")).alias("k"))).alias("b")
-    return _t(spark, d, "customer").groupBy("c_nationkey").agg(best).select("c_nationkey", F.col("b.y").alias("best"), (-F.col("b.k")).alias("at"))
+    best = space.best_of(F.col("c_acctbal"), F.col("c_custkey")).alias("b")
+    return table(spark, d, "customer").groupBy("c_nationkey").agg(best).select("c_nationkey", "b.best", "b.at")
 
 
 @query("SELECT c_custkey, round((c_acctbal - m) / s, 6) AS z FROM customer, (SELECT avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS s FROM customer)")
 def standardize_objective(spark, d):
-    rows = _t(spark, d, "customer").select("c_custkey", "c_acctbal")
-    moments = rows.agg(F.avg("c_acctbal").alias("m"), F.stddev_samp("c_acctbal").alias("s"))  # one row
-    return rows.crossJoin(F.broadcast(moments)).select("c_custkey", F.round((F.col("c_acctbal") - F.col("m")) / F.col("s"), 6).alias("z"))
+    rows = space.standardized(table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("z")), "z")
+    return rows.select("c_custkey", F.round("z", 6).alias("z"))
 
 
 @query("SELECT p_partkey, round((p_size - 1.0::DOUBLE) / 49.0::DOUBLE, 9) AS u1, round((p_retailprice - 900.0::DOUBLE) / 100.0::DOUBLE, 9) AS u2 FROM part")
 def normalize_inputs(spark, d):
     u = lambda c, low, high: F.round(space.normalize(F.col(c), low, high), 9)
-    return _t(spark, d, "part").select("p_partkey", u("p_size", 1, 50).alias("u1"), u("p_retailprice", 900, 1000).alias("u2"))
+    return table(spark, d, "part").select("p_partkey", u("p_size", 1, 50).alias("u1"), u("p_retailprice", 900, 1000).alias("u2"))
 
 
 @query("SELECT o_custkey AS c1, o_totalprice AS output, CASE WHEN o_orderstatus <> 'P' THEN 'observed' ELSE 'failed' END AS store FROM orders")
 def failure_routing(spark, d):
     runs = _runs(spark, d)
     good = adaptive.observations(runs, ["c1"]).withColumn("store", F.lit("observed"))
-    bad = runs.where(~F.col("success")).select("c1", "output", F.lit("failed").alias("store"))
+    bad = adaptive.failures(runs, ["c1", "output"]).withColumn("store", F.lit("failed"))
     return good.unionByName(bad)
 
 
 @query("SELECT s_suppkey, s_acctbal + s_nationkey::DOUBLE AS objective FROM supplier")
 def target_reduction(spark, d):
-    rows = _t(spark, d, "supplier")
+    rows = table(spark, d, "supplier")
     return rows.select("s_suppkey", adaptive.reduced_target(rows.columns, ["s_acctbal", "s_nationkey", "absent"]).alias("objective"))
 
 
 @query("SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings")
 def leaf_sums(spark, d):
-    return _t(spark, d, "embeddings").select("vec_id", F.round(model.leaf_sum(F.col("embedding")), 6).alias("total"))
+    return table(spark, d, "embeddings").select("vec_id", F.round(model.leaf_sum(F.col("embedding")), 6).alias("total"))
 
 
 _GREEDY = """
@@ -399,21 +389,48 @@ SELECT vec_id, round(min(list_distance(pool.e, seen.e)), 6) AS distance FROM poo
 @query(_GREEDY)
 def greedy_pool_step(spark, d):
     """The 20 candidates farthest from what is known: the known vectors are one small row beside each candidate."""
-    rows = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     known = rows.where("vec_id < 10").agg(F.collect_list("e").alias("known"))
     scored = rows.where("vec_id >= 10").crossJoin(F.broadcast(known)).select("vec_id", F.round(adaptive.least_distance(F.col("e"), F.col("known")), 6).alias("distance"))
     return scored.orderBy(F.desc("distance"), "vec_id").limit(20)
 
 
-@query("SELECT vec_id, label FROM embeddings WHERE vec_id >= 10")
+def _pool(budget: int) -> adaptive.ActiveLearningSampler:
+    return adaptive.ActiveLearningSampler([(0, 1), (-1, 1)], budget, ["x", "y"], "GSx", 400, batch_size=6, seed=4)
+
+
+_POOL_SQL = f"SELECT i AS cand_id, {unit_sql(4, 'pool/x', 'i')} AS x, -1.0::DOUBLE + {unit_sql(4, 'pool/y', 'i')} * 2.0::DOUBLE AS y FROM range(400) t(i)"
+
+
+@query(f"SELECT cand_id, round(x, 9) AS x, round(y, 9) AS y FROM ({_POOL_SQL}) WHERE cand_id % 7 <> 0")
 def pool_remove_selected(spark, d):
-    rows = _t(spark, d, "embeddings").select("vec_id", "label")
-    return rows.join(rows.where("vec_id < 10").select("vec_id"), "vec_id", "left_anti")
+    """Candidates that have been run leave the pool, whatever came of them."""
+    s = _pool(6)
+    run = s.pool(spark).where("cand_id % 7 = 0").withColumn("success", F.col("cand_id") % 2 == 0)
+    return s.remaining(spark, run).select("cand_id", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+
+
+@query(f"""
+WITH RECURSIVE pool AS MATERIALIZED ({_POOL_SQL}), gaps AS MATERIALIZED (
+  SELECT c.cand_id AS a, k.cand_id AS b, (c.x - k.x) * (c.x - k.x) + (c.y - k.y) * (c.y - k.y) AS d FROM pool c, pool k WHERE c.cand_id % 40 <> 0
+), picks AS (
+  SELECT 0 AS step, CAST([] AS BIGINT[]) AS taken
+  UNION ALL
+  SELECT step + 1, list_append(taken, (
+    SELECT a FROM gaps WHERE (b % 40 = 0 OR list_contains(taken, b)) AND NOT list_contains(taken, a) GROUP BY a ORDER BY min(d) DESC, a LIMIT 1)) FROM picks WHERE step < 6
+)
+SELECT row_number() OVER (ORDER BY cand_id) - 1 AS sample, round(x, 9) AS x, round(y, 9) AS y FROM pool, (SELECT unnest(taken) AS t FROM picks WHERE step = 6) WHERE cand_id = t
+""")
+def active_learning_picks(spark, d):
+    """Six picks by distance in the inputs, each counting those before as known."""
+    s = _pool(12)
+    seen = s.pool(spark).where("cand_id % 40 = 0").select("x", "y", (F.col("x") + F.col("y")).alias("output"), F.lit(True).alias("success"))
+    return s.propose(spark, seen, 1).select("sample", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
 @query("SELECT c_name AS run_dir, c_acctbal AS output FROM customer WHERE c_nationkey >= 5 AND NOT contains(c_name, '77')")
 def history_unseen(spark, d):
-    rows = _t(spark, d, "customer")
+    rows = table(spark, d, "customer")
     history = rows.select(F.col("c_name").alias("run_dir"), F.col("c_acctbal").alias("output"))
     return scans.unseen(history, rows.where("c_nationkey < 5").select(F.col("c_name").alias("run_dir")), skip=["77"])
 
@@ -422,12 +439,12 @@ def history_unseen(spark, d):
 def clock_seconds(spark, d):
     i = F.col("event_id")
     clock = F.concat_ws(":", F.floor(i / 3600).cast("long").cast("string"), (F.floor(i / 60) % 60).cast("string"), (i % 60).cast("string"))
-    return _t(spark, d, "events").select("event_id", text.clock_seconds(clock).alias("seconds"))
+    return table(spark, d, "events").select("event_id", text.clock_seconds(clock).alias("seconds"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS completed, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS failures FROM events WHERE ts IS NOT NULL GROUP BY 1")
 def windowed_runs(spark, d):
-    return windowed_progress(_t(spark, d, "events"))
+    return windowed_progress(table(spark, d, "events"))
 
 
 _FLAGSHIP = f"""
@@ -439,7 +456,7 @@ SELECT l_returnflag, count(*) AS total, CAST(count(*) FILTER (WHERE NOT abs(outp
 @query(_FLAGSHIP)
 def campaign_flagship(spark, d):
     """Line items as parents x a 2 x 2 grid of offsets -> double Gaussian -> sum runner that fails near 1 -> account by flag."""
-    parents = _xy(_t(spark, d, "lineitem")).withColumn("parent", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    parents = _xy(table(spark, d, "lineitem")).withColumn("parent", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
     points = samplers.GridSampler([(0, 0.1)] * 2, 2, ["ox", "oy"]).batch(spark, 0)
     rows = expand.cross_parents(parents, points, 4)
     rows = rows.withColumn("x", F.col("x") + F.col("ox")).withColumn("y", F.col("y") + F.col("oy"))
@@ -447,6 +464,22 @@ def campaign_flagship(spark, d):
     return progress(out, ("l_returnflag",)).select("l_returnflag", "total", "successes", "failures")
 
 
+# --- models -----------------------------------------------------------------
+
+
+@query("""
+WITH p AS (SELECT s_suppkey, (s_suppkey % 100)::DOUBLE / 100 AS x FROM supplier),
+k AS (SELECT *, exp(-0.5::DOUBLE * (x - 0.2) * (x - 0.2) / 0.09) AS k1, exp(-0.5::DOUBLE * (x - 0.8) * (x - 0.8) / 0.09) AS k2, exp(-0.5::DOUBLE * 0.36 / 0.09) AS c, 1.01::DOUBLE + 1e-8::DOUBLE AS v FROM p),
+q AS (SELECT *, 2.0::DOUBLE + (k2 - k1) / (v - c) AS mean, sqrt(2.0::DOUBLE) * sqrt(1.0::DOUBLE - (v * (k1 * k1 + k2 * k2) - 2 * c * k1 * k2) / (v * v - c * c)) AS sd FROM k)
+SELECT s_suppkey, round(mean, 6) AS mean, round(sd, 6) AS sd, round(mean + sqrt(0.2::DOUBLE) * sd, 6) AS acquisition FROM q""")
+def process_of_two_points(spark, d):
+    """A Gaussian process with fixed hyperparameters on (0.2, 1) and (0.8, 3), in closed form, and its upper confidence bound."""
+    gp = surrogate.GaussianProcess.with_hyper(np.array([[0.2], [0.8]]), np.array([1.0, 3.0]), "rbf", np.array([0.3]), 0.01)
+    pool = table(spark, d, "supplier").select("s_suppkey", ((F.col("s_suppkey") % 100) / 100.0).alias("x"))
+    out = adaptive.score_pool(pool, gp, ["x"], [(0, 1)], "qUCB")
+    return out.select("s_suppkey", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "acquisition")])
+
+
 # --- models (no SQL) --------------------------------------------------------
 
 
@@ -460,7 +493,7 @@ def _observed(parts: DataFrame) -> DataFrame:
 
 def _fitted(spark, d) -> tuple[surrogate.GaussianProcess, float, DataFrame]:
     """The process on the cells' means, the best output of any part, and the parts."""
-    parts = _t(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("s"), "p_retailprice")
+    parts = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("s"), "p_retailprice")
     seen = _observed(parts).orderBy("i", "j").toPandas()  # 400 rows at most
     gp = surrogate.GaussianProcess.fit(seen[["u", "v"]].to_numpy(float), seen["y"].to_numpy(float), seed=1)
     return gp, float(seen["best"].max()), parts
@@ -496,3 +529,4 @@ def active_learning_round(spark, d):
     return s.propose(spark, seen, 1)
 
 
+from . import campaign_queries  # noqa: E402, F401  registers those that run the engine
