@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -31,22 +32,30 @@ def test_equal_words_have_equal_hashes_wherever_they_stand(words):
     assert len(set(by_word.values())) == len(by_word)
 
 
-@given(st.text("ab \n\t\x0b\x85é", max_size=60), st.integers(1, 9))
-def test_words_do_not_depend_on_pieces(text, size):
-    raw, whole = text.encode(), re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
+@given(st.lists(st.one_of(st.none(), st.text("ab \n\t\x0b\x85é\0", max_size=40)), max_size=6), st.integers(1, 9))
+def test_words_do_not_depend_on_texts_or_pieces(texts, size):
+    raw = [None if t is None else t.encode() for t in texts]
+    words = [re.findall(rb"[^\x20\x09-\x0D]+", t or b"") for t in raw]
+    n, one, two = hashing.word_digests(pa.chunked_array([pa.array(raw[:2], pa.binary()), pa.array(raw[2:], pa.binary())]).slice(0, len(raw)))
+    assert n.tolist() == list(map(len, words)) and len(one) == len(two) == sum(map(len, words))
+    flat = [w for x in words for w in x]
+    assert len(set(zip(flat, one.tolist(), two.tolist(), strict=True))) == len(set(flat)) == len(set(one.tolist())) == len(set(two.tolist()))
     kept, hashing._PIECE = hashing._PIECE, size
     try:
-        assert [w for words in hashing.pieces(raw) for w in words] == whole
-        vocabulary = hashing.Vocabulary()
-        numbers = vocabulary.numbers(raw)
-        assert [list(vocabulary)[n] for n in numbers] == whole
-        one, two = vocabulary.digests()
-        assert len(set(zip(one.tolist(), two.tolist(), strict=True))) == len(vocabulary)
-        assert substring.kept_words(raw, np.arange(len(whole)) % 2 > 0) == b" ".join(whole[::2])
+        for t, x in zip(raw, words, strict=True):
+            assert [w for some in hashing.pieces(t or b"") for w in some] == x
+            assert substring.kept_words(t or b"", np.arange(len(x)) % 2 > 0) == b" ".join(x[::2])
     finally:
         hashing._PIECE = kept
 
 
+def test_words_of_a_slice():
+    column = pa.array([b"one", b"two words", None, b"eightlong x"], pa.binary())
+    n, one, _ = hashing.word_digests(pa.chunked_array([column.slice(1)]))
+    again = hashing.word_digests(pa.chunked_array([column]))
+    assert n.tolist() == [2, 0, 2] and one.tolist() == again[1][1:].tolist()
+
+
 @settings(max_examples=50)
 @given(st.integers(0, 2**64 - 1), st.integers(0, 4), st.randoms())
 def test_near_fingerprints_share_an_anchor_as_home(x, distance, r):

@@ -21,7 +21,8 @@ holds, and nothing broadcasts, the whole.  A window that repeats in many chunks
 costs one cell and one fingerprint per chunk, however frequent it is.
 
 Grouping is exact on fingerprints: two windows count as equal if two 64-bit
-polynomials over independent halves of their words' XXH3-128 both agree.
+polynomials over two hashes of their words both agree.  Words of up to seven
+bytes have hashes of their own, longer ones the halves of their XXH3-128.
 Windows themselves are not shipped and compared, which would move each text
 ``width`` times over.
 """
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .hashing import Vocabulary, pieces
+from .hashing import pieces, scramble, word_digests
 
 _WORD_A, _WORD_B = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))  # odd multipliers
 #: Cells of a shard, as a power of two.  A chunk sends each shard one row, so that shards have to be large enough for
@@ -58,20 +59,12 @@ def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have[0][:n], have[1][:n]
 
 
-def _scramble(x: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A bijection on 64 bits whose output bits all depend on all input bits."""
-    x = x ^ np.uint64(salt)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xE9846AF9B1A615D)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xE9846AF9B1A615D)
-    return x ^ (x >> np.uint64(28))
-
-
 def window_hashes(words: np.ndarray, width: int, base: np.uint64, salt: int) -> np.ndarray:
     """A 64-bit hash of each run of ``width`` of the hashed ``words``."""
     up, down = _powers(base, len(words) + 1)
     sums = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * up[:-1], out=sums[1:])
-    return _scramble((sums[width:] - sums[:-width]) * down[: len(words) + 1 - width], salt)
+    return scramble((sums[width:] - sums[:-width]) * down[: len(words) + 1 - width], salt)
 
 
 # --- sorted numbers as bytes ------------------------------------------------
@@ -114,23 +107,19 @@ class Chunk:
 
     @classmethod
     def of(cls, texts: pa.ChunkedArray, width: int, both: bool) -> Chunk:
-        vocabulary = Vocabulary()
-        numbers = [vocabulary.numbers(t.as_py() or b"") for t in texts]
-        n_words = np.array([len(n) for n in numbers], np.int64)
-        words = np.concatenate([np.zeros(0, np.int32), *numbers])
+        n_words, one, two = word_digests(texts)
         starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(n_words)])[:-1]
         n_windows = np.maximum(n_words - width + 1, 0)
         place = np.repeat(starts - np.concatenate([[0], np.cumsum(n_windows)])[:-1], n_windows) + np.arange(n_windows.sum())
         if not len(place):
             return cls(n_words, np.zeros(0, np.uint64), np.zeros(0, np.uint64), place)
-        one, two = vocabulary.digests()
-        a = window_hashes(one[words], width, _WORD_A, 12)[place]
-        b = window_hashes(two[words], width, _WORD_B, 24)[place] if both else a
+        a = window_hashes(one, width, _WORD_A, 12)[place]
+        b = window_hashes(two, width, _WORD_B, 24)[place] if both else a
         return cls(n_words, a, b, place)
 
 
 def _cells(hash_a: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return _scramble(hash_a, 101 + row) >> np.uint64(64 - bits)
+    return scramble(hash_a, 101 + row) >> np.uint64(64 - bits)
 
 
 def _sliced(sorted_values: np.ndarray, shift: int) -> list[tuple[int, slice]]:
