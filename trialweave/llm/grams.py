@@ -39,7 +39,7 @@ class Grams:
         longest = max(self.chars, default=1)
         for start in range(0, len(codes), _PIECE) if self.chars else ():
             part = codes[start : start + _PIECE + longest - 1]
-            out, rolled = [], part
+            out, rolled = [np.zeros(0, np.int32)], part
             for n in range(1, longest + 1):
                 if n > 1:
                     rolled = rolled[:-1] * np.uint32(0x01000193) + part[n - 1 :]
@@ -50,12 +50,13 @@ class Grams:
             hashes = (word_hashes(text.encode("utf-8", "surrogatepass")) >> np.uint64(32)).astype(np.uint32)
             if self.mark_repeats and len(hashes) > 1:
                 hashes[1:][hashes[1:] == hashes[:-1]] = _AGAIN
-            rolled = hashes
+            rolled, out = hashes, [np.zeros(0, np.int32)]
             for n in range(1, max(self.words) + 1):
                 if n > 1:
                     rolled = rolled[:-1] * np.uint32(0x01000193) + hashes[n - 1 :]
                 if n in self.words and len(rolled):
-                    yield self._bucket(rolled, 64 + n)
+                    out.append(self._bucket(rolled, 64 + n))
+            yield np.concatenate(out)
 
     def _bucket(self, rolled: np.ndarray, kind: int) -> np.ndarray:
         x = (rolled ^ np.uint32(kind * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
@@ -64,13 +65,11 @@ class Grams:
 
     def indicator(self) -> Callable[[str], np.ndarray]:
         """text -> sorted distinct buckets."""
-        seen = np.zeros(self.size, bool)
 
         def of(text: str) -> np.ndarray:
+            found = np.zeros(0, np.int32)
             for piece in self.pieces(text):
-                seen[piece] = True
-            found = np.flatnonzero(seen).astype(np.int32)
-            seen[found] = False
+                found = _runs(np.concatenate([found, piece]))[0]
             return found
 
         return of
@@ -79,18 +78,25 @@ class Grams:
         """text -> (sorted distinct buckets, how often each)."""
 
         def of(text: str) -> tuple[np.ndarray, np.ndarray]:
-            total = None
-            for piece in self.pieces(text):
-                part = np.bincount(piece, minlength=self.size)
-                total = part if total is None else total + part
-            if total is None:
-                return np.zeros(0, np.int32), np.zeros(0, np.int64)
-            found = np.flatnonzero(total)
-            return found.astype(np.int32), total[found]
+            parts = [_runs(piece) for piece in self.pieces(text)]
+            if len(parts) < 2:
+                return parts[0] if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            total = np.zeros(self.size, np.int64)
+            for index, n in parts:
+                total[index] += n
+            index = np.flatnonzero(total)
+            return index.astype(np.int32), total[index]
 
         return of
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and how often each occurs; ``values`` is sorted in place."""
+    values.sort()
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return values[first], np.diff(first, append=len(values))
+
+
 def document_counts(rows: DataFrame, grams: Grams) -> dict[str | None, tuple[int, np.ndarray]]:
     """Over ``rows`` (label, text): for each label its documents, and the documents that have each bucket.
 
