@@ -163,9 +163,12 @@ def sample_features(rows: DataFrame, grams: Grams, *, per_label: int, max_entrie
     shared = rows.sparkSession.sparkContext.broadcast(useful)
     keyed = rows.select(F.col("label").cast("string").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("key", F.xxhash64("text"))
-    least = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(salt), "key"), "key")
-    places = keyed.select("label", "key").distinct().withColumn("place", F.row_number().over(least)).where(F.col("place") <= per_label)
-    chosen = checkpoint(places)  # per_label rows of each label
+    order = [F.xxhash64(F.lit(salt), "key"), F.col("key")]
+    # the least of each of 32 parts of a label first, so that no task sees all texts of a label
+    part = Window.partitionBy("label", F.pmod("key", F.lit(32))).orderBy(*order)
+    least = keyed.select("label", "key").distinct().withColumn("place", F.row_number().over(part)).where(F.col("place") <= per_label)
+    place = F.row_number().over(Window.partitionBy("label").orderBy(*order))
+    chosen = checkpoint(least.withColumn("place", place).where(F.col("place") <= per_label))  # per_label rows of each label
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, indicate, mask, seen = grams.counts(), grams.indicator(), shared.value, set()

@@ -82,11 +82,18 @@ def logistic(rows: Rows, size: int, *, l2: float, steps: int = 60, memory: int =
     place = np.zeros(size, np.int32)
     place[used] = np.arange(len(used))
     at = place[index]
+    del index
+    pieces = [slice(k, k + (1 << 19)) for k in range(0, len(at), 1 << 19)]  # what is made on the way stays small
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = y * (np.bincount(row, w[at] * value, n) + w[-1])
+        z, gradient = np.full(n, w[-1]), l2 * w
+        for p in pieces:
+            z += np.bincount(row[p], w[at[p]] * value[p], n)
+        z *= y
         g = -share * y * sigmoid(-z)
-        gradient = np.append(np.bincount(at, g[row] * value, len(used)) + l2 * w[:-1], g.sum())
+        for p in pieces:
+            gradient[:-1] += np.bincount(at[p], g[row[p]] * value[p], len(used))
+        gradient[-1] = g.sum()
         return float((share * np.logaddexp(0.0, -z)).sum() + 0.5 * l2 * w[:-1] @ w[:-1]), gradient
 
     w = np.zeros(len(used) + 1)
