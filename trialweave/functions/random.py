@@ -62,7 +62,7 @@ def permuted(index: Column, n: Column, seed: int, name: str, batch: Column) -> C
     the larger partner, modulo the prime 2 ** 31 - 1, so that any SQL engine can
     repeat them.
     """
-    keys = F.array(*[F.struct(*[F.lit(v).cast("long").alias(f) for f, v in zip("kcab", key, strict=True)]) for key in permutation_keys(seed, name)])
+    keys = F.expr("array(" + ", ".join(f"named_struct('k', {k}L, 'c', {c}L, 'a', {a}L, 'b', {b}L)" for k, c, a, b in permutation_keys(seed, name)) + ")")
 
     def once(x: Column, key: Column) -> Column:
         partner = F.pmod((key["k"] + (batch % _PRIME) * key["c"] % _PRIME) % n - x, n)
