@@ -6,8 +6,9 @@ it.  Counting pre-aggregates before the shuffle, so a line on a third of all
 pages costs one row per task.  A host has fewer than (lines per page /
 max_ratio) boilerplate lines, so the rows joined back to the pages, one per
 host, stay small; they are broadcast if there are few lines in all and
-shuffled otherwise.  A page's lines are looked up in its host's by hashing
-both, in one pass.
+shuffled otherwise.  The lines that a page shares with its host's list are
+found by hashing, and the page's lines looked up among them by halving where
+they are many, so that a page of many such lines takes n log n steps.
 """
 
 from __future__ import annotations
@@ -23,6 +24,20 @@ def _line_key(line: Column) -> Column:
     return F.md5(line.cast("binary"))
 
 
+def _holds(keys: Column, key: Column, few: int = 64) -> Column:
+    """Whether the sorted ``keys`` hold ``key``: one by one if they are few, else by halving the stretch that may."""
+    start = F.struct(F.lit(0).alias("low"), F.size(keys).alias("high"), key.alias("key"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        above = F.get(keys, middle) < s["key"]
+        return F.struct(F.when(above, middle + 1).otherwise(s["low"]).alias("low"), F.when(above, s["high"]).otherwise(middle).alias("high"), s["key"].alias("key"))
+
+    rounds = F.sequence(F.lit(1), F.length(F.bin(F.size(keys))))
+    found = F.aggregate(rounds, start, halve, lambda s: F.coalesce(F.get(keys, s["low"]) == s["key"], F.lit(False)))
+    return F.when(F.size(keys) <= few, F.array_contains(keys, key)).otherwise(found)
+
+
 def boilerplate(docs: DataFrame, host: str = "source", *, max_ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
     """(host, keys: the boilerplate lines' keys) for hosts that have any."""
     pages = docs.select(F.col(host).alias("host"), F.array_distinct(F.split("text", "\n", -1)).alias("lines"))
@@ -50,9 +65,9 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", *, max_ratio: float
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
     rows = rows.join(found, F.col(f"_doc.`{host}`").eqNullSafe(F.col("host")), "left")
     rows = rows.withColumn("_lines", F.split(F.col("_doc.text"), "\n", -1))
-    hit = F.array_intersect(F.transform("_lines", _line_key), F.col("keys"))
+    hit = F.array_intersect(F.col("keys"), F.transform("_lines", _line_key))  # in the order of the first: sorted
     rows = rows.withColumn("_hit", F.when(F.col("keys").isNotNull(), hit))
-    kept = F.filter("_lines", lambda x: ~F.array_contains(F.col("_hit"), _line_key(x)))
+    kept = F.filter("_lines", lambda x: ~_holds(F.col("_hit"), _line_key(x)))
     rows = rows.withColumn("_kept", F.when(F.coalesce(F.size("_hit"), F.lit(0)) <= 0, F.col("_lines")).otherwise(kept))
     columns = [F.array_join("_kept", "\n").alias(c) if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
     n_lines = F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long")
