@@ -143,6 +143,29 @@ def test_links_join_all_close_fingerprints(spark, how):
         assert found.get(names[f], names[f]) == min(names[x] for x in group[f])
 
 
+@pytest.mark.parametrize("how", [{}, {"hub_rows": 0, "max_hubs": 10**9}, {"hub_rows": 3}, {"hub_rows": 1, "max_hubs": 40}])
+def test_components_with_hubs(spark, how):
+    """Stars whose middle is the least, the greatest or some node, a path, a random graph, loops, nulls and repeated edges."""
+    from trialweave.llm.components import connected_components
+
+    r = random.Random(6)
+    edges = [(0, k) for k in range(1, 60)] + [(199, k) for k in range(100, 199)] + [(250, k) for k in range(200, 300)]
+    edges += [(k, k + 1) for k in range(300, 330)] + [(r.randrange(400, 500), r.randrange(400, 500)) for _ in range(70)]
+    edges += [(-7, 59), (7, 7), (None, 8), (600, None), (601, 601)] + r.sample(edges, 50)
+    r.shuffle(edges)
+    df = spark.createDataFrame([e if r.random() < 0.5 else e[::-1] for e in edges], "a long, b long").repartition(3)
+    root = {}
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            x, y = root.setdefault(a, {a}), root.setdefault(b, {b})
+            if x is not y:
+                x |= y
+                for k in y:
+                    root[k] = x
+    found = connected_components(df, **how).collect()
+    assert sorted((x.node, x.root) for x in found) == sorted((k, min(group)) for k, group in root.items())
+
+
 def test_quality_counts(docs, rows):
     found = quality_rules.quality_rules(docs)
     assert found.columns == ["doc_id", *quality_rules.COUNTS, "base_failed", "kept"]
@@ -175,6 +198,23 @@ def test_line_dedup(spark):
     assert line_dedup.drop_boilerplate(table(spark, rows)).columns[:7] == table(spark, rows).columns
 
 
+def test_line_dedup_of_pages_of_much_boilerplate(spark):
+    """Thousands of lines that go, repeated and in any order, among lines that stay and sort between them."""
+    r = random.Random(8)
+    menu = [f"menu {k}" for k in range(8000)]
+    rows = []
+    for k in range(6):
+        lines = r.sample(menu, 7990) + menu[:5] * 2 + [f"menu {j} of {k}" for j in range(500)] + ["", " "]
+        r.shuffle(lines)
+        rows.append((k, "\n".join(lines), "en", "a"))
+    having = defaultdict(int)
+    for row in rows:
+        for line in set(row[1].split("\n")):
+            having[line] += 1
+    want = [(d, "\n".join(x for x in t.split("\n") if having[x] < 5 or not x.strip())) for d, t, *_ in rows]
+    assert plain(line_dedup.drop_boilerplate(table(spark, rows)).select("doc_id", "text")) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("max_keys", [0, 500_000])
 def test_line_dedup_equals_plain_version(spark, max_keys):
     """Many hosts and lines, a hot host, long pages of boilerplate, and columns that clash with the new ones."""
