@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language_id, line_dedup, mixing, nb_classifiers, packing, quality_rules, simhash, substring
+from . import ann, fill_middle, itq, language_id, lexical, line_dedup, mixing, nb_classifiers, packing, quality_rules, simhash, substring
 from .common import id_remainder
 from .grams import Grams
 
@@ -78,8 +78,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_documents(spark, sf_dir))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=50)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.restore(fill_middle.transform(_documents(spark, sf_dir)))
+    digest = lambda text: F.sha2(F.col(text).cast("binary"), 256).alias(f"{text}_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_toxicity, op3_nearest, op4_substring_dedup, op5_line_dedup, op6_quality, op7_mixing, op8_packing, op9_simhash, op10_quality_rules]
+    found = [op1_language_id, op2_toxicity, op3_nearest, op4_substring_dedup, op5_line_dedup, op6_quality, op7_mixing, op8_packing, op9_simhash, op10_quality_rules, op11_lexical, op12_fill_middle, op13_embedding_dedup]
     return {f.__name__: f for f in found}
 
 
@@ -153,7 +167,44 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM best
 """
 
+#: Ranked search for DuckDB: every term of every document, counted and scored.
+_LEXICAL_SQL = r"""
+WITH fold AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS a, 'abcdefghijklmnopqrstuvwxyz' AS b),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), a, b), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents, fold),
+q AS (
+  SELECT DISTINCT item_id, k, unnest(regexp_extract_all(translate(coalesce(text, ''), a, b), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS k, * FROM (SELECT DISTINCT item_id, text FROM benchmark)), fold
+),
+total AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) SEMI JOIN q USING (term) GROUP BY r, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, n_docs),
+scored AS (
+  SELECT item_id, k, r, CAST(sum(weights.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(d.w) * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN weights USING (term) JOIN tf USING (term) JOIN d USING (r), total GROUP BY item_id, k, r
+),
+placed AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored JOIN d USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50
+"""
+
+#: Fill-in-the-middle for DuckDB: tokens by a pattern, pieces as slices of the list of tokens.
+_FILL_MIDDLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+    sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+),
+h AS (SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h
+),
+p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB text for the queries that SQL can express."""
-    return {"op4_substring_dedup": _SUBSTRING_SQL, "op5_line_dedup": _LINE_SQL, "op10_quality_rules": _QUALITY_SQL}
+    return {"op4_substring_dedup": _SUBSTRING_SQL, "op5_line_dedup": _LINE_SQL, "op10_quality_rules": _QUALITY_SQL, "op11_lexical": _LEXICAL_SQL, "op12_fill_middle": _FILL_MIDDLE_SQL}
