@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_or_shuffled
+from .common import checkpoint
 
 
 def _line_key(line: Column) -> Column:
@@ -38,7 +38,7 @@ def _holds(keys: Column, key: Column, few: int = 64) -> Column:
     return F.when(F.size(keys) <= few, F.array_contains(keys, key)).otherwise(found)
 
 
-def boilerplate(docs: DataFrame, host: str = "source", *, max_ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", *, max_ratio: float = 0.05, min_pages: int = 2) -> DataFrame:
     """(host, keys: the boilerplate lines' keys) for hosts that have any."""
     pages = docs.select(F.col(host).alias("host"), F.array_distinct(F.split("text", "\n", -1)).alias("lines"))
     n_pages = docs.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("pages"))
@@ -49,21 +49,37 @@ def boilerplate(docs: DataFrame, host: str = "source", *, max_ratio: float = 0.0
     return frequent.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("keys"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", *, max_ratio: float = 0.05, min_pages: int = 5, max_keys: int = 500_000) -> DataFrame:
+def _dealt(docs: DataFrame, rows: DataFrame, found: DataFrame, host: str, salt_pages: int) -> DataFrame:
+    """``rows`` (_doc) left-joined with ``found`` (host, keys); the pages of large hosts go to as many tasks as they need."""
+    sizes = docs.groupBy(F.col(host).alias("of")).agg(F.ceil(F.count("*") / salt_pages).cast("int").alias("salts")).where(F.col("salts") > 1)
+    sizes = F.broadcast(checkpoint(sizes))  # a host in it has over salt_pages pages: at most one in salt_pages rows
+    mine = F.col(f"_doc.`{host}`")
+    spread = [F.col(f"_doc.`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]  # what can be hashed
+    rows = rows.join(sizes, mine.eqNullSafe(F.col("of")), "left").select("_doc", F.pmod(F.xxhash64(*spread), F.coalesce("salts", F.lit(1))).cast("int").alias("_salt"))
+    copies = found.join(sizes, F.col("host").eqNullSafe(F.col("of")), "left").select("host", "keys", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    return rows.join(copies, mine.eqNullSafe(F.col("host")) & (F.col("_salt") == F.col("salt")), "left").select("_doc", "host", "keys")
+
+
+def drop_boilerplate(docs: DataFrame, host: str = "source", *, max_ratio: float = 0.05, min_pages: int = 2, max_keys: int = 500_000, salt_pages: int = 100_000) -> DataFrame:
     """``docs`` with the boilerplate lines cut from ``text``, and the columns n_lines and n_dropped added.
 
     Lines are split at line feeds and compared as they are; blank lines and
-    lines on fewer than ``min_pages`` pages of the host stay.  Pages of null
+    lines on fewer than ``min_pages`` pages of the host stay (2 is the least
+    that a repeat needs; beyond it the ratio decides).  Pages of null
     host form a site of their own.  A null text stays null with no lines; a
     text of boilerplate alone becomes empty.  Repeated rows are pages of their
     own.  An empty table gives no rows.  Other columns pass through, whatever
     their names, except ``n_lines`` and ``n_dropped``: the new ones replace
-    them.  Up to ``max_keys`` boilerplate lines in all are broadcast.
+    them.  Up to ``max_keys`` boilerplate lines in all are broadcast; more are
+    joined by a shuffle, where the pages of a host of over ``salt_pages`` are
+    dealt to several tasks and the host's lines copied to each.
     """
     found = checkpoint(boilerplate(docs, host, max_ratio=max_ratio, min_pages=min_pages))
-    found = small_or_shuffled(found, max_keys, F.size("keys"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
-    rows = rows.join(found, F.col(f"_doc.`{host}`").eqNullSafe(F.col("host")), "left")
+    if (found.agg(F.sum(F.size("keys"))).first()[0] or 0) <= max_keys:
+        rows = rows.join(F.broadcast(found), F.col(f"_doc.`{host}`").eqNullSafe(F.col("host")), "left")
+    else:
+        rows = _dealt(docs, rows, found, host, salt_pages)
     rows = rows.withColumn("_lines", F.split(F.col("_doc.text"), "\n", -1))
     hit = F.array_intersect(F.col("keys"), F.transform("_lines", _line_key))  # in the order of the first: sorted
     rows = rows.withColumn("_hit", F.when(F.col("keys").isNotNull(), hit))
