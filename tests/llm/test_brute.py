@@ -54,7 +54,7 @@ def test_classifier_equals_plain_version(spark, labelled, learner):
     n, df = Counter(y for y, _ in rows), {0: Counter(), 1: Counter()}
     for y, t in rows:
         df[y].update(ngrams(t, chars, words).keys())
-    ratio = {g: math.log((df[1][g] + 1) / (n[1] + 2)) - math.log((df[0][g] + 1) / (n[0] + 2)) for g in df[0].keys() | df[1].keys() if df[0][g] + df[1][g] >= 2}
+    ratio = {g: math.log((df[1][g] + 1) / (n[1] + 2)) - math.log((df[0][g] + 1) / (n[0] + 2)) for g in df[0].keys() | df[1].keys()}
     place = {g: k for k, g in enumerate(sorted(ratio))}
 
     def vector(t):
@@ -115,8 +115,10 @@ def test_language_model_equals_plain_version(spark):
 
     names, sample = sorted(words), chosen(rows, 18, 1)
     assert len(sample) == 54
-    mix = np.random.default_rng(5).permutation(len(sample))
-    held, fit = mix[: len(mix) // 5], mix[len(mix) // 5 :]
+    held, fit, seen = [], [], Counter()
+    for k in np.random.default_rng(5).permutation(len(sample)):
+        seen[sample[k][0]] += 1
+        (fit if seen[sample[k][0]] % 5 else held).append(k)
     z, n = defaultdict(lambda: [0.0] * 3), defaultdict(lambda: [0.0] * 3)
 
     def weight(g, k):

@@ -151,8 +151,55 @@ def test_a_copied_text_does_not_fill_a_language(spark):
     model = language_id.train(spark.createDataFrame(rows, "text string, lang string"), grams=Grams((1, 2), (), 14), per_language=30)
     of = model.predictor()
     assert np.mean([of(t)[0] == la for t, la in rows[:300]]) > 0.98
-    two = language_id.train(spark.createDataFrame(rows, "text string, lang string"), grams=Grams((1, 2), (), 14), max_languages=2)
-    assert two.languages == ["la", "lb"]
+
+
+@pytest.mark.parametrize("how", [{}, {"max_weights": 1 << 15}])
+def test_every_language_is_learned(spark, how):
+    """103 languages of their own words; fewer buckets where weights are bounded."""
+    r = np.random.default_rng(1)
+    words = [["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(6)] for _ in range(103)]
+    rows = [(" ".join(r.choice(words[k], 8)), f"l{k:03}") for k in range(103) for _ in range(12)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    model = language_id.train(docs, **how)
+    assert len(model.languages) == 103 and model.weights.size <= how.get("max_weights", 1 << 23)
+    found = language_id.predict(docs, model, "lang").collect()
+    assert np.mean([x.lang_pred == x.lang for x in found]) > (0.99 if not how else 0.9)
+    assert len({x.lang for x in found if x.lang_pred == x.lang}) == 103
+
+
+def test_kept_columns_with_the_names_of_new_ones(spark):
+    rows = spark.createDataFrame([("aa bb", "la", 1, "x")] * 8 + [("cc dd", "lb", 0, "y")] * 8, "text string, lang string, score int, _text string")
+    model = language_id.train(rows.select("text", "lang"), grams=Grams((1, 2), (), 12))
+    found = language_id.predict(rows.withColumn("lang_pred", F.lit("old")), model, "score", "_text", "lang_pred", "lang")
+    assert found.columns == ["_text", "lang", "lang_pred", "score"] and found.where("lang_pred <> lang or (lang = 'la') <> (_text = 'x')").count() == 0
+    binary = nb_classifiers.train(rows.select("text", F.col("score").alias("label")), "hinge", grams=Grams((1, 2), (), 12))
+    scored = nb_classifiers.score(rows.withColumn("predicted", F.lit("old")), binary, 0.5, "score", "predicted", "_text", F.col("score").alias("label"))
+    assert scored.columns == ["_text", "label", "score", "predicted"] and scored.where("predicted <> label").count() == 0
+
+
+def test_words_of_one_document_count(spark):
+    rows = [(f"word{k}", k % 2) for k in range(100)]
+    model = nb_classifiers.train(spark.createDataFrame(rows, "text string, label int"), "logistic", grams=Grams((), (1,), 18))
+    assert np.count_nonzero(model.weights) >= 75  # all but those of texts held back
+    of = model.scorer()
+    assert np.mean([(of(t) > of("unseen")) == y for t, y in rows]) > 0.75
+
+
+def test_counts_of_thousands_of_tasks_meet_in_small_groups(spark):
+    from trialweave.llm import grams
+
+    g, n = Grams((1, 2), (), 10), 2000
+    rows = spark.range(n * 3).select(F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("label"), F.concat(F.lit("x"), F.col("id") % 7).alias("text")).repartition(n)
+    found = document_counts(rows, g, tasks_per_core=60, fan_in=16)
+    want = {"a": np.zeros(g.size, np.int64), "b": np.zeros(g.size, np.int64)}
+    for k in range(n * 3):
+        want["a" if k % 3 == 0 else "b"][g.indicator()(f"x{k % 7}")] += 1
+    assert {k: v[0] for k, v in found.items()} == {"a": n, "b": 2 * n} and all((found[k][1] == want[k]).all() for k in want)
+    # the largest group of a sum: at most fan_in of the tasks' rows
+    vectors = spark.range(480).select(F.lit("a").alias("label"), F.lit(0).alias("block"), F.col("id").cast("int").alias("task"), F.lit(1).cast("long").alias("n"), F.lit(grams._packed(np.full(4, 1 << 33))).alias("counts"))
+    assert vectors.groupBy("label", "block", F.floor(F.col("task") / 16)).count().agg(F.max("count")).first()[0] == 16
+    (one,) = grams._summed(vectors, 480, 16).collect()
+    assert one.n == 480 and grams._unpacked(bytes(one.counts)).tolist() == [480 << 33] * 4
 
 
 def test_counts_of_long_texts_are_not_cut(spark):
@@ -171,8 +218,8 @@ def test_queries_of_models_on_empty_tables(spark, tmp_path, query):
 
 
 def test_log_ratios():
-    r = nb_classifiers.log_ratios((10, np.array([9, 0, 1])), (20, np.array([0, 19, 0])))
-    assert r[0] == pytest.approx(math.log((10 / 12) / (1 / 22))) and r[1] < 0 and r[2] == 0
+    r = nb_classifiers.log_ratios((10, np.array([9, 0, 1, 0])), (20, np.array([0, 19, 0, 0])))
+    assert r[0] == pytest.approx(math.log((10 / 12) / (1 / 22))) and r[1] < 0 and r[2] > 0 and r[3] == 0
 
 
 def test_dual_descent_and_logistic_find_the_separator():

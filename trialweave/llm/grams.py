@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint
@@ -97,16 +98,21 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[first], np.diff(first, append=len(values))
 
 
-def document_counts(rows: DataFrame, grams: Grams) -> dict[str | None, tuple[int, np.ndarray]]:
+def document_counts(rows: DataFrame, grams: Grams, *, tasks_per_core: int = 16, fan_in: int = 128) -> dict[str | None, tuple[int, np.ndarray]]:
     """Over ``rows`` (label, text): for each label its documents, and the documents that have each bucket.
 
-    Every task counts its rows in one vector per label, and the vectors are
-    summed in blocks, so what is shuffled and what reaches the driver is bounded
-    by the number of labels and buckets: for a few labels.  Null texts count as
-    empty, repeated rows as often as they come.
+    Every task counts its rows in one vector per label, which is cut in blocks;
+    blocks are summed over ``fan_in`` tasks at a time, and those sums again,
+    until one is left.  Rows are taken by at most ``tasks_per_core`` tasks for
+    each core, so what is shuffled is at most labels x buckets numbers for each
+    of those tasks, whatever the size of the table, and a group of a sum has at
+    most ``fan_in`` blocks of 16 KB.  The driver gets labels x buckets numbers:
+    for a few labels.  Null texts count as empty, repeated rows as often as they
+    come; an empty table gives no labels.
     """
-    block = 1 << 12
-    width = max(1, grams.size // block)
+    n_tasks = max(1, tasks_per_core * rows.sparkSession.sparkContext.defaultParallelism)
+    block = min(grams.size, 1 << 12)
+    width = grams.size // block
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, totals, n_docs = grams.indicator(), {}, {}
@@ -118,26 +124,52 @@ def document_counts(rows: DataFrame, grams: Grams) -> dict[str | None, tuple[int
                 n_docs[label] += 1
         for label, total in totals.items():
             parts = total.reshape(width, -1)
+            who = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([label] * width, pa.string()), pa.array(range(width), pa.int32()), pa.array([n_docs[label]] * width, pa.int64()), pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())],
-                ["label", "block", "n", "counts"],
+                [pa.array([label] * width, pa.string()), pa.array(range(width), pa.int32()), pa.array([who] * width, pa.int32()), pa.array([n_docs[label]] * width, pa.int64()), pa.array(map(_packed, parts), pa.binary())],
+                ["label", "block", "task", "n", "counts"],
             )
 
-    def merge(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b.as_py(), "<i8") for b in table["counts"])
-        n = int(np.sum(table["n"].to_numpy()))
-        return pa.table({"label": table["label"][:1], "block": table["block"][:1], "n": pa.array([n], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "label string, block int, n long, counts binary"
-    vectors = rows.select(F.col("label").cast("string").alias("label"), "text").mapInArrow(task, schema)
+    taken = rows.select(F.col("label").cast("string").alias("label"), "text").coalesce(n_tasks)
+    vectors = _summed(taken.mapInArrow(task, _VECTORS), n_tasks, fan_in)
     out: dict[str | None, tuple[int, np.ndarray]] = {}
-    for label, at, n, counts in vectors.groupBy("label", "block").applyInArrow(merge, schema).collect():
+    for label, at, _, n, counts in vectors.collect():
         _, vector = out.setdefault(label, (n, np.zeros(grams.size, np.int64)))
-        part = np.frombuffer(bytes(counts), "<i8")
+        part = _unpacked(bytes(counts))
         vector[at * len(part) : (at + 1) * len(part)] = part
     return out
 
 
+_VECTORS = "label string, block int, task int, n long, counts binary"
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Whole numbers as bytes, four for each where they fit."""
+    wide = counts.max(initial=0) >> 32
+    return (b"8" if wide else b"4") + counts.astype("<i8" if wide else "<u4").tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "<i8" if blob[:1] == b"8" else "<u4", offset=1).astype(np.int64)
+
+
+def _summed(vectors: DataFrame, n_tasks: int, fan_in: int) -> DataFrame:
+    """One row for each label and block: sums over ``fan_in`` neighbours at a time of the ``n_tasks`` tasks' rows."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = np.zeros(1, np.int64)
+        for blob in table["counts"]:
+            total = total + _unpacked(blob.as_py())
+        n = int(np.sum(table["n"].to_numpy()))
+        return pa.table({"label": table["label"][:1], "block": table["block"][:1], "task": table["task"][:1], "n": pa.array([n], pa.int64()), "counts": pa.array([_packed(total)], pa.binary())})
+
+    while True:
+        n_tasks = -(-n_tasks // fan_in)
+        vectors = vectors.withColumn("task", F.floor(F.col("task") / fan_in).cast("int")).groupBy("label", "block", "task").applyInArrow(merge, _VECTORS)
+        if n_tasks == 1:
+            return vectors
+
+
 @dataclass
 class Sample:
     """Sparse rows: row k has the buckets index[start[k]:start[k + 1]]."""
@@ -157,16 +189,20 @@ def sample_features(rows: DataFrame, grams: Grams, *, per_label: int, max_entrie
     Of each label the ``per_label`` distinct texts of the least hashes are
     taken, each once, however often it is repeated; of those, label by label in
     turns, as many as have ``max_entries`` features together.  ``useful`` marks
-    the buckets that count.  Texts are hashed where they lie; only hashes are
-    shuffled, and only the chosen texts are taken apart.  Null texts are empty.
+    the buckets that count.  Texts are hashed where they lie; an estimate of a
+    label's distinct texts gives the threshold that about twice ``per_label`` of
+    their hashes lie below, only those are shuffled, and only the chosen texts
+    are taken apart.  Null texts are empty; an empty table gives no rows.
     """
     shared = rows.sparkSession.sparkContext.broadcast(useful)
     keyed = rows.select(F.col("label").cast("string").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("key", F.xxhash64("text"))
     order = [F.xxhash64(F.lit(salt), "key"), F.col("key")]
-    # the least of each of 32 parts of a label first, so that no task sees all texts of a label
-    part = Window.partitionBy("label", F.pmod("key", F.lit(32))).orderBy(*order)
-    least = keyed.select("label", "key").distinct().withColumn("place", F.row_number().over(part)).where(F.col("place") <= per_label)
+    # twice as many as are asked for lie below a threshold on the hash; only those are shuffled and ordered
+    sizes = checkpoint(keyed.groupBy("label").agg(F.approx_count_distinct("key").alias("texts")))
+    share = F.broadcast(sizes.select(F.col("label").alias("of"), ((2.0 * per_label + 200.0) / F.col("texts")).alias("share")))
+    likely = keyed.join(share, F.col("label").eqNullSafe(F.col("of"))).where(order[0] / 2.0**64 + 0.5 < F.col("share"))
+    least = likely.select("label", "key").distinct()
     place = F.row_number().over(Window.partitionBy("label").orderBy(*order))
     chosen = checkpoint(least.withColumn("place", place).where(F.col("place") <= per_label))  # per_label rows of each label
 
@@ -203,3 +239,12 @@ def sample_features(rows: DataFrame, grams: Grams, *, per_label: int, max_entrie
     value = [np.frombuffer(bytes(r["value"]), "<u4").astype(np.float32) for r in found] if counts else []
     start = np.concatenate([[0], np.cumsum([len(i) for i in index])])
     return Sample([r["label"] for r in found], np.concatenate(index), np.concatenate(value) if counts else np.zeros(0, np.float32), start)
+
+
+def with_text(docs: DataFrame, text: Column, keep: tuple, made: tuple[str, ...]) -> tuple[DataFrame, str]:
+    """The ``keep`` columns of ``docs`` but those named in ``made``, and ``text`` as the last column; and that column's name, which no other has."""
+    kept = [c for c, name in zip(keep, docs.select(*keep).columns, strict=True) if name not in made]
+    name = "_text"
+    while name in docs.select(*kept).columns:
+        name += "_"
+    return docs.select(*kept, text.alias(name)), name

@@ -9,14 +9,14 @@ part of the sample then sets the temperature that calibrates probabilities.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .grams import Grams, Sample, document_counts, sample_features
+from .grams import Grams, Sample, document_counts, sample_features, with_text
 
 UNKNOWN = "und"
 
@@ -92,25 +92,29 @@ def best_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def train(docs: DataFrame, *, grams: Grams = Grams((1, 2, 3), (), 16), per_language: int = 1000, max_rows: int = 8000, max_entries: int = 60_000_000, max_languages: int = 100, epochs: int = 2, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> LanguageModel | None:
+def train(docs: DataFrame, *, grams: Grams = Grams((1, 2, 3), (), 16), per_language: int = 1000, max_rows: int = 8000, max_entries: int = 60_000_000, max_weights: int = 1 << 23, epochs: int = 2, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> LanguageModel | None:
     """Learn from the rows of ``docs`` (text, lang) whose lang is not null and whose text has a letter; None if there are none.
 
-    Bounds of the fit: the ``max_languages`` values of lang with most rows (the
-    model has a weight for each bucket and language, and goes to every task);
-    of each ``per_language`` distinct texts, chosen by their hash and each
-    taken once however often it is repeated, but ``max_rows`` in all at most,
-    the same number of each language; and ``max_entries`` different n-grams of
-    those texts together.  Document frequencies cover every row.
+    Every value of lang is learned.  The model has a weight for each bucket and
+    language, and goes to every task: with more than 128 languages n-grams are
+    hashed into fewer buckets (at least 256), so that there are at most
+    ``max_weights`` of them, 8 bytes each, up to 32,768 languages.  Bounds of the
+    fit: of each language ``per_language`` distinct texts, chosen by their hash
+    and each taken once however often it is repeated, but ``max_rows`` in all at
+    most (one of each at least), the same number of each language; and
+    ``max_entries`` different n-grams of those texts together.  Document
+    frequencies cover every row, repeated ones as often as they come.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").alias("label"), "text")
-    most = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(max_languages).collect()
-    if not most:
+    languages = sorted(r["label"] for r in rows.select("label").distinct().collect())
+    if not languages:
         return None
-    languages = sorted(r["label"] for r in most)
+    bits = min(grams.bits, max(8, (max_weights // len(languages)).bit_length() - 1))
+    grams = replace(grams, bits=bits)
     ((n_docs, found),) = document_counts(rows.select(F.lit("").alias("label"), "text"), grams).values()
     idf = np.log((1.0 + n_docs) / (1.0 + found)) + 1.0
     per_language = max(1, min(per_language, max_rows // len(languages)))
-    sample = sample_features(rows.where(F.col("label").isin(languages)), grams, per_label=per_language, max_entries=max_entries, counts=True, salt=1)
+    sample = sample_features(rows, grams, per_label=per_language, max_entries=max_entries, counts=True, salt=1)
     return _fit(sample, grams, languages, idf, epochs=epochs, alpha=alpha, beta=beta, l1=l1, l2=l2)
 
 
@@ -120,9 +124,11 @@ def _fit(sample: Sample, grams: Grams, languages: list[str], idf: np.ndarray, **
     for k, label in enumerate(sample.labels):
         at = sample.row(k)
         rows.append((sample.index[at], vector(sample.index[at], sample.value[at], idf), place[label]))
-    mix = np.random.default_rng(5).permutation(len(rows))
-    held = [rows[k] for k in mix[: len(rows) // 5]]
-    weights, bias = ftrl([rows[k] for k in mix[len(held) :]], grams.size, len(languages), **how)
+    mix, seen, held, taught = np.random.default_rng(5).permutation(len(rows)), {}, [], []
+    for k in mix:  # every fifth text of a language is held back
+        seen[rows[k][2]] = seen.get(rows[k][2], 0) + 1
+        (taught if seen[rows[k][2]] % 5 else held).append(rows[k])
+    weights, bias = ftrl(taught, grams.size, len(languages), **how)
     logits = np.array([x @ weights[i] + bias for i, x, _ in held]).reshape(len(held), len(languages))
     return LanguageModel(grams, languages, idf, weights, bias, best_temperature(logits, np.array([y for _, _, y in held], int)))
 
@@ -131,11 +137,13 @@ def predict(docs: DataFrame, model: LanguageModel | None, *keep) -> DataFrame:
     """``keep`` columns, lang_pred and score for every row of ``docs`` (text).
 
     A null text, a text without any letter, and every text if there is no
-    model, is ``und`` with score 0.  The model, of fixed size, goes to each task.
+    model, is ``und`` with score 0.  The model, of bounded size, goes to each
+    task.  Kept columns named ``lang_pred`` or ``score`` give way to the new
+    ones; others pass through, whatever their names.  Repeated rows are
+    predicted each; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("_text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows, text = with_text(docs, F.when(F.col("text").rlike(r"\p{L}"), F.col("text")), keep, ("lang_pred", "score"))
     n = len(rows.columns) - 1
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,5 +155,5 @@ def predict(docs: DataFrame, model: LanguageModel | None, *keep) -> DataFrame:
                 [*batch.schema.names[:n], "lang_pred", "score"],
             )
 
-    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    schema = rows.drop(text).schema.add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(task, schema)

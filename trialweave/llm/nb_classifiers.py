@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, stored
-from .grams import Grams, Sample, document_counts, sample_features
+from .grams import Grams, Sample, document_counts, sample_features, with_text
 
 
 @dataclass(frozen=True)
@@ -47,11 +47,11 @@ def sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def log_ratios(positive: tuple[int, np.ndarray], negative: tuple[int, np.ndarray], smoothing: float = 1.0, least: int = 2) -> np.ndarray:
-    """log of smoothed document rates in the positive over the negative class; zero for n-grams of fewer than ``least`` documents."""
+def log_ratios(positive: tuple[int, np.ndarray], negative: tuple[int, np.ndarray], smoothing: float = 1.0) -> np.ndarray:
+    """log of smoothed document rates in the positive over the negative class; zero for n-grams that no document has."""
     (n1, c1), (n0, c0) = positive, negative
     r = np.log((c1 + smoothing) / (n1 + 2 * smoothing)) - np.log((c0 + smoothing) / (n0 + 2 * smoothing))
-    return np.where(c1 + c0 >= least, r, 0.0)
+    return np.where(c1 + c0 > 0, r, 0.0)
 
 
 class Rows:
@@ -181,7 +181,9 @@ def train(labelled: DataFrame, learner: str, *, grams: Grams, max_rows: int = 60
     """Learn from ``labelled`` (text, label 0 or 1); None unless both classes occur.
 
     ``learner`` is "logistic" or "hinge".  Log-count ratios cover every row,
-    and all of them count, however mild.  Other labels, and null, teach nothing.
+    and all of them count, however mild or rare.  Other labels, and null, teach
+    nothing; a null text is an empty one; an empty table gives no model.
+    Repeated rows count in the ratios as often as they come.
     Sample bound: of either class ``max_rows`` / 2 distinct texts, chosen by
     their hash and each taken once however often it is repeated, and in all
     ``max_entries`` features.
@@ -207,10 +209,13 @@ def fit(sample: Sample, ratios: np.ndarray, learner: str, grams: Grams, *, l2: f
 def score(docs: DataFrame, model: BinaryModel | None, threshold: float, *keep) -> DataFrame:
     """``keep`` columns, score and predicted (1 at ``threshold`` or more) for every row of ``docs`` (text); a null text is empty.
 
-    Without a model (one class only) every score is 0.
+    Without a model (one class only) every score is 0.  Kept columns named
+    ``score`` or ``predicted`` give way to the new ones; others pass through,
+    whatever their names.  Repeated rows are scored each; an empty table gives
+    no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
+    rows, text = with_text(docs, F.coalesce("text", F.lit("")), keep, ("score", "predicted"))
     n = len(rows.columns) - 1
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +226,7 @@ def score(docs: DataFrame, model: BinaryModel | None, threshold: float, *keep) -
                 [*batch.columns[:n], pa.array(found), pa.array((found >= threshold).astype(np.int32))], [*batch.schema.names[:n], "score", "predicted"]
             )
 
-    schema = rows.drop("_text").schema.add("score", "double").add("predicted", "integer")
+    schema = rows.drop(text).schema.add("score", "double").add("predicted", "integer")
     return rows.mapInArrow(task, schema)
 
 
