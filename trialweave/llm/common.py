@@ -79,6 +79,19 @@ def small_or_shuffled(df: DataFrame, max_rows: int, weight: Column | None = None
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def told(rows: DataFrame, answers: DataFrame, names: list[str], weight: str, hot_rows: int = 1000, max_hot: int = 100_000) -> DataFrame:
+    """The inner join of ``rows`` and ``answers`` (a written table, one row for each key) on ``names``, which are not null.
+
+    ``weight`` says how many rows a key has.  Keys of over ``hot_rows`` rows,
+    and of over a ``max_hot``-th of all, are at most ``max_hot``: their answers
+    are broadcast, so that no task gets all rows of such a key.
+    """
+    limit = max(hot_rows, (answers.agg(F.sum(weight)).first()[0] or 0) // max_hot)
+    hot, rest = answers.where(F.col(weight) > limit), answers.where(F.col(weight) <= limit)
+    cold = rows.join(F.broadcast(hot.select(*names)), names, "left_anti").join(rest, names)
+    return rows.join(F.broadcast(hot), names).unionByName(cold)
+
+
 def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     """Null-safe equality on ``names``."""
     return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, small_or_shuffled, stored, unit_hash
+from .common import checkpoint, small_or_shuffled, stored, told, unit_hash
 from .components import connected_components
 from .simhash import _roots
 
@@ -270,21 +270,8 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     roots = connected_components(found.select("a", "b"))
     named = classes.select("node", "least").join(roots, "node").groupBy("root").agg(F.min("least").alias("component_id"))
     joined = roots.join(named, "root").select("node", "component_id").join(links, "node")
-    answers = classes.join(joined, "node", "left").select(
-        F.col("label").alias("_label"), F.col("vec").alias("_vec"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"),
-        F.when(F.col("node").isNotNull() & F.col("links").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"), "weight",
-    )
-    answers = stored(answers)
-    return _told(rows.where(takes_part), answers, hot_rows, n).unionByName(alone)
-
-
-def _told(rows: DataFrame, answers: DataFrame, hot_rows: int, n: int) -> DataFrame:
-    """Each row with its class's answer; classes of many rows are broadcast, so that no task gets all rows of one."""
-    limit = max(hot_rows, n // 100_000)
-    total = answers.agg(F.sum("weight")).first()[0] or 0
-    limit = max(limit, total // 100_000)  # at most 100,000 classes have more rows
-    same = (F.col("label") == F.col("_label")) & (F.col("vec") == F.col("_vec"))
-    hot, rest = answers.where(F.col("weight") > limit), answers.where(F.col("weight") <= limit)
-    told = [rows.join(F.broadcast(hot), same), rows.join(F.broadcast(hot.select("_label", "_vec")), same, "left_anti").join(rest, same)]
-    one = told[0].unionByName(told[1]).select("vec_id", "n_links", "component_id")
-    return one.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    component = F.when(F.col("links").isNotNull(), F.col("component_id")).otherwise(F.col("least"))
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long")
+    answers = stored(classes.join(joined, "node", "left").select("label", "vec", n_links.alias("n_links"), component.alias("component_id"), "weight"))
+    found = told(rows.where(takes_part), answers, ["label", "vec"], "weight", hot_rows).select("vec_id", "n_links", "component_id")
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).unionByName(alone)

@@ -53,7 +53,7 @@ def term_lists(raw: bytes) -> Iterator[list[bytes]]:
                 gap = len(part) + gap if gap >= 0 else -1
                 part += more
             if gap >= 0:
-                part, stop = part[:gap], start + gap
+                part, stop = part[:gap], start + gap + 1  # behind the blank
         if found := part.split():
             yield found
         start = stop

@@ -106,7 +106,7 @@ WITH lines AS (
 boiler AS (
   SELECT l.source, line FROM lines l JOIN pages p ON l.source IS NOT DISTINCT FROM p.source
   WHERE regexp_matches(line, '[^ \t\n\v\f\r]') GROUP BY l.source, line
-  HAVING count(DISTINCT r) >= 5 AND count(DISTINCT r) > 0.05 * max(pages)
+  HAVING count(DISTINCT r) >= 2 AND count(DISTINCT r) > 0.05 * max(pages)
 ), judged AS (
   SELECT l.*, b.line IS NOT NULL AS gone FROM lines l LEFT JOIN boiler b ON l.source IS NOT DISTINCT FROM b.source AND l.line = b.line
 )

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, same, small_or_shuffled
+from .common import checkpoint, same, small_or_shuffled, told
 from .components import connected_components
 
 BITS = 64
@@ -249,12 +249,12 @@ def links(fps: DataFrame, *, threshold: int = 4, views: list[View] | None = None
 def _grouped(docs: DataFrame, width: int, seed: int, threshold: int) -> DataFrame:
     """(doc_id, fp, root, component_id) for every row of ``docs``; ``root`` names the component by a fingerprint."""
     rows = checkpoint(fingerprints(docs, width=width, seed=seed))
-    least = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    least = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = checkpoint(connected_components(links(least, threshold=threshold)))
-    named = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(of_root, "root").select("fp", "root", "component_id")
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "root", "component_id")
+    of_fp = checkpoint(named.join(of_root, "root").select("fp", "root", "component_id", "n"))
+    return told(rows, of_fp, ["fp"], "n").select("doc_id", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 4, seed: int = 42, threshold: int = 4) -> DataFrame:
@@ -265,6 +265,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 4, seed: int = 42, threshol
     ``width`` words has one shingle; a null or blank text has fingerprint zero,
     which links like any other.  A null id never names a component unless it is
     all that the component has.  Repeated rows come back as often as they came.
+    An empty table gives no rows; other columns are ignored, whatever their
+    names.
     """
     rows = _grouped(docs, width, seed, threshold)
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -274,7 +276,8 @@ def keep_one(docs: DataFrame, *, width: int = 4, seed: int = 42, threshold: int
     """``docs`` without near-duplicates: of each component the document with the least id stays, once.
 
     Of rows that share the kept id within a component, one of the least
-    fingerprint stays; in other components they are documents of their own.
+    fingerprint stays (of several the least by a hash of all its columns, on any
+    partitioning); in other components they are documents of their own.
     Of a component without any id, one row of the least fingerprint stays.
     All columns pass through, whatever their names.
 
@@ -305,4 +308,7 @@ def _one_of_each(docs: DataFrame, chosen: DataFrame, width: int, seed: int) -> D
 
     marked = rows.mapInArrow(task, rows.drop("raw").schema.add("fp", "long"))
     marked = marked.withColumn("kept_id", F.col("_doc.doc_id").cast("long"))
-    return marked.join(chosen, same(marked, chosen, ["kept_id", "fp"]), "left_semi").dropDuplicates(["kept_id", "fp"]).select("_doc.*")
+    marked = marked.join(chosen, same(marked, chosen, ["kept_id", "fp"]), "left_semi")
+    # of rows that differ elsewhere, the least by a hash of all columns: the same whatever the partitions
+    one = marked.groupBy("kept_id", "fp").agg(F.min_by("_doc", F.sha2(F.to_json("_doc"), 256)).alias("_doc"))
+    return one.select("_doc.*")
