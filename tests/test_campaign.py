@@ -260,8 +260,8 @@ def test_bayesian_optimization_improves(spark, tmp_path):
     out = run_campaign(spark, config(tmp_path, [{"sampler": "s", "runner": "g"}], {"s": s}, {"g": {"type": "SyntheticDoubleGaussianRunner", "dimensions": 2}}))
     first, later = (out.where(c).agg(F.max("output")).first()[0] for c in ("batch < 2", "batch >= 2"))
     assert out.count() == 24 and later > first
-    with pytest.raises(NotImplementedError):
-        adaptive.BayesianOptimizationSampler([(0, 1)], ["x"], fully_bayesian=True)
+    with pytest.raises(ValueError):
+        adaptive.BayesianOptimizationSampler([(0, 1)], ["x"], fully_bayesian=True, inducing=8)
     with pytest.raises(ValueError):
         adaptive.BayesianOptimizationSampler([(0, 1)], ["x"], acquisition_function="other")
     assert adaptive.BayesianOptimizationSampler([(0, 1)], ["x"], acquisition_batch_size=10, random_fraction=0.25).plan(3) == (2, 7)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import random
+from functools import cache, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -70,9 +71,7 @@ def sobol_directions(dim: int, bits: int = SOBOL_BITS) -> list[int]:
     """Direction numbers of dimension ``dim`` (from 0) as ``bits``-bit integers."""
     if dim == 0:
         return [1 << (bits - 1 - k) for k in range(bits)]
-    if dim > len(SOBOL_TABLE):
-        raise ValueError(f"at most {len(SOBOL_TABLE) + 1} Sobol dimensions are tabulated")
-    degree, coefficients, m = SOBOL_TABLE[dim - 1]
+    degree, coefficients, m = SOBOL_TABLE[dim - 1] if dim <= len(SOBOL_TABLE) else _further_dimension(dim)
     v = [m[k] << (bits - 1 - k) for k in range(min(degree, bits))]
     for k in range(degree, bits):
         x = v[k - degree] ^ (v[k - degree] >> degree)
@@ -83,9 +82,114 @@ def sobol_directions(dim: int, bits: int = SOBOL_BITS) -> list[int]:
     return v
 
 
-def sobol(index: Column, dim: int, log2_points: int, shift: int = 0) -> Column:
-    """Coordinate ``dim`` of Sobol point ``index`` < 2 ** log2_points in [0, 1), in Gray-code order; ``shift`` is a digital shift."""
+def _times(a: int, b: int, modulus: int) -> int:
+    """The product of two polynomials over the field of two elements, modulo a third; bits are coefficients."""
+    out, top = 0, 1 << (modulus.bit_length() - 1)
+    while b:
+        if b & 1:
+            out ^= a
+        b, a = b >> 1, a << 1
+        if a & top:
+            a ^= modulus
+    return out
+
+
+def _is_primitive(polynomial: int) -> bool:
+    """Whether x has the order 2 ** degree - 1 modulo ``polynomial``."""
+    order = (1 << (polynomial.bit_length() - 1)) - 1
+
+    def power(n: int) -> int:
+        out, base = 1, _times(1, 2, polynomial)
+        while n:
+            out, base, n = _times(out, base, polynomial) if n & 1 else out, _times(base, base, polynomial), n >> 1
+        return out
+
+    rest, primes, p = order, [], 2
+    while p * p <= rest:
+        if rest % p == 0:
+            primes.append(p)
+            while rest % p == 0:
+                rest //= p
+        p += 1
+    primes += [rest] if rest > 1 else []
+    return power(order) == 1 and all(power(order // p) != 1 for p in primes if p < order or order == 1)
+
+
+@cache
+def primitive_polynomials(n: int) -> list[int]:
+    """The first ``n`` primitive polynomials over the field of two elements, by degree and then as numbers."""
+    found, degree = [], 1
+    while len(found) < n:
+        found += [p for p in range((1 << degree) + 1, 1 << (degree + 1), 2) if _is_primitive(p)]
+        degree += 1
+    return found[:n]
+
+
+def _further_dimension(dim: int) -> tuple[int, int, list[int]]:
+    """A dimension beyond the table: the next primitive polynomial, and odd initial numbers drawn by a seeded rule."""
+    polynomial = primitive_polynomials(64 * -(-dim // 64))[dim - 1]
+    degree = polynomial.bit_length() - 1
+    draw = random.Random(f"sobol:{dim}")
+    return degree, (polynomial >> 1) & ((1 << (degree - 1)) - 1), [2 * draw.randrange(1 << k) + 1 for k in range(degree)]
+
+
+_WORD = (1 << SOBOL_BITS) - 1
+#: Even multipliers of the hash that permutes digits: each bit of a product depends on lower bits only.
+OWEN_MULTIPLIERS = (0x6C50B47C, 0xB82F1E52, 0xC7AFE638, 0x8D22F6E6)
+
+
+def _swapped(x: Column, by: int, low: int) -> Column:
+    """Neighbouring groups of ``by`` bits change places; ``low`` marks the lower group of each two."""
+    mask = F.lit(low).cast("long")
+    return F.shiftleft(x.bitwiseAND(mask), by).bitwiseOR(F.shiftright(x, by).bitwiseAND(mask))
+
+
+def reversed_bits(x: Column) -> Column:
+    """The bits of a whole number below 2 ** 32 in reverse order."""
+    for by, low in ((1, 0x55555555), (2, 0x33333333), (4, 0x0F0F0F0F), (8, 0x00FF00FF), (16, 0x0000FFFF)):
+        x = _swapped(x, by, low)
+    return x
+
+
+def owen_scrambled(bits: Column, key: int) -> Column:
+    """A nested uniform permutation of the binary digits of ``bits`` < 2 ** 32: each is flipped or not by a hash of ``key`` and the digits before it.
+
+    Reversed, a digit comes after those that may decide on it; sums and products
+    with even numbers carry upwards only.  Products are taken in two halves, so
+    that none leaves 64 bits.
+    """
+    word = F.lit(_WORD).cast("long")
+    start = (reversed_bits(bits) + F.lit(key).cast("long")).bitwiseAND(word)
+
+    def once(x: Column, multiplier: Column) -> Column:
+        high, low = F.shiftright(multiplier, 16), multiplier.bitwiseAND(F.lit(0xFFFF).cast("long"))
+        product = x * low + F.shiftleft((x * high).bitwiseAND(F.lit(0xFFFF).cast("long")), 16)
+        return x.bitwiseXOR(product.bitwiseAND(word))
+
+    multipliers = F.array(*[F.lit(m).cast("long") for m in OWEN_MULTIPLIERS])
+    return F.aggregate(multipliers, start, once, reversed_bits)
+
+
+def sobol_array(n: int, dims: int, seed: int = 0) -> np.ndarray:
+    """The first ``n`` Sobol points of the unit cube with a seeded digital shift, for small designs on the driver or in a task."""
+    index = np.arange(n, dtype=np.int64)
+    gray, out = index ^ (index >> 1), np.empty((n, dims))
+    for k in range(dims):
+        bits = np.full(n, random.Random(f"{seed}:{k}").getrandbits(SOBOL_BITS), np.int64)
+        for j, v in enumerate(sobol_directions(k)[: max(1, n.bit_length())]):
+            bits ^= (gray >> j & 1) * np.int64(v)
+        out[:, k] = (bits + 0.5) / 2.0**SOBOL_BITS
+    return out
+
+
+def sobol(index: Column, dim: int, log2_points: int, shift: int = 0, owen: int | None = None) -> Column:
+    """Coordinate ``dim`` of Sobol point ``index`` < 2 ** log2_points in [0, 1), in Gray-code order.
+
+    ``shift`` is a digital shift, ``owen`` the key of a nested permutation of the digits.
+    """
     gray = index.bitwiseXOR(F.shiftright(index, 1))
     parts = [F.shiftright(gray, k).bitwiseAND(F.lit(1).cast("long")) * F.lit(v).cast("long") for k, v in enumerate(sobol_directions(dim)[: max(1, log2_points)])]
     bits = reduce(lambda a, b: a.bitwiseXOR(b), parts, F.lit(shift).cast("long"))
+    if owen is not None:
+        bits = owen_scrambled(bits, owen)
     return bits.cast("double") / float(1 << SOBOL_BITS)

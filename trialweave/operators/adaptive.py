@@ -1,9 +1,10 @@
 """Samplers that look at results: pool-based active learning and Bayesian optimization.
 
-A model is fitted on the driver on every observation, in an order of their
-values, so that reruns agree.  ``max_observations`` cuts nothing: where it is
-set, more observations raise.  Candidate pools stay DataFrames and are scored
-where they lie.
+An exact model is fitted on the driver on every observation, in an order of
+their values, so that reruns agree.  ``max_observations`` cuts nothing: where it
+is set, more observations raise.  Sparse processes, committees and the conjugate
+kernel regression leave observations where they are.  Candidate pools stay
+DataFrames and are scored where they lie.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import random as rnd
+from ..functions import space
 from ..sources import scans
-from . import surrogate
+from . import kernel_stats, sparse_process, surrogate
 from .samplers import SAMPLERS, Sampler, SobolSequenceSampler
 
 log = logging.getLogger(__name__)
@@ -81,10 +83,46 @@ def strategy(name: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray] | None
         return getattr(importlib.import_module(module), attribute)
     name = {"GreedySamplingTarget": "GSi", "GreedySamplingX": "GSx"}.get(name, name)
     if name not in STRATEGIES:
-        raise ValueError(f"unknown query strategy {name!r}; known: {sorted(STRATEGIES)}")
+        raise ValueError(f"unknown query strategy {name!r}; known: {sorted({*STRATEGIES, *SCORES})}")
     return STRATEGIES[name]
 
 
+def _in_unit_cube(rows: DataFrame, parameters: Sequence[str], bounds: Sequence[Sequence[float]], *keep: Column) -> DataFrame:
+    return rows.select(*[space.normalize(F.col(f"`{p}`").cast("double"), *b).alias(p) for p, b in zip(parameters, bounds, strict=True)], *keep)
+
+
+def disagreement(pool: DataFrame, seen: DataFrame, parameters: Sequence[str], bounds: Sequence[Sequence[float]], seed: int = 0) -> DataFrame:
+    """``pool`` (cand_id, parameters) with ``_score``: by how much five bootstrap members of a kernel regression on ``seen`` differ."""
+    names = [f"`{p}`" for p in parameters]
+    row = F.xxhash64(*names, "output")
+    apart = seen.withColumn("_copy", F.row_number().over(Window.partitionBy(*names, "output").orderBy(F.lit(0))))  # repeated runs are drawn apart
+    observed = _in_unit_cube(apart, parameters, bounds, F.col("output"), F.concat_ws(":", row.cast("string"), "_copy").alias("_id"))
+    found = kernel_stats.committee_scores(_in_unit_cube(pool, parameters, bounds, F.col("cand_id")), observed, "cand_id", parameters, "output", 12.0 / len(parameters), "_id", prior=_prior(seen), seed=seed)
+    return pool.join(found.select("cand_id", F.col("disagreement").alias("_score")), "cand_id")
+
+
+def predictive_spread(pool: DataFrame, seen: DataFrame, parameters: Sequence[str], bounds: Sequence[Sequence[float]], seed: int = 0) -> DataFrame:
+    """``pool`` with ``_score``: the predictive standard deviation of the conjugate kernel regression on ``seen``."""
+    found = kernel_stats.kernel_regression(_in_unit_cube(pool, parameters, bounds, F.col("cand_id")), _in_unit_cube(seen, parameters, bounds, F.col("output")), "cand_id", parameters, "output", 12.0 / len(parameters), _prior(seen))
+    return pool.join(found.select("cand_id", F.col("sd").alias("_score")), "cand_id")
+
+
+def expected_reduction(pool: DataFrame, seen: DataFrame, parameters: Sequence[str], bounds: Sequence[Sequence[float]], seed: int = 0) -> DataFrame:
+    """``pool`` with ``_score``: by how much a run there would lower the mean variance over the pool, by a sparse process on ``seen``."""
+    process = sparse_process.fit(seen, parameters, "output", bounds, inducing=min(64, 16 * len(parameters)), rounds=2, seed=seed)
+    return sparse_process.variance_reduction(pool, process, parameters, bounds, "_score")
+
+
+def _prior(seen: DataFrame) -> kernel_stats.NormalPrior:
+    """A prior worth a tenth of an observation, at the mean and variance of all outputs."""
+    mean, variance = seen.agg(F.avg("output"), F.var_samp("output")).first()
+    return kernel_stats.NormalPrior(mean or 0.0, variance=variance or 1.0)
+
+
+#: name -> pool with scores, from all observations as a table: nothing is collected but the picks
+SCORES: dict[str, Callable[..., DataFrame]] = {"QueryByCommittee": disagreement, "ExpectedVarianceReduction": expected_reduction, "PredictiveSpread": predictive_spread}
+
+
 class ActiveLearningSampler(Sampler):
     """Greedy choice from a uniform pool drawn once.
 
@@ -94,6 +132,8 @@ class ActiveLearningSampler(Sampler):
     "GreedySamplingTarget" stands for).  A strategy of one's own is a function
     "module:name" of the distances in inputs and in outputs (candidates x
     known); the least of its values over what is known is a candidate's score.
+    QueryByCommittee, ExpectedVarianceReduction and PredictiveSpread score the
+    pool by a model of all observations, which stay a table, and take the best.
     Chosen candidates leave the pool.
     """
 
@@ -102,7 +142,9 @@ class ActiveLearningSampler(Sampler):
 
     def __init__(self, bounds, budget, parameters, query_strategy: str = "GreedySamplingTarget", n_candidates: int = 1000, batch_size=None, seed: int = 0, max_observations: int | None = None, **_: Any):
         super().__init__(bounds, parameters, budget, batch_size, seed)
-        self.strategy = strategy(query_strategy)
+        self.scores = SCORES.get(query_strategy)
+        self.strategy = None if self.scores else strategy(query_strategy)
+        self.fit_seed = int(seed)
         self.n_candidates, self.max_observations = n_candidates, max_observations
 
     def _points(self, spark: SparkSession, start: int, n: int, tag: str) -> DataFrame:
@@ -127,6 +169,10 @@ class ActiveLearningSampler(Sampler):
         if n <= 0:
             return None
         seen = observations(results, self.parameters)
+        if self.scores and seen is not None and seen.limit(1).count():
+            scored = self.scores(self.remaining(spark, results), seen, self.parameters, self.bounds, self.fit_seed + number)
+            chosen = scored.orderBy(F.desc_nulls_last("_score"), "cand_id").limit(n)
+            return chosen.select((F.row_number().over(Window.orderBy("cand_id")) - 1).cast("long").alias("sample"), *self.parameters)
         known = gathered(seen, self.max_observations) if seen is not None else None
         if known is None or known.empty:
             return self.batch(spark, number)
@@ -189,9 +235,15 @@ class BayesianOptimizationSampler(Sampler):
     random points and max(int((1 - random_fraction) * B), 1) of the model;
     asynchronous ones a single point.  ``model_failures`` adds a second process
     on failed runs: a candidate passes with the probability of not failing, and
-    a shortfall is filled with unfiltered ones.  Points of the model are the
-    best of ``restarts`` local searches from the best of ``raw_samples`` Sobol
-    points; with a failure model they are those that pass, as they are.
+    a shortfall is filled with unfiltered ones.  The points of a batch are
+    chosen together, by the acquisition of their joint outcome: the best of
+    ``restarts`` local searches from the best of ``raw_samples`` sets of Sobol
+    points, dealt over tasks; with a failure model they are filtered after that.
+
+    The exact process is fitted on the driver.  With ``inducing`` points the
+    process is a sparse one over all observations, which stay a table.
+    ``fully_bayesian`` draws hyperparameters from their posterior in several
+    chains, a task each, and averages ``hyper_draws`` processes.
     ``history`` is a folder of run directories with a datapoint.csv each, whose
     runs count as observations, but for those with a string of ``history_skip``
     in their names.
@@ -200,10 +252,10 @@ class BayesianOptimizationSampler(Sampler):
     adaptive = True
     truncates = False
 
-    def __init__(self, bounds, parameters, budget: int = 20, initial_samples: int = 50, acquisition_batch_size: int = 20, acquisition_function: str = "qLEI", kernel: str = "matern32", beta: float = 0.2, random_fraction: float = 0.0, asynchronous: bool = False, model_failures: bool = False, observations: Sequence[str] = ("output",), raw_samples: int = 1024, count_warmup: bool = False, fully_bayesian: bool = False, max_observations: int | None = None, restarts: int = 10, history: str | None = None, history_skip: Sequence[str] = (), seed: int = 0, **ignored: Any):
+    def __init__(self, bounds, parameters, budget: int = 20, initial_samples: int = 50, acquisition_batch_size: int = 20, acquisition_function: str = "qLEI", kernel: str = "matern32", beta: float = 0.2, random_fraction: float = 0.0, asynchronous: bool = False, model_failures: bool = False, observations: Sequence[str] = ("output",), raw_samples: int = 1024, count_warmup: bool = False, fully_bayesian: bool = False, max_observations: int | None = None, restarts: int = 10, history: str | None = None, history_skip: Sequence[str] = (), inducing: int | None = None, hyper_draws: int = 8, seed: int = 0, **ignored: Any):
         super().__init__(bounds, parameters, budget, acquisition_batch_size, seed)
-        if fully_bayesian:
-            raise NotImplementedError("sampling the posterior of hyperparameters is not supported; the process is fitted by maximum likelihood")
+        if fully_bayesian and inducing:
+            raise ValueError("hyperparameters are drawn for the exact process only; choose fully_bayesian or inducing")
         if acquisition_function not in surrogate.ACQUISITIONS:
             raise ValueError(f"unknown acquisition {acquisition_function!r}; known: {surrogate.ACQUISITIONS}")
         if kernel not in surrogate.KERNELS:
@@ -212,6 +264,7 @@ class BayesianOptimizationSampler(Sampler):
         self.random_fraction, self.asynchronous, self.model_failures = random_fraction, asynchronous, model_failures
         self.observed, self.raw_samples, self.count_warmup, self.max_observations = list(observations), raw_samples, count_warmup, max_observations
         self.restarts, self.history, self.history_skip = restarts, history, list(history_skip)
+        self.inducing, self.fully_bayesian, self.hyper_draws = inducing, fully_bayesian, hyper_draws
         if ignored:
             log.debug("ignored options: %s", sorted(ignored))
 
@@ -240,18 +293,51 @@ class BayesianOptimizationSampler(Sampler):
         b = self.batch_size
         return int(self.random_fraction * b), max(int((1 - self.random_fraction) * b), 1)
 
-    def fitted(self, results: DataFrame | None) -> tuple[surrogate.GaussianProcess | None, np.ndarray, np.ndarray]:
-        """The process over successful rows, and the inputs of successful and failed ones."""
-        none = np.zeros((0, len(self.parameters)))
+    def _process(self, rows: DataFrame, target: str, **how: Any):
+        """A process over ``rows`` (parameters and ``target``); None without rows."""
+        if self.inducing:
+            return sparse_process.fit(rows, self.parameters, target, self.bounds, kernel_name=self.kernel, inducing=self.inducing, seed=self.seed)
+        found = gathered(rows.select(*self.parameters, target), self.max_observations)
+        if found.empty:
+            return None
+        x, y = self._unit(found[self.parameters].to_numpy(float)), found[target].to_numpy(float)
+        if not how.get("bayesian"):
+            return surrogate.GaussianProcess.fit(x, y, self.kernel, seed=self.seed)
+        density = surrogate.HyperPosterior(x, y, self.kernel)
+        draws = surrogate.hyper_chains(rows.sparkSession, density, chains=4, draws=100, warmup=150, seed=self.seed)
+        taken = draws.where(F.col("draw") % max(1, 400 // self.hyper_draws) == 0).orderBy("chain", "draw").select("theta").collect()
+        return surrogate.Mixture.of_draws(density, np.array([r["theta"] for r in taken]))
+
+    def fitted(self, results: DataFrame | None):
+        """The process over successful rows, and that over failures (0 or 1) where they are modelled; None for what has no rows."""
         if results is None:
-            return None, none, none
+            return None, None
         target = reduced_target(results.columns, self.observed)
         good = observations(results.withColumn("_target", target), self.parameters, "_target")
-        good = gathered(good, self.max_observations)
-        bad = gathered(failures(results, self.parameters), self.max_observations) if self.model_failures else None
-        x = good[self.parameters].to_numpy(float)
-        gp = surrogate.GaussianProcess.fit(self._unit(x), good["output"].to_numpy(float), self.kernel, seed=self.seed) if len(x) else None
-        return gp, x, none if bad is None else bad[self.parameters].to_numpy(float)
+        failed = failures(results, self.parameters).withColumn("failed", F.lit(1.0)) if self.model_failures else None
+        chance = None
+        if failed is not None and failed.limit(1).count():
+            chance = self._process(good.select(*self.parameters, F.lit(0.0).alias("failed")).unionByName(failed), "failed")
+        return self._process(good, "output", bayesian=self.fully_bayesian), chance
+
+    def _chosen(self, spark: SparkSession, gp, chance, raw: np.ndarray, n: int, number: int, attempts: int = 3) -> np.ndarray:
+        """``n`` points of the unit cube, chosen together; with a model of failures those that pass, as far as some do."""
+        how = {"restarts": self.restarts, "seed": self.seed + number}
+        if chance is None:
+            return surrogate.joint_optimized(spark, gp, raw, n, self.acquisition, self.beta, **how)
+        rng = np.random.default_rng([self.seed, number, 1])
+        passed, refused = np.zeros((0, raw.shape[1])), np.zeros((0, raw.shape[1]))
+        for _ in range(attempts):
+            tried = surrogate.joint_optimized(spark, gp, raw, n - len(passed), self.acquisition, self.beta, **how)
+            passes = rng.random(len(tried)) > np.clip(chance.posterior(tried)[0], 0, 1)
+            passed, refused = np.vstack([passed, tried[passes]]), np.vstack([refused, tried[~passes]])
+            if len(passed) == n:
+                break
+            for point in tried:  # what comes next is chosen with these believed to come out at their means
+                gp = gp.with_point(point[None], float(gp.posterior(point[None])[0][0]))
+            raw = raw[rng.random(len(raw)) > np.clip(chance.posterior(raw)[0], 0, 1)] if len(raw) > n else raw
+            raw = raw if len(raw) >= n else np.vstack([raw, refused])
+        return np.vstack([passed, refused[: n - len(passed)]])
 
     def propose(self, spark: SparkSession, results: DataFrame | None, number: int, spent: int = 0) -> DataFrame | None:
         """The next batch; ``spent`` is how much of the budget earlier batches have used."""
@@ -263,23 +349,15 @@ class BayesianOptimizationSampler(Sampler):
         if n_seen < self.initial:
             return self.frame(spark, start, self.batch_size).withColumn("sample", F.col("sample") - start)
         n_random, n_model = self.plan(number)
-        gp, good, bad = self.fitted(results)
+        gp, chance = self.fitted(results)
         if gp is None:
             raise RuntimeError("the model has no observations")
         points = [[float(r[p]) for p in self.parameters] for r in self.frame(spark, start, n_random).collect()] if n_random else []
         if n_model:
             cube = SobolSequenceSampler([(0.0, 1.0)] * len(self.parameters), self.raw_samples, self.parameters, seed=self.seed + number)
             raw = np.array([[r[p] for p in self.parameters] for r in cube.frame(spark, 0, cube.budget).collect()], float)
-            keep = np.arange(len(raw))
-            rng = np.random.default_rng([self.seed, number, 1])
-            if len(bad):
-                x, label = np.vstack([good, bad]), np.append(np.zeros(len(good)), np.ones(len(bad)))
-                chance = surrogate.GaussianProcess.fit(self._unit(x), label, self.kernel, seed=self.seed).posterior(raw)[0]
-                passed = np.flatnonzero(rng.random(len(raw)) > np.clip(chance, 0, 1))
-                keep = np.concatenate([passed, np.setdiff1d(keep, passed)]) if len(passed) < n_model else passed
-            raw = raw[keep]
+            best = self._chosen(spark, gp, chance, raw, n_model, number)
             low, high = np.array(self.bounds, float).T
-            best = raw[surrogate.propose(gp, raw, n_model, self.acquisition, self.beta)] if len(bad) else surrogate.optimized(gp, raw, n_model, self.acquisition, self.beta, self.restarts)
             points += (low + best * (high - low)).tolist()
         schema = "sample long, " + ", ".join(f"`{p}` double" for p in self.parameters)
         return spark.createDataFrame([[k, *p] for k, p in enumerate(points)], schema)
@@ -291,7 +369,7 @@ def score_pool(pool: DataFrame, gp: surrogate.GaussianProcess, parameters: Seque
     ``best`` is the incumbent where the process was fitted on means and does not hold it.
     """
     low, high = np.array(bounds, float).T
-    best = float(gp.y.max()) if best is None else best
+    best = gp.best if best is None else best
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -12,6 +12,7 @@ import itertools
 import logging
 import math
 import operator
+import random
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -44,16 +45,21 @@ class Sampler:
     def n_batches(self) -> int:
         return math.ceil(self.budget / self.batch_size) if self.budget > 0 else 0
 
-    def batch_range(self, number: int) -> tuple[int, int]:
-        """(first index, points) of batch ``number``; no points once the budget is spent."""
-        start = number * self.batch_size
+    def batch_range(self, number: int, submitted: int | None = None) -> tuple[int, int]:
+        """(first index, points) of batch ``number``; no points once the budget is spent.
+
+        ``submitted`` is how many points the batches before it had: all of them
+        full, unless it is given.  It differs where a last batch was cut to a
+        budget that has been extended since.
+        """
+        start = number * self.batch_size if submitted is None else submitted
         if start >= self.budget:
             return start, 0
         return start, min(self.batch_size, self.budget - start) if self.truncates else self.batch_size
 
-    def batch(self, spark: SparkSession, number: int) -> DataFrame | None:
+    def batch(self, spark: SparkSession, number: int, submitted: int | None = None) -> DataFrame | None:
         """sample (from 0 within the batch) and the parameters; None once the budget is spent."""
-        start, n = self.batch_range(number)
+        start, n = self.batch_range(number, submitted)
         if n <= 0:
             return None
         return self.frame(spark, start, n).withColumn("sample", F.col("sample") - start)
@@ -79,7 +85,16 @@ def _sizes_checked(sizes: list[int], what: str, max_points: int) -> int:
     return n
 
 
-class ArraySampler(Sampler):
+class _Product(Sampler):
+    """A finite set of points: nothing is left to extend it by."""
+
+    def extended(self, more: int) -> Sampler:
+        if more:
+            log.warning("%s has no more than its %s points; it is not extended", type(self).__name__, self.budget)
+        return self
+
+
+class ArraySampler(_Product):
     """All combinations of literal lists, the last parameter fastest; the budget is their number."""
 
     def __init__(self, bounds: Sequence[Sequence[Any]], parameters: Sequence[str], batch_size: int | None = None, max_points: int = MAX_POINTS, **_: Any):
@@ -90,7 +105,7 @@ class ArraySampler(Sampler):
         return F.get(F.array(*[F.lit(v) for v in self.bounds[k]]), space.digit(index, self.sizes, k).cast("int"))
 
 
-class GridSampler(Sampler):
+class GridSampler(_Product):
     """Evenly spaced points per parameter, both ends included, and all their combinations."""
 
     def __init__(self, bounds: Sequence[Sequence[float]], num_samples: int | Sequence[int], parameters: Sequence[str], batch_size: int | None = None, max_points: int = MAX_POINTS, **_: Any):
@@ -134,10 +149,10 @@ class RandomSamplerWithKill(RandomSampler):
         super().__init__(bounds, budget, parameters, batch_size, seed=seed)
         self.kill_after = kill_after
 
-    def batch(self, spark: SparkSession, number: int) -> DataFrame | None:
+    def batch(self, spark: SparkSession, number: int, submitted: int | None = None) -> DataFrame | None:
         if self.kill_after and number >= self.kill_after:
             raise SamplerKilled(f"killed after {self.kill_after} batches")
-        return super().batch(spark, number)
+        return super().batch(spark, number, submitted)
 
 
 class LatinHypercubeSampler(Sampler):
@@ -156,30 +171,60 @@ class LatinHypercubeSampler(Sampler):
         if start % self.batch_size:
             raise ValueError("a latin hypercube is made by whole batches")
         size = F.lit(self.batch_size).cast("long")
-        rows = spark.range(start, start + n).select(F.col("id").alias("sample"), F.floor(F.col("id") / size).cast("long").alias("_batch"))
-        rows = rows.withColumn("_n", F.least(size, F.lit(start + n) - F.col("_batch") * size))
+        rows = spark.range(start, start + n).select(F.col("id").alias("sample"), F.floor(F.col("id") / size).cast("long").alias("_batch"), (F.col("id") % size).alias("_place"))
+        return self._cubes(rows.withColumn("_n", F.least(size, F.lit(start + n) - F.col("_batch") * size)))
+
+    def batch(self, spark: SparkSession, number: int, submitted: int | None = None) -> DataFrame | None:
+        """One hypercube of min(batch_size, what is left of the budget) points, whatever sizes the batches before it had."""
+        start, n = self.batch_range(number, submitted)
+        if n <= 0:
+            return None
+        rows = spark.range(start, start + n).select(F.col("id").alias("sample"), F.lit(number).cast("long").alias("_batch"), (F.col("id") - start).alias("_place"), F.lit(n).cast("long").alias("_n"))
+        return self._cubes(rows).withColumn("sample", F.col("sample") - start)
+
+    def _cubes(self, rows: DataFrame) -> DataFrame:
+        """Points of ``rows`` (sample, and the number, place and size of its hypercube)."""
         values = []
         for p, bounds in zip(self.parameters, self.bounds, strict=True):
-            stratum = rnd.permuted(F.col("sample") % size, F.col("_n"), self.seed, p, F.col("_batch"))
+            stratum = rnd.permuted(F.col("_place"), F.col("_n"), self.seed, p, F.col("_batch"))
             values.append(rnd.uniform((stratum + rnd.unit(self.seed, p, F.col("sample"))) / F.col("_n"), *bounds).alias(p))
         return rows.select("sample", *values)
 
 
 class SobolSequenceSampler(Sampler):
-    """Sobol points, the budget rounded down to a power of two; ``scramble`` applies a seeded digital shift."""
+    """Sobol points, the budget rounded down to a power of two.
+
+    ``scramble`` is "owen" (or true), a nested uniform permutation of the
+    digits by hashed prefixes, "shift", a digital shift, or false.  Both are
+    seeded and keep every net a net.  The sequence goes on where a smaller
+    budget ended: a design of 2 ** m points is the start of one of 2 ** (m + 1).
+    """
 
-    def __init__(self, bounds, budget, parameters, batch_size=None, scramble: bool = True, seed: int = 42, **_: Any):
-        self.log2 = max(0, int(budget).bit_length() - 1)
-        if budget != 1 << self.log2:
-            log.warning("a Sobol budget of %s is rounded down to %s", budget, 1 << self.log2)
+    def __init__(self, bounds, budget, parameters, batch_size=None, scramble: bool | str = True, seed: int = 42, **_: Any):
+        self.log2 = self._log2(budget)
         super().__init__(bounds, parameters, 1 << self.log2, min(batch_size or budget, 1 << self.log2), seed)
-        self.scramble = scramble
+        self.scramble = {True: "owen", False: None}.get(scramble, scramble)
+        if self.scramble not in ("owen", "shift", None):
+            raise ValueError(f"unknown scrambling {scramble!r}; known: owen, shift")
+
+    @staticmethod
+    def _log2(budget: int) -> int:
+        log2 = max(0, int(budget).bit_length() - 1)
+        if budget != 1 << log2:
+            log.warning("a Sobol budget of %s is rounded down to %s", budget, 1 << log2)
+        return log2
 
     def value(self, k: int, index: Column) -> Column:
-        import random
+        key = random.Random(f"{self.seed}:{k}").getrandbits(space.SOBOL_BITS)
+        shift, owen = (key if self.scramble == kind else None for kind in ("shift", "owen"))
+        return space.unnormalize(space.sobol(index, k, self.log2, shift or 0, owen), *self.bounds[k])
 
-        shift = random.Random(f"{self.seed}:{k}").getrandbits(space.SOBOL_BITS) if self.scramble else 0
-        return space.unnormalize(space.sobol(index, k, self.log2, shift), *self.bounds[k])
+    def extended(self, more: int) -> Sampler:
+        """The next points of the sequence, up to the power of two at or below budget + ``more``."""
+        if more:
+            self.log2 = self._log2(self.budget + more)
+            self.budget = 1 << self.log2
+        return self
 
 
 class NestedSampler(Sampler):
@@ -202,8 +247,15 @@ class NestedSampler(Sampler):
     def total_runs(self) -> int:
         return sum(self.runs_by_depth)
 
-    def batch(self, spark: SparkSession, number: int) -> DataFrame | None:
+    def extended(self, more: int) -> Sampler:
+        if more:
+            log.warning("a nested sampler has the product of its samplers' first batches; it is not extended")
+        return self
+
+    def batch(self, spark: SparkSession, number: int, submitted: int | None = None) -> DataFrame | None:
         if number:
+            if submitted is not None and submitted >= self.budget:
+                return None
             raise NotImplementedError("a nested sampler has one batch")
         out = None
         for n, s in zip(self.sizes, self.samplers.values(), strict=True):

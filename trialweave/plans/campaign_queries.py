@@ -22,7 +22,11 @@ from .queries import query, table, unit_sql
 
 def _folder(spark: SparkSession) -> str:
     """A fresh folder where executors can write; it goes when the application ends."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="campaigns-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="campaigns-")
     path = f"{shared}/campaign-{uuid.uuid4()}"
     files.delete_on_exit(spark, path)
     return path

@@ -21,6 +21,8 @@ from . import progress
 from .config import Campaign, Level, load, parse
 
 log = logging.getLogger(__name__)
+#: Failed runs of a batch that go to the log, in the order of their samples; the table has all of them.
+MAX_LOGGED = 100
 
 
 def run_sequence(points: DataFrame, runners: Sequence[Runner], depth: int = 0, batch: int = 0, seed: int = 0) -> DataFrame:
@@ -50,7 +52,7 @@ class Engine:
 
     def _proposal(self, sampler: Sampler, depth: int, number: int, spent: int) -> DataFrame | None:
         if not sampler.adaptive:
-            return sampler.batch(self.spark, number)
+            return sampler.batch(self.spark, number, spent)
         results = self.store.level(depth)  # the level's own rows
         if isinstance(sampler, BayesianOptimizationSampler):
             return sampler.propose(self.spark, results, number, spent)
@@ -71,7 +73,7 @@ class Engine:
             points = self._proposal(sampler, depth, number, spent)
             if points is None:
                 break
-            n = points.count() if sampler.adaptive else sampler.batch_range(number)[1]
+            n = points.count() if sampler.adaptive else sampler.batch_range(number, spent)[1]
             if n == 0:
                 break
             counted = self._counts(sampler, number, n, successes)
@@ -96,8 +98,11 @@ class Engine:
         log.info(self._line(c).rstrip())
         files.write_text(self.spark, f"{self.campaign.base_run_dir}/current_progress.txt", self._line(c))
         if self.campaign.log_failures and c.failures:
-            for row in self.store.batch(c.depth, c.batch).where(~F.col("success")).limit(100).toJSON().collect():
+            failed = self.store.batch(c.depth, c.batch).where(~F.col("success")).orderBy("sample", "run_dir")
+            for row in failed.limit(MAX_LOGGED).toJSON().collect():
                 log.warning("failed: %s", row)
+            if c.failures > MAX_LOGGED:
+                log.warning("%s more failed runs are in the batch's table only", c.failures - MAX_LOGGED)
 
     def run(self, extend_by: dict[str, int] | None = None) -> DataFrame | None:
         """All levels in order; the last level's rows come back.

@@ -529,4 +529,4 @@ def active_learning_round(spark, d):
     return s.propose(spark, seen, 1)
 
 
-from . import campaign_queries  # noqa: E402, F401  registers those that run the engine
+from . import campaign_queries, model_queries  # noqa: E402, F401  register those that run the engine, and models over tables
