@@ -281,11 +281,12 @@ def test_bayesian_optimization_fits_every_observation(spark, monkeypatch):
     monkeypatch.setattr(surrogate.GaussianProcess, "fit", lambda x, y, *a, **k: fitted.append((x, y)))
     rows = spark.range(0, 4202, 1, 4).select((F.col("id") / 4202).alias("x"), F.when(F.col("id") % 2 == 1, F.col("id").cast("double")).alias("output"), (F.col("id") % 2 == 1).alias("success"))
     s = adaptive.BayesianOptimizationSampler([(0, 1)], ["x"], model_failures=True)
-    _, good, bad = s.fitted(rows)
-    x, y = fitted[0]
-    assert len(x) == len(good) == len(bad) == 2101 and y.max() == 4201.0  # the incumbent is in the last row
+    s.fitted(rows)
+    (x, y), (everything, failed) = fitted
+    assert len(x) == 2101 and y.max() == 4201.0  # the incumbent is in the last row
+    assert len(everything) == 4202 and failed.sum() == 2101
     s.fitted(rows.repartition(3))
-    assert (fitted[1][0] == x).all() and (fitted[1][1] == y).all()
+    assert all((a == b).all() for one, two in zip(fitted[:2], fitted[2:], strict=True) for a, b in zip(one, two, strict=True))
     with pytest.raises(ValueError, match="max_observations"):
         adaptive.BayesianOptimizationSampler([(0, 1)], ["x"], max_observations=2000).fitted(rows)
 

@@ -226,6 +226,15 @@ def test_spread_choice_covers_within_the_proved_factor(spark, part_rows):
     assert coresets.spread_choice(df.where("false"), 3, "v", "id").count() == 0 and coresets.spread_choice(df.where("id < 2"), 3, "v", "id").count() == 2
 
 
+def test_spread_choice_of_the_standard_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").toPandas()
+    x = np.stack(rows["embedding"]).astype(float)
+    found = coresets.spread_choice(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), 200, "embedding", "vec_id", part_rows=1000).toPandas()
+    gap = lambda chosen: np.sqrt(np.maximum(((x * x).sum(1)[:, None] + (chosen * chosen).sum(1)[None] - 2 * x @ chosen.T).min(1), 0)).max()
+    exact = gap(x[coresets.farthest_first(x, 200, np.zeros((0, 64)))[0]])
+    assert len(found) == 200 and found["vec_id"].is_unique and exact / 2 <= gap(np.stack(found["embedding"])) <= 4 * exact
+
+
 # --- joint choices and hyperparameters ----------------------------------------------------------
 
 
@@ -399,3 +408,14 @@ def test_table_function_gives_the_samplers_points(spark, sampler):
     assert found.columns == ["k", "name", "sample", "a", "b"]
     want = [(k, n, p["sample"], round(float(p.a), 12), round(float(p.b), 12)) for k, n in ((1, "x"), (2, "y"), (None, None)) for p in points]
     assert sorted(((r.k, r["name"], r["sample"], round(r.a, 12), round(r.b, 12)) for r in found.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_programs_files_are_not_kept_in_stores_that_only_spark_reaches(tmp_path):
+    def config(base, save):
+        runners = {"r": {"type": "ExampleProcessRunner", "sleep_sec": 0}}
+        return {"samplers": {"s": {"type": "ArraySampler", "bounds": [[1]], "parameters": ["c1"]}}, "runners": runners, "supervisor": {"base_run_dir": base, "run_order": [{"sampler": "s", "runner": "r"}], "save_files": save}}
+
+    with pytest.raises(ValueError, match="mount"):
+        parse(config("hdfs://somewhere/x", "all"))
+    assert parse(config("hdfs://somewhere/x", "none")).levels[0].runners[0].keep == "none"
+    assert parse(config(f"file://{tmp_path}", "all")).levels[0].runners[0].keep_dir == f"{tmp_path}/runs"

@@ -315,28 +315,27 @@ class BayesianOptimizationSampler(Sampler):
         target = reduced_target(results.columns, self.observed)
         good = observations(results.withColumn("_target", target), self.parameters, "_target")
         failed = failures(results, self.parameters).withColumn("failed", F.lit(1.0)) if self.model_failures else None
-        chance = None
-        if failed is not None and failed.limit(1).count():
-            chance = self._process(good.select(*self.parameters, F.lit(0.0).alias("failed")).unionByName(failed), "failed")
-        return self._process(good, "output", bayesian=self.fully_bayesian), chance
-
-    def _chosen(self, spark: SparkSession, gp, chance, raw: np.ndarray, n: int, number: int, attempts: int = 3) -> np.ndarray:
-        """``n`` points of the unit cube, chosen together; with a model of failures those that pass, as far as some do."""
-        how = {"restarts": self.restarts, "seed": self.seed + number}
+        gp = self._process(good, "output", bayesian=self.fully_bayesian)
+        if failed is None or not failed.limit(1).count():
+            return gp, None
+        return gp, self._process(good.select(*self.parameters, F.lit(0.0).alias("failed")).unionByName(failed), "failed")
+
+    def _chosen(self, spark: SparkSession, gp, chance, raw: np.ndarray, n: int, number: int) -> np.ndarray:
+        """``n`` points of the unit cube, chosen together; with a model of failures those of them that pass, and the best of ``raw`` that do.
+
+        Only where too few of ``raw`` pass as well do points stay that did not.
+        """
+        found = surrogate.joint_optimized(spark, gp, raw, n, self.acquisition, self.beta, restarts=self.restarts, seed=self.seed + number)
         if chance is None:
-            return surrogate.joint_optimized(spark, gp, raw, n, self.acquisition, self.beta, **how)
+            return found
         rng = np.random.default_rng([self.seed, number, 1])
-        passed, refused = np.zeros((0, raw.shape[1])), np.zeros((0, raw.shape[1]))
-        for _ in range(attempts):
-            tried = surrogate.joint_optimized(spark, gp, raw, n - len(passed), self.acquisition, self.beta, **how)
-            passes = rng.random(len(tried)) > np.clip(chance.posterior(tried)[0], 0, 1)
-            passed, refused = np.vstack([passed, tried[passes]]), np.vstack([refused, tried[~passes]])
-            if len(passed) == n:
-                break
-            for point in tried:  # what comes next is chosen with these believed to come out at their means
+        passes = lambda x: rng.random(len(x)) > np.clip(chance.posterior(x)[0], 0, 1)
+        good = passes(found)
+        passed, refused, others = found[good], found[~good], raw[passes(raw)]
+        if len(passed) < n and len(others):
+            for point in passed:  # what comes next is chosen with these believed to come out at their means
                 gp = gp.with_point(point[None], float(gp.posterior(point[None])[0][0]))
-            raw = raw[rng.random(len(raw)) > np.clip(chance.posterior(raw)[0], 0, 1)] if len(raw) > n else raw
-            raw = raw if len(raw) >= n else np.vstack([raw, refused])
+            passed = np.vstack([passed, others[surrogate.propose(gp, others, n - len(passed), self.acquisition, self.beta)]])
         return np.vstack([passed, refused[: n - len(passed)]])
 
     def propose(self, spark: SparkSession, results: DataFrame | None, number: int, spent: int = 0) -> DataFrame | None:

@@ -6,8 +6,8 @@ least radius with which k balls can cover the pool.  A choice of k from each
 part of a pool, united, stands for the pool: choosing k from that union covers
 all rows within four times the least radius.  Parts of bounded size are chosen
 from in parallel, their choices united and chosen from again, until one part is
-left; a pool takes one shuffle a level, and two whatever k where ``part_rows``
-squared is at least k times the pool.
+left.  A level is one shuffle and adds twice the least radius; there are two,
+whatever k, where ``part_rows`` squared is at least k times the pool.
 """
 
 from __future__ import annotations

@@ -50,8 +50,17 @@ def _listed(value: Any) -> list:
 
 
 def _keep_files(runner: FunctionRunner, supervisor: dict[str, Any], base: str) -> None:
-    """``save_files`` (all, custom or none; anything else is all), ``save_files_list`` and ``local_storage`` apply to programs' scratch folders."""
+    """``save_files`` (all, custom or none; anything else is all), ``save_files_list`` and ``local_storage`` apply to programs' scratch folders.
+
+    Files are kept under ``base``, which has to be a mounted folder; ValueError where it is a store such as s3a or hdfs.
+    """
     if save := supervisor.get("save_files"):
+        scheme, _, path = base.partition("://")
+        if path and scheme == "file":
+            base = path
+        elif path and save != "none":
+            # programs write plain files from the workers; only Spark reaches such a store
+            raise ValueError(f"files of programs cannot be kept under {base}; give save_files: none, or a base_run_dir that all executors mount")
         runner.keep = save if save in ("custom", "none") else "all"
         runner.keep_files = set(supervisor.get("save_files_list") or ())
         runner.keep_dir = f"{base}/runs"
