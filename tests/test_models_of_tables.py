@@ -419,3 +419,58 @@ def test_programs_files_are_not_kept_in_stores_that_only_spark_reaches(tmp_path)
         parse(config("hdfs://somewhere/x", "all"))
     assert parse(config("hdfs://somewhere/x", "none")).levels[0].runners[0].keep == "none"
     assert parse(config(f"file://{tmp_path}", "all")).levels[0].runners[0].keep_dir == f"{tmp_path}/runs"
+
+
+# --- registered queries without SQL, against plain formulas ---------------------------------------------------
+
+
+def test_process_queries_equal_the_dense_formulas(spark):
+    from trialweave.plans.queries import QUERIES, _fitted
+
+    sf = "/root/testdata/sf0.001"
+    gp, best, _ = _fitted(spark, sf)
+    parts = spark.read.parquet(f"{sf}/part.parquet").toPandas()
+    at = np.column_stack([(parts["p_size"] - 1) / 49, (parts["p_retailprice"] - 900) / 100]).astype(float)
+    d = lambda a, b: np.sqrt((((a[:, None] - b[None]) / gp.scales) ** 2).sum(-1))
+    k = lambda a, b: (1 + math.sqrt(3) * d(a, b)) * np.exp(-math.sqrt(3) * d(a, b))
+    inner = k(gp.x, gp.x) + (gp.noise + 1e-8) * np.eye(len(gp.x))
+    mean = gp.y.mean() + gp.y.std(ddof=1) * k(at, gp.x) @ np.linalg.solve(inner, (gp.y - gp.y.mean()) / gp.y.std(ddof=1))
+    sd = gp.y.std(ddof=1) * np.sqrt(np.maximum(1 - np.einsum("ij,ji->i", k(at, gp.x), np.linalg.solve(inner, k(gp.x, at))), 1e-12))
+    found = QUERIES["gp_posterior"](spark, sf).toPandas().set_index("p_partkey").loc[parts["p_partkey"]]
+    assert found["mean"].to_numpy() == pytest.approx(mean, abs=1e-6) and found["sd"].to_numpy() == pytest.approx(sd, abs=1e-4)
+    z = (mean - best) / sd
+    value = sd * (z * 0.5 * (1 + np.vectorize(math.erf)(z / math.sqrt(2))) + np.exp(-0.5 * z * z) / math.sqrt(2 * math.pi))
+    top = QUERIES["expected_improvement"](spark, sf).collect()
+    assert [r.acquisition for r in top] == pytest.approx(sorted(value, reverse=True)[:20], rel=1e-2, abs=1e-6)
+
+
+def test_query_of_the_sparse_process_predicts_what_it_saw(spark):
+    from trialweave.plans.queries import QUERIES
+
+    found = QUERIES["sparse_process"](spark, "/root/testdata/sf0.001").toPandas()
+    want = np.sin(3 * found["x"]) + found["y"] ** 2
+    assert len(found) > 50 and np.abs(found["mean"] - want).max() < 0.1 and (found["sd"] > 0).all()
+
+
+def test_rounds_of_the_samplers(spark):
+    from trialweave.plans.queries import QUERIES
+
+    picks = QUERIES["bo_round"](spark, "/root/testdata/sf0.001").collect()
+    assert len(picks) == 5 and all(0 <= r.x <= 1 and 0 <= r.y <= 1 for r in picks) and len({(r.x, r.y) for r in picks}) == 5
+    # active learning, pick by pick, from the distances to everything known
+    s = adaptive.ActiveLearningSampler([(0, 1), (0, 1)], 40, ["x", "y"], "GreedySamplingTarget", 500, batch_size=4, seed=2)
+    from trialweave.operators.runners import SyntheticDoubleGaussianRunner
+
+    seen = SyntheticDoubleGaussianRunner(2).apply(s.batch(spark, 0), ["x", "y"]).select("x", "y", "output").toPandas().sort_values(["x", "y", "output"])
+    pool = s.pool(spark).orderBy("cand_id").toPandas()
+    x, y = seen[["x", "y"]].to_numpy(), seen["output"].to_numpy()
+    model, at, want = surrogate.KernelRegression.fit(x, y, seed=2), pool[["x", "y"]].to_numpy(), []
+    for _ in range(4):
+        gap = np.sqrt(((at[:, None] - x[None]) ** 2).sum(-1)) * np.abs(model.predict(at)[:, None] - y[None])
+        score = gap.min(1)
+        score[want] = -1
+        best = int(score.argmax())
+        want.append(best)
+        x, y = np.vstack([x, at[best]]), np.append(y, model.predict(at[best : best + 1]))
+    found = QUERIES["active_learning_round"](spark, "/root/testdata/sf0.001").orderBy("sample").collect()
+    assert [(r.x, r.y) for r in found] == [tuple(at[k]) for k in sorted(want)]
