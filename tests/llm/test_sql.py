@@ -17,12 +17,12 @@ def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for path in glob.glob(f"{SF}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{path}')")
-    want = con.sql(oracle_sql()[name]).df()
-    found = queries()[name](spark, SF).toPandas()
+    want = con.sql(oracle_sql()[name])
+    found = queries()[name](spark, SF)
     columns = sorted(want.columns)
     assert sorted(found.columns) == columns
-    rows = lambda df: sorted((tuple(r) for r in df[columns].astype(object).itertuples(index=False)), key=repr)
-    assert rows(found) == rows(want)
+    rows = [tuple(r) for r in found.select(*columns).collect()]
+    assert sorted(rows, key=repr) == sorted(want.select(*columns).fetchall(), key=repr)
 
 
 @pytest.mark.parametrize("name", ["op5_line_dedup", "op7_mixing", "op10_quality_rules"])
