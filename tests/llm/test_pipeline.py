@@ -47,8 +47,9 @@ def test_stages_on_odd_tables(spark, tmp_path):
             docs = spark.read.parquet(f"{tmp_path}/{n}/{name}")
             if name == "simhash":
                 ids = [r.doc_id for r in docs.collect()]
-                assert sorted(i for i in ids if i is not None) == (list(range(12)) if table else [])
-                assert ids.count(None) == (2 if table else 0)
+                # 3 and 5 are lines that two pages of a small site have: both are cut, and of the empty texts one stays
+                assert sorted(i for i in ids if i is not None) == ([k for k in range(12) if k != 5] if table else [])
+                assert ids.count(None) == (1 if table else 0)  # the other one is on two pages as well
             if k < 4:
                 assert docs.columns == corpus_pipeline.COLUMNS
         assert (docs.count() > 0) == bool(table)
