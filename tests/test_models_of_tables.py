@@ -97,6 +97,40 @@ def test_owen_scrambling_has_less_variance_than_a_shift(spark):
     assert abs(owen.mean() - true) < 0.05 and ((owen - true) ** 2).mean() < 0.5 * ((shift - true) ** 2).mean()
 
 
+def shifts(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("shift")
+
+
+def test_scrambling_writes_no_step_out_twice(spark):
+    from trialweave.plans.queries import QUERIES
+
+    orders = QUERIES["scrambled_orders"](spark, "/root/testdata/sf0.001")  # 31 digits: two shifts each, and ten of one reversal
+    assert shifts(orders) < 2 * 100 and "lambda" not in orders._jdf.queryExecution().optimizedPlan().toString()
+    for dims in (1, 4):
+        columns = [space.sobol(F.col("id"), k, 31, owen=5 + k).alias(f"p{k}") for k in range(dims)]
+        assert shifts(spark.range(4).select(*columns)) < dims * 150
+        sampler = samplers.SobolSequenceSampler([(0, 1)] * dims, 1 << 20, [f"p{k}" for k in range(dims)])
+        assert shifts(sampler.frame(spark, 0, 1 << 20)) < dims * 100
+
+
+def test_scrambled_points_of_a_table_equal_plain_ones(spark):
+    index = [None, 0, 1, 2, 3, 2**16, 2**31 - 1, *np.random.default_rng(1).integers(0, 2**31, 200).tolist()]
+    points = {f"p{k}": (k, 0x9E3779B9 + k) for k in (0, 1, 2, 20)}  # the last is beyond the table of directions
+    rows = spark.createDataFrame([(i,) for i in index], "i long")
+    found = space.with_owen_sobol(rows, F.col("i"), points, 31)
+    assert found.columns == ["i", *points]
+    columns = rows.select("i", *[space.sobol(F.col("i"), k, 31, owen=key).alias(p) for p, (k, key) in points.items()])
+    assert columns.collect() == found.collect()
+    narrow = space.with_owen_sobol(rows.select(F.col("i").cast("int")), F.col("i"), points, 31)
+    assert narrow.collect() == found.collect()
+    for r in found.collect():
+        for p, (k, key) in points.items():
+            bits = 0
+            for j, v in enumerate(space.sobol_directions(k)):
+                bits ^= v if r.i is not None and (r.i ^ r.i >> 1) >> j & 1 else 0
+            assert r[p] == (None if r.i is None else plain_owen(bits, key) / 2**32)
+
+
 def test_primitive_polynomials_go_on_where_the_table_ends():
     known = [(1 << d) | (c << 1) | 1 for d, c, _ in space.SOBOL_TABLE]
     assert space.primitive_polynomials(len(known)) == known

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from functools import cache, reduce
 
 import numpy as np
@@ -133,41 +134,46 @@ def _further_dimension(dim: int) -> tuple[int, int, list[int]]:
     return degree, (polynomial >> 1) & ((1 << (degree - 1)) - 1), [2 * draw.randrange(1 << k) + 1 for k in range(degree)]
 
 
-_WORD = (1 << SOBOL_BITS) - 1
 #: Even multipliers of the hash that permutes digits: each bit of a product depends on lower bits only.
 OWEN_MULTIPLIERS = (0x6C50B47C, 0xB82F1E52, 0xC7AFE638, 0x8D22F6E6)
 
 
-def _swapped(x: Column, by: int, low: int) -> Column:
+def _long(value: int) -> Column:
+    return F.lit(value).cast("long")
+
+
+def _word(x: Column) -> Column:
+    return x.bitwiseAND(_long((1 << SOBOL_BITS) - 1))
+
+
+def _swapped(by: int, low: int) -> Callable[[Column], Column]:
     """Neighbouring groups of ``by`` bits change places; ``low`` marks the lower group of each two."""
-    mask = F.lit(low).cast("long")
-    return F.shiftleft(x.bitwiseAND(mask), by).bitwiseOR(F.shiftright(x, by).bitwiseAND(mask))
+    return lambda x: F.shiftleft(x.bitwiseAND(_long(low)), by).bitwiseOR(F.shiftright(x, by).bitwiseAND(_long(low)))
+
+
+def _hashed(multiplier: int) -> Callable[[Column], Column]:
+    """Less 2 ** 32 where it is 2 ** 31 or more, which is the same modulo 2 ** 32, so that no product leaves 64 bits."""
+    signed = multiplier - (1 << SOBOL_BITS) if multiplier >> (SOBOL_BITS - 1) else multiplier
+    return lambda x: x.bitwiseXOR(_word(x * _long(signed)))
 
 
-def reversed_bits(x: Column) -> Column:
-    """The bits of a whole number below 2 ** 32 in reverse order."""
-    for by, low in ((1, 0x55555555), (2, 0x33333333), (4, 0x0F0F0F0F), (8, 0x00FF00FF), (16, 0x0000FFFF)):
-        x = _swapped(x, by, low)
-    return x
+#: Steps that put the bits of a whole number below 2 ** 32 in reverse order.
+_REVERSAL = [_swapped(by, low) for by, low in ((1, 0x55555555), (2, 0x33333333), (4, 0x0F0F0F0F), (8, 0x00FF00FF), (16, 0x0000FFFF))]
+
+
+def _owen_steps(key: int) -> list[Callable[[Column], Column]]:
+    """From reversed digits to permuted ones.  Steps read a number several times, so each has to be bound before the next: put into one another, they hold it thousands of times."""
+    return [lambda x: _word(x + _long(key)), *map(_hashed, OWEN_MULTIPLIERS), *_REVERSAL]
 
 
 def owen_scrambled(bits: Column, key: int) -> Column:
     """A nested uniform permutation of the binary digits of ``bits`` < 2 ** 32: each is flipped or not by a hash of ``key`` and the digits before it.
 
     Reversed, a digit comes after those that may decide on it; sums and products
-    with even numbers carry upwards only.  Products are taken in two halves, so
-    that none leaves 64 bits.
+    with even numbers carry upwards only.  Steps are bound by lambdas, which Spark
+    interprets; for tables there is ``with_owen_sobol``.
     """
-    word = F.lit(_WORD).cast("long")
-    start = (reversed_bits(bits) + F.lit(key).cast("long")).bitwiseAND(word)
-
-    def once(x: Column, multiplier: Column) -> Column:
-        high, low = F.shiftright(multiplier, 16), multiplier.bitwiseAND(F.lit(0xFFFF).cast("long"))
-        product = x * low + F.shiftleft((x * high).bitwiseAND(F.lit(0xFFFF).cast("long")), 16)
-        return x.bitwiseXOR(product.bitwiseAND(word))
-
-    multipliers = F.array(*[F.lit(m).cast("long") for m in OWEN_MULTIPLIERS])
-    return F.aggregate(multipliers, start, once, reversed_bits)
+    return reduce(F.transform, [*_REVERSAL, *_owen_steps(key)], F.array(bits))[0]
 
 
 def sobol_array(n: int, dims: int, seed: int = 0) -> np.ndarray:
@@ -182,14 +188,40 @@ def sobol_array(n: int, dims: int, seed: int = 0) -> np.ndarray:
     return out
 
 
+def _gray(index: Column) -> Column:
+    index = index.cast("long")
+    return index.bitwiseXOR(F.shiftright(index, 1))
+
+
+def _sum_of(directions: list[int], gray: Column, shift: int = 0) -> Column:
+    """The exclusive or of ``shift`` and the directions whose bit is set: moved to the sign and back, a bit fills the word."""
+    parts = [F.shiftright(F.shiftleft(gray, 63 - k), 63).bitwiseAND(_long(v)) for k, v in enumerate(directions)]
+    return reduce(lambda a, b: a.bitwiseXOR(b), parts, _long(shift))
+
+
+def _fraction(bits: Column) -> Column:
+    return bits.cast("double") / float(1 << SOBOL_BITS)
+
+
 def sobol(index: Column, dim: int, log2_points: int, shift: int = 0, owen: int | None = None) -> Column:
     """Coordinate ``dim`` of Sobol point ``index`` < 2 ** log2_points in [0, 1), in Gray-code order.
 
     ``shift`` is a digital shift, ``owen`` the key of a nested permutation of the digits.
     """
-    gray = index.bitwiseXOR(F.shiftright(index, 1))
-    parts = [F.shiftright(gray, k).bitwiseAND(F.lit(1).cast("long")) * F.lit(v).cast("long") for k, v in enumerate(sobol_directions(dim)[: max(1, log2_points)])]
-    bits = reduce(lambda a, b: a.bitwiseXOR(b), parts, F.lit(shift).cast("long"))
-    if owen is not None:
-        bits = owen_scrambled(bits, owen)
-    return bits.cast("double") / float(1 << SOBOL_BITS)
+    bits = _sum_of(sobol_directions(dim)[: max(1, log2_points)], _gray(index), shift)
+    return _fraction(bits if owen is None else owen_scrambled(bits, owen))
+
+
+def with_owen_sobol(rows: DataFrame, index: Column, points: dict[str, tuple[int, int]], log2_points: int) -> DataFrame:
+    """``rows`` with the coordinates ``points`` (name: dimension and key) that ``sobol`` has with ``owen``, in generated code.
+
+    Each step is a column that the next one reads: Spark computes it once a row,
+    and the plan grows with the number of steps.  Digits are summed in reverse order,
+    and nulls are set at the end only, to keep the code within what Java compiles.
+    """
+    out = rows.withColumn("_index", index)
+    gray, reverse = _gray(F.coalesce("_index", _long(0))), lambda v: int(f"{v:0{SOBOL_BITS}b}"[::-1], 2)
+    out = out.withColumn("_gray", gray).withColumns({name: _sum_of([reverse(v) for v in sobol_directions(dim)[: max(1, log2_points)]], F.col("_gray")) for name, (dim, _) in points.items()})
+    for steps in zip(*[_owen_steps(key) for _, key in points.values()], strict=True):
+        out = out.withColumns({name: step(F.col(name)) for name, step in zip(points, steps, strict=True)})
+    return out.withColumns({name: F.when(F.col("_index").isNotNull(), _fraction(F.col(name))) for name in points}).drop("_index", "_gray")

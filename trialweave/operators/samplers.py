@@ -214,9 +214,18 @@ class SobolSequenceSampler(Sampler):
             log.warning("a Sobol budget of %s is rounded down to %s", budget, 1 << log2)
         return log2
 
+    def key(self, k: int) -> int:
+        return random.Random(f"{self.seed}:{k}").getrandbits(space.SOBOL_BITS)
+
+    def frame(self, spark: SparkSession, start: int, n: int) -> DataFrame:
+        if self.scramble != "owen":
+            return super().frame(spark, start, n)
+        points = {f"_u{k}": (k, self.key(k)) for k in range(len(self.parameters))}
+        rows = space.with_owen_sobol(spark.range(start, start + n), F.col("id"), points, self.log2)
+        return rows.select(F.col("id").alias("sample"), *[space.unnormalize(F.col(u), *self.bounds[k]).alias(p) for k, (u, p) in enumerate(zip(points, self.parameters, strict=True))])
+
     def value(self, k: int, index: Column) -> Column:
-        key = random.Random(f"{self.seed}:{k}").getrandbits(space.SOBOL_BITS)
-        shift, owen = (key if self.scramble == kind else None for kind in ("shift", "owen"))
+        shift, owen = (self.key(k) if self.scramble == kind else None for kind in ("shift", "owen"))
         return space.unnormalize(space.sobol(index, k, self.log2, shift or 0, owen), *self.bounds[k])
 
     def extended(self, more: int) -> Sampler:

@@ -192,9 +192,9 @@ _CORPUT = _reverse_sql(_GRAY)
 @query(f"SELECT o_orderkey, round(({_owen_sql(_CORPUT, _KEYS[0])})::DOUBLE / 4294967296, 9) AS p0, round(({_owen_sql(_PASCAL, _KEYS[1])})::DOUBLE / 4294967296, 9) AS p1 FROM orders")
 def scrambled_orders(spark, d):
     """Two coordinates of nested scrambled Sobol points, numbered by the orders' keys."""
-    index = F.col("o_orderkey")
-    points = [F.round(space.sobol(index, k, 31, owen=key), 9).alias(f"p{k}") for k, key in enumerate(_KEYS)]
-    return table(spark, d, "orders").select("o_orderkey", *points)
+    points = {f"p{k}": (k, key) for k, key in enumerate(_KEYS)}
+    rows = space.with_owen_sobol(table(spark, d, "orders").select("o_orderkey"), F.col("o_orderkey"), points, 31)
+    return rows.select("o_orderkey", *[F.round(p, 9).alias(p) for p in points])
 
 
 # --- streams ----------------------------------------------------------------------------
